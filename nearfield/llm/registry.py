@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat, urls
+from nearfield.llm import bpe, chat, exact, language, packing, urls
 
 #: The public vocabulary that the queries use; each operator takes any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -55,6 +55,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+#: Documents whose remainder is this are held out of what language identification learns from.
+HELD_OUT = 1
+
+
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string")) % 3 == HELD_OUT
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.learn(documents.filter(~held_out()).select("doc_id", "text", "lang"))
+    found = language.predict(documents.select("doc_id", "text"), model).drop("text")
+    return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(documents, vocabulary()), documents.count())
+
+
+def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN firsts USING (t)
+"""
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -75,5 +106,5 @@ found AS (
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM urls LEFT JOIN found USING (n)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op9_urls": op9_urls}
-ORACLES = {"op2_chat": OP2_SQL, "op9_urls": OP9_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op9_urls": op9_urls}
+ORACLES = {"op2_chat": OP2_SQL, "op6_exact": OP6_SQL, "op9_urls": OP9_SQL}
