@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat, exact, language, packing, urls
+from nearfield.llm import bpe, chat, exact, language, near, packing, urls
 
 #: The public vocabulary that the queries use; each operator takes any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -106,5 +106,10 @@ found AS (
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM urls LEFT JOIN found USING (n)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op9_urls": op9_urls}
+
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op9_urls": op9_urls, "op10_near": op10_near}
 ORACLES = {"op2_chat": OP2_SQL, "op6_exact": OP6_SQL, "op9_urls": OP9_SQL}
