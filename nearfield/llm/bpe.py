@@ -15,19 +15,21 @@ from __future__ import annotations
 import codecs
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose tokens a worker remembers; the table is emptied when full.
-WORD_CACHE = 500_000
-#: Stands for the end of a word inside the tables; it is part of the word's last symbol.
-END = "\x00"
+#: Words whose ids a worker remembers (some 50 bytes each); then the latest texts' words stay.
+RECENT = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -38,147 +40,190 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+NO_MERGE = np.int32(2**31 - 1)
+
+
+@dataclass
+class Segments:
+    """Lists of ids as parts of one array."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    @staticmethod
+    def of(flat: np.ndarray, sizes: np.ndarray) -> Segments:
+        return Segments(flat, np.cumsum(sizes) - sizes, sizes)
+
+    @staticmethod
+    def empty(count: int) -> Segments:
+        return Segments(np.zeros(0, np.int32), np.zeros(count, np.int64), np.zeros(count, np.int64))
+
+    @staticmethod
+    def joined(parts: list[Segments]) -> Segments:
+        before = np.cumsum([0, *(len(p.flat) for p in parts)])
+        return Segments(np.concatenate([p.flat for p in parts]), np.concatenate([p.starts + n for p, n in zip(parts, before)]), np.concatenate([p.sizes for p in parts]))
+
+    def take(self, which: np.ndarray) -> Segments:
+        """The lists with these numbers, one after the other."""
+        sizes = self.sizes[which]
+        out = Segments.of(np.zeros(0, np.int32), sizes)
+        where = np.repeat(self.starts[which] - out.starts, sizes)
+        out.flat = self.flat[where + np.arange(len(where))]
+        return out
+
+    def grouped(self, counts: np.ndarray) -> Segments:
+        """Neighbouring lists joined: as many as each count says."""
+        ends = np.cumsum(counts)
+        total = np.concatenate([[0], np.cumsum(self.sizes)])
+        return Segments.of(self.flat, total[ends] - total[ends - counts])
+
+
 class MergeList:
-    """A vocabulary with its merges, their sufficient lookahead, and a checked pair table."""
+    """A vocabulary with its merges and their sufficient lookahead; works on many words at once."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        def mark(token: str) -> str:
-            return token[: -len(suffix)] + END if suffix and token.endswith(suffix) else token
-
-        self.suffix = suffix
-        self.id_of = {mark(token): i for token, i in vocabulary.items()}
-        pairs = [(mark(a), mark(b)) for a, b in merges]
-        self.rank = {pair: r for r, pair in enumerate(pairs)}
-        self.parts = {a + b: (a, b) for a, b in reversed(pairs)}
-        self._check_order(pairs)
-        self.usable = {t for t in self.id_of if len(t.replace(END, "")) == 1 or t in self.parts}
-        self.longest = max(map(len, self.usable), default=1)
-        self.lookahead = self._lookahead(pairs)
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._sound: set[str] = set()
-        self._right_edges: dict[str, list[tuple[str, int]]] = {}
-        self._left_edges: dict[str, list[tuple[str, int]]] = {}
-
-    def _check_order(self, pairs: list[tuple[str, str]]) -> None:
+        self.suffixed = bool(suffix)
+        size = max(vocabulary.values()) + 1
         made: dict[str, int] = {}
-        for r, pair in enumerate(pairs):
-            if any(len(t.replace(END, "")) > 1 and made.get(t, r) >= r for t in pair):
+        for r, (a, b) in enumerate(merges):
+            if any(t not in made and len(t.removesuffix(suffix)) > 1 for t in (a, b)):
                 raise ValueError("a merge comes before the merges that make its parts")
-            made.setdefault(pair[0] + pair[1], r)
+            made.setdefault(a + b, r)
+        self.lookahead = self._lookahead(merges, suffix)
+        #: Bytes of a long pre-token that are tokenised at a time; none of the list's tokens is longer than a tenth.
+        self.window = 2 * self.lookahead + 10 * max((len(t) for t in made), default=1)
+        left, right, whole = (np.array([vocabulary[t] for t in side], dtype=np.int64) for side in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
+        self._size, self._whole = size, whole.astype(np.int32)
+        #: Bytes of each token.
+        self.sizes = np.zeros(size, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix(suffix))
+        keys = left * size + right
+        self._ranks = np.argsort(keys, kind="stable").astype(np.int32)
+        self._keys = keys[self._ranks]
+        symbols = [c + end for end in ("", suffix) for c in byte_alphabet()]
+        #: Ids of the 256 bytes within a word, then of the 256 that end one.
+        self._base = np.array([vocabulary[c] for c in symbols], dtype=np.int32)
+        grid = np.arange(512)
+        self._first = self._rank(self._base[grid[:, None]].repeat(512, 1).ravel(), self._base[grid[None, :]].repeat(512, 0).ravel()).reshape(512, 512)
 
-    def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
+    @staticmethod
+    def _lookahead(merges: list[tuple[str, str]], suffix: str) -> int:
         """Characters after a token's end that can still change it.
 
         Whether a merge takes place is open until its right part is known; that part can be
         taken by an earlier merge further right, whose own right part can be taken by a merge
         earlier still, and so on. The longest such chain, in characters, suffices.
         """
+        parts: dict[str, tuple[str, str]] = {}
         reach: dict[str, int] = {}
-        for left, right in pairs:
+        for left, right in merges:
             spine, extra = right, reach.get(right, 0)
-            while spine in self.parts:
-                spine = self.parts[spine][1]
+            while spine in parts:
+                spine = parts[spine][1]
                 extra = max(extra, reach.get(spine, 0))
-            reach[left] = max(reach.get(left, 0), len(right) + extra)
+            reach[left] = max(reach.get(left, 0), len(right.removesuffix(suffix)) + extra)
+            parts.setdefault(left + right, (left, right))
         return max(reach.values(), default=0)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The defining procedure: apply the earliest merge, leftmost first, until none is left."""
-        while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            if (symbols[best], symbols[best + 1]) not in self.rank:
-                break
-            symbols = [*symbols[:best], symbols[best] + symbols[best + 1], *symbols[best + 2 :]]
-        return symbols
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, or ``NO_MERGE``; -1 stands for no neighbour."""
+        if not len(self._keys):
+            return np.full(len(left), NO_MERGE)
+        key = left.astype(np.int64) * self._size + right
+        at = np.searchsorted(self._keys, key)
+        at[at == len(self._keys)] = 0
+        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._ranks[at], NO_MERGE)
 
-    @staticmethod
-    def symbols(text: str) -> list[str]:
-        return [*text[:-2], text[-2:]] if text.endswith(END) else list(text)
-
-    def _edge(self, token: str, right: bool) -> list[tuple[str, int]]:
-        """The parts along one edge of a token, each with the rank of the merge that uses it up."""
-        edge, used = [(token, 1 << 60)], 1 << 60
-        while token in self.parts:
-            used = self.rank[self.parts[token]]
-            token = self.parts[token][right]
-            edge.append((token, used))
-        return edge
-
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the merges leave exactly these two tokens of their joined text.
-
-        They don't if some part at the right edge of one and at the left edge of the other have
-        a merge that comes before the merges that use them up; of equal ranks, the left is first.
-        """
-        known = self._fits.get((left, right))
-        if known is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            known = right in self._sound or self.merged(self.symbols(right)) == [right]
-            if known:
-                self._sound.add(right)
-            if known and left:
-                if left not in self._right_edges:
-                    self._right_edges[left] = self._edge(left, True)
-                if right not in self._left_edges:
-                    self._left_edges[right] = self._edge(right, False)
-                rank = self.rank.get
-                for x, x_used in self._right_edges[left]:
-                    for y, y_used in self._left_edges[right]:
-                        r = rank((x, y))
-                        if r is not None and r < x_used and r <= y_used:
-                            known = False
-            self._fits[left, right] = known
-        return known
-
-    def tokens(self, text: str) -> list[str]:
-        """The merges' result for a whole (part of a) pre-token.
-
-        It is the only split into tokens in which every two neighbours fit, so it is found by
-        trying the longest token first and going back where no token fits.
+    def _merge(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merge rows of base symbols (padded by -1): in each the earliest merge, leftmost first, until none is left.
+
+        Gives the rows' ids one after the other, the rows in that order, and their sizes.
         """
-        out: list[str] = []
-        ends = [0]
-        dead: set[int] = set()
-        usable, fits, n = self.usable, self._fits, len(text)
-        size = min(self.longest, n)
-        while ends[-1] < n:
-            at, before = ends[-1], out[-1] if out else ""
-            while size:
-                end = at + size
-                if end not in dead and (token := text[at:end]) in usable:
-                    fit = fits.get((before, token))
-                    if fit is None:
-                        fit = self.fits(before, token)
-                    if fit:
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                ends.append(end)
-                size = min(self.longest, n - end)
+        ids = np.where(symbols >= 0, self._base[symbols], np.int32(-1))
+        ranks = np.where((symbols[:, :-1] >= 0) & (symbols[:, 1:] >= 0), self._first[symbols[:, :-1], symbols[:, 1:]], NO_MERGE)
+        rows = np.arange(len(ids))
+        out: list[tuple] = []
+        while len(rows):
+            if ranks.shape[1]:
+                at = ranks.argmin(1)
+                best = ranks[np.arange(len(rows)), at]
+                live = best != NO_MERGE
             else:
-                dead.add(at)
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte")
-                size = len(out.pop()) - 1
-                ends.pop()
+                live = np.zeros(len(rows), dtype=bool)
+            if not live.all():
+                ended = ids[~live]
+                out.append((ended[ended >= 0], rows[~live], (ended >= 0).sum(1)))
+                if not live.any():
+                    break
+                ids, ranks, rows, at, best = ids[live], ranks[live], rows[live], at[live], best[live]
+            each, columns = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+            ids = np.where(columns > at[:, None], ids[:, 1:], ids[:, :-1])
+            ids[each, at] = new = self._whole[best]
+            columns = columns[:-1]
+            ranks = np.where(columns > at[:, None], ranks[:, 1:], ranks[:, :-1])
+            inner = at > 0
+            ranks[each[inner], at[inner] - 1] = self._rank(ids[each[inner], at[inner] - 1], new[inner])
+            inner = at < ids.shape[1] - 1
+            ranks[each[inner], at[inner]] = self._rank(new[inner], ids[each[inner], at[inner] + 1])
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def encode(self, words: pa.StringArray) -> Segments:
+        """The ids of each word."""
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        usual = order[sizes[order] <= self.window]
+        made, own, start = [], [], 0
+        while start < len(usual):
+            shortest = int(sizes[usual[start]])
+            most = max(1, min(1 << 14, (1 << 18) // shortest))
+            stop = start + int(np.searchsorted(sizes[usual[start : start + most]], shortest * 9 // 8 + 1, side="right"))
+            block = usual[start:stop]
+            columns = np.arange(int(sizes[block[-1]]))
+            inside = columns < sizes[block][:, None]
+            symbols = np.where(inside, data[np.where(inside, starts[block][:, None] + columns, 0)].astype(np.int16), np.int16(-1))
+            if self.suffixed:
+                symbols[np.arange(len(block)), sizes[block] - 1] += 256
+            ids, rows, counts = self._merge(symbols)
+            made.append(Segments.of(ids, counts))
+            own.append(block[rows])
+            start = stop
+        for i in order[len(usual) :].tolist():
+            ids = np.concatenate(list(self.stream(data[starts[i] : starts[i] + sizes[i]])))
+            made.append(Segments.of(ids, np.array([len(ids)])))
+            own.append(np.array([i]))
+        out = Segments.empty(len(words))
+        if made:
+            at = np.concatenate(own)
+            joined = Segments.joined(made)
+            out.flat = joined.flat
+            out.starts[at], out.sizes[at] = joined.starts, joined.sizes
         return out
 
-    def stream(self, word: str, window: int | None = None) -> Iterator[str]:
-        """Tokens of a pre-token of any length, each emitted once it is stable."""
-        window = max(window or 0, 2 * (self.lookahead + self.longest))
+    def stream(self, word: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of a word (its bytes) of any length: a window's tokens are emitted once they are stable."""
         start = 0
-        while len(word) - start > window:
-            stable = window - self.lookahead
-            done = 0
-            for token in self.tokens(word[start : start + window]):
-                if done + len(token) > stable:
-                    break
-                done += len(token)
-                yield token
-            start += done
-        yield from self.tokens(word[start:])
+        while len(word) - start > self.window:
+            ids = self._merge(word[None, start : start + self.window].astype(np.int16))[0]
+            ends = np.cumsum(self.sizes[ids])
+            stable = int(np.searchsorted(ends, self.window - self.lookahead, side="right"))
+            yield ids[:stable]
+            start += int(ends[stable - 1])
+        symbols = word[None, start:].astype(np.int16)
+        if self.suffixed:
+            symbols[0, -1] += 256
+        yield self._merge(symbols)[0]
+
+
+#: White space to ``str.split`` but not to the splitters' ``\\s``.
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_GAP = regex.compile(r"\s")
+#: Characters of texts that are encoded together.
+SLICE = 1 << 23
 
 
 class BpeCodec:
@@ -192,14 +237,15 @@ class BpeCodec:
             raise ValueError("only byte-level BPE is supported")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = MergeList(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self.alphabet = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._normalise = self._steps(spec.get("normalizer"))
         self._split, self._spaced = self._splitter(spec["pre_tokenizer"])
+        self._keeps_space = bool(self._split.fullmatch(" ") or self._split.fullmatch(" a"))
         self._byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._whole_words = not self._spaced and self._split.findall("aßЖ語") == ["aßЖ語"]
+        self._recent, self._recent_ids = pa.array([], pa.string()), Segments.empty(0)
         self.surface = self._surface()
 
     @staticmethod
@@ -240,36 +286,120 @@ class BpeCodec:
         size = max(self.vocab, default=-1) + 1
         if not self._byte_decoder:
             return [(self.vocab[i] + " ").encode() if i in self.vocab else b"" for i in range(size)]
-        byte = {c: bytes([b]) for b, c in enumerate(self.alphabet)}
+        byte = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         plain = set(self.special.values())
         return [(self.vocab[i].encode() if i in plain else b"".join(byte.get(c, c.encode()) for c in self.vocab[i])) if i in self.vocab else b"" for i in range(size)]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        text = word if word.isascii() and word.isprintable() and " " not in word else "".join(map(self.alphabet.__getitem__, word.encode("utf-8", "replace")))
-        if self.merges.suffix:
-            text += END
-        return tuple(map(self.merges.id_of.__getitem__, self.merges.stream(text)))
-
-    def words(self, text: str | None) -> Iterator[tuple[int, ...]]:
-        """The ids of each pre-token of a text, in order."""
-        for i, part in enumerate(self._special_split.split(text or "") if self._special_split else [text or ""]):
+    def _words(self, words: pa.StringArray) -> Segments:
+        """The ids of different words; those of recent ones are remembered."""
+        at = pc.index_in(words, value_set=self._recent)
+        new = words.filter(at.is_null())
+        found = self.merges.encode(new)
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self._recent) + np.arange(len(new))
+        whole = Segments.joined([self._recent_ids, found])
+        if len(self._recent) + len(new) > RECENT:
+            self._recent, self._recent_ids = words, whole.take(at)
+        else:
+            self._recent, self._recent_ids = pa.concat_arrays([self._recent, new]), whole
+        return whole.take(at)
+
+    def _cut_words(self, words: pa.StringArray) -> Segments:
+        known = words.dictionary_encode()
+        return self._words(known.dictionary).take(known.indices.to_numpy())
+
+    def _texts(self, texts: list[str]) -> Segments:
+        """The ids of normalised texts whose pre-tokens hold no white space.
+
+        What stands between white space is a chunk: a word if it is all letters, else the
+        splitter's words. Each different chunk is looked at once.
+        """
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        chunks = lists.flatten().dictionary_encode()
+        different = chunks.dictionary
+        plain = pc.utf8_is_alpha(different) if self._whole_words else pa.array(np.zeros(len(different), dtype=bool))
+        plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        split = [self._split.findall(c) for c in different.filter(pa.array(~plain)).to_pylist()]
+        words = self._cut_words(pa.concat_arrays([different.filter(pa.array(plain)), pa.array(list(chain.from_iterable(split)), pa.string())]))
+        counts = np.ones(len(different), dtype=np.int64)
+        counts[int(plain.sum()) :] = list(map(len, split))
+        own = words.grouped(counts)
+        order = np.empty(len(different), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(different))
+        return own.take(order[chunks.indices.to_numpy()]).grouped(lists.value_lengths().to_numpy().astype(np.int64))
+
+    def _pieces(self, text: str) -> Iterator[int | str | list[str]]:
+        """Ids of special tokens; between them, texts to cut at white space or lists of words."""
+        marked = self._special_split and any(map(text.__contains__, self.special))
+        for i, part in enumerate(self._special_split.split(text) if marked else [text]):
             if i % 2:
-                yield (self.special[part],)
-            elif part:
-                for step in self._normalise:
-                    part = step(part)
-                if self._spaced and not part[:1].isspace():
-                    part = " " + part
-                found = self._split.findall(part)
-                known = self._words
-                if len(known) > WORD_CACHE:
-                    known.clear()
-                for word in set(found).difference(known):
-                    known[word] = self.encode_word(word)
-                yield from map(known.__getitem__, found)
-
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.words(text)))
+                yield self.special[part]
+                continue
+            for step in self._normalise:
+                part = step(part)
+            if self._spaced and part and not part[0].isspace():
+                part = " " + part
+            if self._spaced or self._keeps_space or _SEPARATORS.search(part):
+                found = self._split.finditer(part)
+                while own := [m[0] for m in islice(found, SLICE // 8)]:
+                    yield own
+                continue
+            start = 0
+            while start < len(part):
+                gap = _GAP.search(part, start + SLICE) if len(part) - start > SLICE else None
+                stop = gap.end() if gap else len(part)
+                yield part[start:stop]
+                start = stop
+
+    def _resolve(self, pieces: list) -> list[bytes]:
+        """The ids of each piece."""
+        out = [p.to_bytes(4, "little") if isinstance(p, int) else b"" for p in pieces]
+        for kind in (str, list):
+            if which := [i for i, p in enumerate(pieces) if isinstance(p, kind)]:
+                own = [pieces[i].encode("utf-8", "replace").decode() for i in which] if kind is str else [[w.encode("utf-8", "replace").decode() for w in pieces[i]] for i in which]
+                found = self._texts(own) if kind is str else self._cut_words(pa.array(list(chain.from_iterable(own)), pa.string())).grouped(np.array(list(map(len, own))))
+                data = found.flat.tobytes()
+                for i, start, size in zip(which, found.starts.tolist(), found.sizes.tolist()):
+                    out[i] = data[4 * start : 4 * (start + size)]
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit numbers.
+
+        Texts are taken together up to about ``SLICE`` characters, longer ones in slices.
+        """
+        done: list[list[bytes]] = []
+        waiting: list[tuple[int, int | str | list[str]]] = []
+        size = 0
+
+        def resolve() -> None:
+            for (row, _), ids in zip(waiting, self._resolve([p for _, p in waiting])):
+                done[row].append(ids)
+            waiting.clear()
+
+        for text in texts:
+            done.append([])
+            for piece in self._pieces(text or ""):
+                waiting.append((len(done) - 1, piece))
+                size += 1 if isinstance(piece, int) else len(piece) * (1 if isinstance(piece, str) else 8)
+                if size > SLICE:
+                    resolve()
+                    size = 0
+            if not waiting or len(done) > 1 << 14:
+                resolve()
+                size = 0
+                yield from map(b"".join, done)
+                done = []
+        resolve()
+        yield from map(b"".join, done)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode(self, text: str | None) -> array:
+        ids = array("I")
+        ids.frombytes(self.encode_bytes(text))
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = ByteText()
@@ -305,12 +435,11 @@ def _encode(path: str):
     def run(texts: pa.Array) -> pa.Array:
         own = codec(path)
         values, offsets = [], [0]
-        for text in texts:
-            ids = pa.array(own.encode(text.as_py()), pa.int32())
+        for ids in own.encode_all(t.as_py() for t in texts):
             values.append(ids)
-            offsets.append(offsets[-1] + len(ids))
-        flat = pa.concat_arrays(values) if values else pa.array([], pa.int32())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            offsets.append(offsets[-1] + len(ids) // 4)
+        flat = np.frombuffer(b"".join(values), dtype="<u4").astype(np.int32, copy=False)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
     return run
 
@@ -318,7 +447,7 @@ def _encode(path: str):
 def _decode(path: str):
     def run(ids: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.decode(row.values.to_pylist()) if row.is_valid else None for row in ids], pa.string())
+        return pa.array([own.decode(row.values.to_numpy().tolist()) if row.is_valid else None for row in ids], pa.string())
 
     return run
 

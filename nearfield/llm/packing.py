@@ -12,9 +12,7 @@ an empty table gives an empty one; columns other than the two named are not read
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -81,13 +79,12 @@ def pieces(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
         own = codec(path)
         for batch in batches:
             keys, out = batch.column(0), ([], [], [], [], [])
-            for row, text in enumerate(batch.column(1)):
-                ids = array("I", chain.from_iterable(own.words(text.as_py())))
-                ids.append(end_id)
-                data = memoryview(ids).cast("B")
-                for start in range(0, len(ids), length):
-                    size = min(length, len(ids) - start)
-                    for column, value in zip(out, (row, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), len(ids))):
+            for row, ids in enumerate(own.encode_all(t.as_py() for t in batch.column(1))):
+                data = memoryview(ids + end_id.to_bytes(4, "little"))
+                total = len(data) // 4
+                for start in range(0, total, length):
+                    size = min(length, total - start)
+                    for column, value in zip(out, (row, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), total)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
