@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat, exact, language, near, packing, urls
+from nearfield.llm import bpe, chat, exact, html, language, near, packing, urls
 
 #: The public vocabulary that the queries use; each operator takes any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -86,6 +86,11 @@ firsts AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM texts G
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN firsts USING (t)
 """
 
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -111,5 +116,5 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op9_urls": op9_urls, "op10_near": op10_near}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op8_html": op8_html, "op9_urls": op9_urls, "op10_near": op10_near}
 ORACLES = {"op2_chat": OP2_SQL, "op6_exact": OP6_SQL, "op9_urls": OP9_SQL}
