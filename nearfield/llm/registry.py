@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe, chat, exact, html, language, near, packing, urls
+from nearfield.llm import bpe, chat, exact, html, language, licenses, near, packing, topk, urls
 
 #: The public vocabulary that the queries use; each operator takes any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -56,6 +56,21 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.n, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 #: Documents whose remainder is this are held out of what language identification learns from.
 HELD_OUT = 1
 
@@ -87,6 +102,30 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+OP7_SQL = r"""
+WITH templates(id, name, text) AS (VALUES {templates}),
+tw AS (SELECT id, name, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM templates),
+tg AS (SELECT id, name, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM tw),
+tc AS (SELECT id, gram, count(*) AS m FROM (SELECT id, unnest(g) AS gram FROM tg) GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+units AS (SELECT n, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM docs
+  UNION ALL SELECT n, text, 0 FROM docs WHERE contains(text, chr(10))),
+uw AS (SELECT n, unit, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM units),
+ug AS (SELECT n, unit, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM uw
+  WHERE len(w) > 1 AND len(w) <= 3 * (SELECT max(len(g)) FROM tg)),
+uc AS (SELECT n, unit, gram, count(*) AS k FROM (SELECT n, unit, unnest(g) AS gram FROM ug) GROUP BY ALL),
+common AS (SELECT n, unit, id, sum(least(uc.k, tc.m)) AS c FROM uc JOIN tc USING (gram) GROUP BY ALL),
+scored AS (SELECT n, unit, name, 2.0::DOUBLE * c / (len(ug.g) + len(tg.g)) AS dice FROM common JOIN ug USING (n, unit) JOIN tg USING (id)),
+found AS (SELECT * FROM scored WHERE dice >= 0.8 - 1e-12),
+best AS (SELECT n, count(*) AS n_matches, max(dice) AS dice, min({{'d': -dice, 'name': name}}) AS b FROM found GROUP BY n)
+SELECT doc_id, b.name AS license, coalesce(dice, 0.0) AS dice, coalesce(n_matches, 0) AS n_matches FROM docs LEFT JOIN best USING (n)
+""".format(templates=", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES)))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -116,5 +155,5 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op8_html": op8_html, "op9_urls": op9_urls, "op10_near": op10_near}
-ORACLES = {"op2_chat": OP2_SQL, "op6_exact": OP6_SQL, "op9_urls": OP9_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_topk": op3_topk, "op4_language": op4_language, "op5_packing": op5_packing, "op6_exact": op6_exact, "op7_licenses": op7_licenses, "op8_html": op8_html, "op9_urls": op9_urls, "op10_near": op10_near}
+ORACLES = {"op2_chat": OP2_SQL, "op3_topk": OP3_SQL, "op6_exact": OP6_SQL, "op7_licenses": OP7_SQL, "op9_urls": OP9_SQL}
