@@ -1,4 +1,342 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the vector table, each with DuckDB SQL for the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+All models start deterministically (lowest ids, fixed rounds), distances are sums in double
+from the first component to the last, and ties go to the smaller id, so both engines agree.
+Rounded columns are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import vectors as V
+from nearfield.operators import clustering, inverted, knn, quantize
+from nearfield.plans import evaluate
+from nearfield.plans.sql import SQL
+
+QUERIES_BELOW, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 20, 10, 16, 125, 4, 8, 16
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def asked(spark: SparkSession, sf_dir: str, below: int = QUERIES_BELOW) -> DataFrame:
+    return base(spark, sf_dir).filter(F.col("id") < below).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
+
+
+def rounded(found: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return found.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def searched(found: DataFrame) -> DataFrame:
+    return rounded(found.select("q_id", "rank", "id", "distance"), "distance")
+
+
+# ---- exact search and vector functions
+
+
+def exact(metric: str, k: int = K, kernel: str = "arrow", **more):
+    return lambda spark, d: searched(knn.knn(base(spark, d), asked(spark, d), k, metric, kernel, **more))
+
+
+def vec_norms(spark, d):
+    v = F.col("vec")
+    return rounded(base(spark, d).select("id", V.squared_norm(v).alias("squared"), V.norm(v).alias("norm")), "squared", "norm")
+
+
+def normalized(function):
+    return lambda spark, d: base(spark, d).select("id", F.posexplode(function(F.col("vec"))).alias("pos", "x")).select("id", "pos", F.round("x", 9).alias("x"))
+
+
+def vec_split(spark, d):
+    return base(spark, d).select("id", F.posexplode(V.split(F.col("vec"), SUBSPACES, 64 // SUBSPACES)).alias("subspace", "part")).select("id", "subspace", F.round(V.squared_norm(F.col("part")), 9).alias("squared"))
+
+
+def range_count(spark, d):
+    met = base(spark, d).crossJoin(F.broadcast(asked(spark, d)))  # twenty queries
+    return met.groupBy("q_id").agg(F.count_if(V.squared_l2(F.col("vec"), F.col("q")) <= 1.5).alias("n"))
+
+
+def l2_by_norms(spark, d):
+    met = base(spark, d).crossJoin(F.broadcast(asked(spark, d)))
+    return met.select("q_id", "id", F.round(V.squared_l2_by_norms(F.col("vec"), F.col("q")), 9).alias("distance"))
+
+
+def position_ids(spark, d):
+    return knn.with_position_ids(base(spark, d).select(F.col("id").alias("vec_id")), "vec_id", 100).select("vec_id", "id")
+
+
+# ---- clustering
+
+
+def centroids(spark, d, rounds, count=LISTS, **more):
+    return clustering.kmeans(base(spark, d), count, rounds, None, 0.0, **more)
+
+
+def centroid_rows(spark, found: np.ndarray) -> DataFrame:
+    rows = [(c, p, float(x)) for c, v in enumerate(found) for p, x in enumerate(v)]
+    return rounded(spark.createDataFrame(rows, "cluster_id int, pos int, x double"), "x")
+
+
+def kmeans_assign(spark, d):
+    return rounded(clustering.assign(base(spark, d), centroids(spark, d, 0)).select("id", "cluster_id", "centroid_distance"), "centroid_distance")
+
+
+def kmeans_fit(rounds):
+    return lambda spark, d: centroid_rows(spark, centroids(spark, d, rounds))
+
+
+def kmeans_empty_retained(spark, d):
+    start = clustering.start_centroids(base(spark, d), 4)
+    start[3] = start[0]  # ties go to the first of the two, so the other stays empty
+    return centroid_rows(spark, clustering.kmeans(base(spark, d), 4, 1, None, 0.0, start=start))
+
+
+def kmeans_minibatch(spark, d):
+    return centroid_rows(spark, clustering.kmeans(base(spark, d), 8, 4, 5, 0.0, minibatch=200, mode="accumulated"))
+
+
+def cluster_histogram(spark, d):
+    return clustering.histogram(clustering.assign(base(spark, d), centroids(spark, d, 3)), LISTS)
+
+
+def two_nearest_margin(spark, d):
+    first, second = F.col("centroid_distances")[0], F.col("centroid_distances")[1]
+    found = inverted.margins(base(spark, d), centroids(spark, d, 0))
+    return rounded(found.select("id", F.col("cluster_ids")[0].alias("first"), F.col("cluster_ids")[1].alias("second"), V.boundary_margin(first, second).alias("margin")), "margin")
+
+
+def kmeans_shift(spark, d):
+    a, b = centroids(spark, d, 2), centroids(spark, d, 3)
+    return spark.createDataFrame([(float(np.abs(a - b).max()),)], "shift double").select(F.round("shift", 9).alias("shift"))
+
+
+def assignment_mismatches(spark, d):
+    found = centroids(spark, d, 1)
+    rows = clustering.assign(base(spark, d), found).select("id", F.col("cluster_id").alias("a"))
+    table = spark.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(found)], "cluster_id int, centroid array<double>")
+    met = base(spark, d).crossJoin(F.broadcast(table))  # sixteen centroids
+    plain = met.groupBy("id").agg(F.min_by("cluster_id", F.struct(V.squared_l2(F.col("vec"), F.col("centroid")), "cluster_id")).alias("b"))
+    return evaluate.mismatches(rows, plain)
+
+
+# ---- product quantisation
+
+
+def quantiser(spark, d, rounds=0, vectors=None):
+    return quantize.ProductQuantizer(64, SUBSPACES, CODES, None).train(base(spark, d) if vectors is None else vectors, rounds, 0.0)
+
+
+def encoded(spark, d, rounds=0):
+    pq = quantiser(spark, d, rounds)
+    return pq, base(spark, d).withColumn("codes", pq.encode(F.col("vec")))
+
+
+def pq_encode(rounds=0):
+    return lambda spark, d: encoded(spark, d, rounds)[1].select("id", F.posexplode("codes").alias("subspace", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+def pq_decode(spark, d):
+    pq, rows = encoded(spark, d)
+    return rows.select("id", F.posexplode(pq.decode(F.col("codes"))).alias("pos", "x")).select("id", "pos", F.round("x", 9).alias("x"))
+
+
+def pq_recon_error(spark, d):
+    pq, rows = encoded(spark, d)
+    error = evaluate.reconstruction_error(rows.withColumn("decoded", pq.decode(F.col("codes"))))
+    return error.select(F.round("error", 9).alias("error"))
+
+
+def pq_adc_table(spark, d):
+    pq = quantiser(spark, d)
+    rows = asked(spark, d).select("q_id", F.posexplode(pq.distance_table(F.col("q"))).alias("subspace", "t"))
+    return rows.select("q_id", "subspace", F.posexplode("t").alias("code", "distance")).select("q_id", "subspace", "code", F.round("distance", 9).alias("distance"))
+
+
+def pq_flat_topk(spark, d):
+    pq, rows = encoded(spark, d)
+    return searched(quantize.flat_search(rows, asked(spark, d), pq, K))
+
+
+def pq_adc_column(spark, d):
+    pq, rows = encoded(spark, d)
+    tables = asked(spark, d).select("q_id", pq.distance_table(F.col("q")).alias("t"))
+    met = rows.select("id", "codes").crossJoin(F.broadcast(tables))  # twenty queries
+    return searched(knn.best(met.select("q_id", "id", V.table_distance(F.col("codes"), F.col("t")).alias("distance")), K))
+
+
+def pq_symmetric(spark, d):
+    return rounded(quantiser(spark, d).symmetric_table(spark), "distance")
+
+
+def pq_compression(spark, d):
+    rows = [(m, quantize.ProductQuantizer(64, m, CODES).compression_ratio()) for m in (8, 16, 32)]
+    return spark.createDataFrame(rows, "m int, ratio double")
+
+
+# ---- inverted file
+
+
+def ivf(spark, d, mode="standard", rounds=1, full=True) -> inverted.IvfPq:
+    config = inverted.IvfConfig(64, LISTS, SUBSPACES, CODES, None, full, pq_mode=mode)
+    index = inverted.IvfPq(config)
+    index.centroids = centroids(spark, d, rounds)
+    index.pq = quantiser(spark, d, 0, index.residuals(base(spark, d)) if mode == "residual" else None)
+    index.sizes = np.zeros(LISTS, np.int64)
+    return index.add(base(spark, d))
+
+
+def ivf_probe(**how):
+    return lambda spark, d: rounded(ivf(spark, d).probes(asked(spark, d), **how), "centroid_distance")
+
+
+def ivf_scanned(spark, d):
+    return ivf(spark, d).scanned(asked(spark, d), max_candidates=BUDGET)
+
+
+def ivf_search(mode="standard", **how):
+    return lambda spark, d: searched(ivf(spark, d, mode).search(asked(spark, d), K, **how))
+
+
+def base_plus_delta_topk(spark, d):
+    config = inverted.IvfConfig(64, LISTS, SUBSPACES, CODES, None, True)
+    index = inverted.IvfPq(config, centroids(spark, d, 1), quantiser(spark, d), None, np.zeros(LISTS, np.int64))
+    index.add(base(spark, d).filter("id < 400")).add(base(spark, d).filter("id >= 400"))
+    return searched(index.search(asked(spark, d), K, nprobe=PROBES))
+
+
+def replicated_candidates(spark, d):
+    index = ivf(spark, d)
+    count = base(spark, d).count() // 4
+    lists = inverted.replicated(inverted.margins(base(spark, d), index.centroids), count)
+    index.sizes = inverted.sizes_of(lists, LISTS)
+    return inverted.candidates(lists, index.probes(asked(spark, d), max_candidates=BUDGET))
+
+
+# ---- evaluation
+
+
+def found_and_truth(spark, d):
+    index = ivf(spark, d)
+    return index, index.search(asked(spark, d), K, max_candidates=BUDGET, rerank=20), knn.knn(base(spark, d), asked(spark, d), K, "l2")
+
+
+def recall(k):
+    def run(spark, d):
+        _, found, truth = found_and_truth(spark, d)
+        return evaluate.recall(found, truth, k).select(F.round("recall", 6).alias("recall"), "queries")
+
+    return run
+
+
+def three_recalls(spark, d):
+    index, _, truth = found_and_truth(spark, d)
+    found = evaluate.stage_recalls(index, base(spark, d), asked(spark, d), truth, K, BUDGET, 20)
+    return rounded(found, "routing_recall", "shortlist_recall", "final_recall", digits=6)
+
+
+def precision_at_10(spark, d):
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label")
+    found = knn.knn(base(spark, d), asked(spark, d), K + 1, "cosine").filter("q_id <> id")
+    return evaluate.label_precision(found.filter(F.col("rank") <= K + 1), labels).select(F.round("precision", 6).alias("precision"), "queries")
+
+
+def latency_summary(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select((F.abs("value") + 1).alias("ms"))
+    return rounded(evaluate.latency_summary(rows, "ms"), "mean_ms", "p50_ms", "p95_ms", "p99_ms", "qps", digits=6)
+
+
+CONFIGS = [
+    ("a", 0.97, 9.0, 14.0, 100, 560, 10.0), ("b", 0.94, 5.0, 8.0, 200, 400, 8.0), ("c", 0.96, 8.0, 12.0, 120, 560, 12.0), ("d", 0.99, 9.5, 12.0, 200, 700, 9.0),
+]
+
+
+def config_rows(spark):
+    return spark.createDataFrame(CONFIGS, "name string, recall_at_10 double, p50_ms double, p95_ms double, queries int, index_bytes long, build_s double")
+
+
+def config_select(spark, d):
+    return evaluate.select_config(config_rows(spark).filter("recall_at_10 >= 0.95 and queries >= 100"), ["index_bytes", "p95_ms", "build_s"])
+
+
+SEEDS = [(n, mode, seed, 0.80 + 0.01 * n + (0.004 * seed if mode == "accumulated" else 0.0), 1.0 + n + (0.5 if mode == "accumulated" else 0.0)) for n in (1, 2) for mode in ("legacy", "accumulated") for seed in range(1, 3 + n - 1)]
+
+
+def coarse_decision(spark, d):
+    rows = spark.createDataFrame(SEEDS, "config int, coarse_training string, seed int, routing_recall double, train_s double")
+    return rounded(evaluate.coarse_decision(rows, ["config"]), "gain", "legacy_s", "accumulated_s", digits=6)
+
+
+def frontier(spark, d):
+    """Cartesian sweep of settings as a table, and what each scans."""
+    index = ivf(spark, d)
+    settings = [(n, r) for n in (1, 2, 4, 8) for r in (0, 20)]
+    truth = knn.knn(base(spark, d), asked(spark, d), K, "l2")
+    parts = []
+    for nprobe, rerank in settings:
+        found = evaluate.recall(index.search(asked(spark, d), K, nprobe=nprobe, rerank=rerank), truth, K)
+        parts.append(found.select(F.lit(nprobe).alias("nprobe"), F.lit(rerank).alias("rerank"), F.round("recall", 6).alias("recall")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+QUERIES = {
+    "knn_l2": exact("l2"),
+    "knn_l2_columns": exact("l2", kernel="columns"),
+    "knn_l2_grid": exact("l2", broadcast_bytes=0),
+    "knn_cosine": exact("cosine"),
+    "knn_cosine_columns": exact("cosine", kernel="columns"),
+    "knn_dot": exact("dot"),
+    "knn_k_gt_n": exact("l2", 1000),
+    "vec_norms": vec_norms,
+    "normalize": normalized(V.normalize),
+    "normalize_rows": normalized(V.normalize_rows),
+    "vec_split": vec_split,
+    "range_count": range_count,
+    "l2_by_norms": l2_by_norms,
+    "position_ids": position_ids,
+    "kmeans_assign": kmeans_assign,
+    "kmeans_step": kmeans_fit(1),
+    "kmeans_fit3": kmeans_fit(3),
+    "kmeans_empty_retained": kmeans_empty_retained,
+    "kmeans_minibatch": kmeans_minibatch,
+    "kmeans_shift": kmeans_shift,
+    "cluster_histogram": cluster_histogram,
+    "two_nearest_margin": two_nearest_margin,
+    "assignment_mismatches": assignment_mismatches,
+    "pq_encode": pq_encode(),
+    "pq_train2_encode": pq_encode(2),
+    "pq_decode": pq_decode,
+    "pq_recon_error": pq_recon_error,
+    "pq_adc_table": pq_adc_table,
+    "pq_adc_column": pq_adc_column,
+    "pq_flat_topk": pq_flat_topk,
+    "pq_symmetric": pq_symmetric,
+    "pq_compression": pq_compression,
+    "ivf_probe_nprobe": ivf_probe(nprobe=PROBES),
+    "ivf_probe_budget": ivf_probe(max_candidates=BUDGET),
+    "ivf_scanned": ivf_scanned,
+    "ivf_adc_topk": ivf_search(nprobe=PROBES),
+    "ivf_budget_topk": ivf_search(max_candidates=BUDGET),
+    "ivf_residual_topk": ivf_search("residual", nprobe=PROBES),
+    "ivf_rerank_topk": ivf_search(nprobe=PROBES, rerank=20),
+    "ivf_residual_rerank_topk": ivf_search("residual", max_candidates=BUDGET, rerank=20),
+    "ivf_full_probe_equals_exact": ivf_search(nprobe=LISTS, rerank=100_000),
+    "base_plus_delta_topk": base_plus_delta_topk,
+    "replicated_candidates": replicated_candidates,
+    "recall_at_1": recall(1),
+    "recall_at_10": recall(10),
+    "three_recalls": three_recalls,
+    "precision_at_10": precision_at_10,
+    "latency_summary": latency_summary,
+    "config_select": config_select,
+    "coarse_decision": coarse_decision,
+    "frontier": frontier,
+}
+
+ORACLES = SQL
