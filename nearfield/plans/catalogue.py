@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
-from nearfield.operators import clustering, inverted, knn, quantize
+from nearfield.operators import clustering, graph, inverted, knn, quantize
 from nearfield.plans import evaluate
+from nearfield.plans.collections import Catalog
 from nearfield.plans.sql import SQL
+from nearfield.sources import datasets
+from nearfield.sources.storage import GraphStore, IndexStore
+from nearfield.sources.work import work_dir
+from nearfield.streaming.ingest import ingest
 
 QUERIES_BELOW, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 20, 10, 16, 125, 4, 8, 16
 
@@ -285,6 +290,140 @@ def frontier(spark, d):
     return out
 
 
+# ---- graphs
+
+GRAPH = {"dim": 64, "m": 16, "ef_construction": 64, "shards": 4}
+
+
+def hnsw(spark, d, **more):
+    index = graph.GraphIndex(**GRAPH, **more)
+    return index, index.build(base(spark, d))
+
+
+def hnsw_topk(ef=None):
+    def run(spark, d):
+        index, nodes = hnsw(spark, d)
+        return searched(index.search(nodes, asked(spark, d), K, ef))
+
+    return run
+
+
+def hnsw_pq(**how):
+    def run(spark, d):
+        index, nodes = hnsw(spark, d, pq=quantiser(spark, d))
+        return searched(index.search(nodes, asked(spark, d), K, **how))
+
+    return run
+
+
+def hnsw_recall(spark, d):
+    """Whether the default beam finds at least 85 % of the true neighbours."""
+    index, nodes = hnsw(spark, d)
+    found = evaluate.recall(index.search(nodes, asked(spark, d), K), knn.knn(base(spark, d), asked(spark, d), K, "cosine"), K)
+    return found.select((F.col("recall") >= 0.85).alias("enough"), "queries")
+
+
+def hnsw_visited(spark, d):
+    index, nodes = hnsw(spark, d)
+    return index.visited(nodes, asked(spark, d), K).groupBy("q_id").agg(F.max("nodes_visited").alias("nodes_visited"), F.max("ef").alias("ef"))
+
+
+def hnsw_levels(spark, d):
+    return base(spark, d).select("id", graph.level(F.col("id"), 16).alias("level"))
+
+
+def hnsw_degree(spark, d):
+    return graph.over_degree(hnsw(spark, d)[1], GRAPH["m"]).agg(F.count(F.lit(1)).alias("violations"))
+
+
+def hnsw_reciprocity(spark, d):
+    return graph.one_way(hnsw(spark, d)[1]).agg(F.count(F.lit(1)).alias("violations"))
+
+
+def hnsw_size(spark, d):
+    return graph.graph_bytes(hnsw(spark, d)[1]).select("nodes", (F.col("bytes") == 4 * (F.col("nodes") + F.col("edges"))).alias("consistent"))
+
+
+def hnsw_stored(spark, d):
+    index, nodes = hnsw(spark, d, pq=quantiser(spark, d))
+    store = GraphStore(spark, work_dir(spark, "graph"))
+    store.save(index, nodes)
+    index, nodes = store.load()
+    return searched(index.search(nodes, asked(spark, d), K, 1000, rerank=1000))
+
+
+# ---- storage, collections, streams
+
+
+def stored(spark, d, steps) -> IndexStore:
+    """The index of ``ivf`` on disk, after some steps."""
+    made = ivf(spark, d)
+    store = IndexStore.create(spark, work_dir(spark, "index"), made.config)
+    store.index.centroids, store.index.pq, store.index.sizes = made.centroids, made.pq, np.zeros(LISTS, np.int64)
+    store._commit(trained=True, model=store._write_model(), sizes=[0] * LISTS)
+    for step in steps:
+        step(store)
+    return IndexStore.load(spark, store.root)
+
+
+def stored_topk(compact):
+    def run(spark, d):
+        rows = base(spark, d)
+        steps = [lambda s: s.add(rows.filter("id < 300")), lambda s: s.add(rows.filter("id >= 300"))]
+        if compact:
+            steps.insert(1, lambda s: s.compact())
+            steps.append(lambda s: s.compact())
+        return searched(stored(spark, d, steps).search(asked(spark, d), K, nprobe=PROBES))
+
+    return run
+
+
+def streamed_topk(spark, d):
+    """Vectors from a stream of files, one delta segment a micro-batch, then searched."""
+
+    def step(store):
+        source = f"{store.root}-source"
+        base(spark, d).repartition(3).write.parquet(source)
+        stream = spark.readStream.schema("id bigint, vec array<float>").option("maxFilesPerTrigger", 1).parquet(source)
+        ingest(stream, store, f"{store.root}-checkpoint").awaitTermination()
+
+    return searched(stored(spark, d, [step]).search(asked(spark, d), K, nprobe=PROBES))
+
+
+def catalog(spark, d) -> Catalog:
+    found = Catalog(spark, work_dir(spark, "collections"))
+    found.create("items", 64, LISTS, pq_m=SUBSPACES, pq_k=CODES, store_full_vectors=True, pq_mode="residual", seed=None)
+    found.train("items", base(spark, d), "accumulated", rounds=2, pq_rounds=2)
+    found.add("items", base(spark, d))
+    found.create("empty", 4, 2, pq_m=2, pq_k=2)
+    return found
+
+
+def collection_stats(spark, d):
+    return catalog(spark, d).stats("items")
+
+
+def collection_list(spark, d):
+    found = catalog(spark, d)
+    return Catalog(spark, found.root).list()
+
+
+def collection_topk(spark, d):
+    """Every list and every record reranked: the exact result."""
+    return searched(catalog(spark, d).search("items", asked(spark, d), K, nprobe=LISTS, rerank=100_000))
+
+
+def uniform_vectors(spark, d):
+    rows = datasets.uniform(spark, 1000, 8, 3).select(F.explode("vec").alias("x"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min((F.col("x") >= 0) & (F.col("x") < 1)).alias("in_range"), (F.abs(F.avg("x") - 0.5) < 0.02).alias("centred"))
+
+
+def dataset_check(spark, d):
+    truth = knn.knn(base(spark, d), asked(spark, d), K, "l2").groupBy("q_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    found = datasets.check_benchmark(base(spark, d), asked(spark, d), truth, K)
+    return spark.createDataFrame([(found["base"], found["queries"], found["dim"])], "base long, queries long, dim int")
+
+
 QUERIES = {
     "knn_l2": exact("l2"),
     "knn_l2_columns": exact("l2", kernel="columns"),
@@ -337,6 +476,26 @@ QUERIES = {
     "config_select": config_select,
     "coarse_decision": coarse_decision,
     "frontier": frontier,
+    "hnsw_topk": hnsw_topk(),
+    "hnsw_full_beam": hnsw_topk(1000),
+    "hnsw_recall": hnsw_recall,
+    "hnsw_visited": hnsw_visited,
+    "hnsw_levels": hnsw_levels,
+    "hnsw_degree": hnsw_degree,
+    "hnsw_reciprocity": hnsw_reciprocity,
+    "hnsw_size": hnsw_size,
+    "hnsw_pq_topk": hnsw_pq(ef=100),
+    "hnsw_pq_full_beam": hnsw_pq(ef=1000),
+    "hnsw_pq_rerank": hnsw_pq(ef=1000, rerank=1000),
+    "hnsw_stored": hnsw_stored,
+    "stored_topk": stored_topk(False),
+    "compacted_topk": stored_topk(True),
+    "streamed_topk": streamed_topk,
+    "collection_stats": collection_stats,
+    "collection_list": collection_list,
+    "collection_topk": collection_topk,
+    "uniform_vectors": uniform_vectors,
+    "dataset_check": dataset_check,
 }
 
 ORACLES = SQL

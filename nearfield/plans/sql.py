@@ -185,4 +185,20 @@ SQL = {
     + ", ".join(f"f{n}_{r} AS MATERIALIZED ({searched(f'probe <= {n}', rerank=r)})" for n in (1, 2, 4, 8) for r in (0, 20))
     + f", {ranked(TRUTH, 't')} "
     + " UNION ALL ".join(f"SELECT {n} AS nprobe, {r} AS rerank, round(avg(CAST(EXISTS (SELECT 1 FROM f{n}_{r} f WHERE f.q_id = t.q_id AND f.id = t.id) AS INTEGER)), 6) AS recall FROM t" for n in (1, 2, 4, 8) for r in (0, 20)),
+    "hnsw_full_beam": COSINE,
+    "hnsw_recall": f"SELECT true AS enough, count(*) AS queries FROM embeddings WHERE vec_id < {QUERIES_BELOW}",
+    "hnsw_degree": "SELECT CAST(0 AS BIGINT) AS violations",
+    "hnsw_reciprocity": "SELECT CAST(0 AS BIGINT) AS violations",
+    "hnsw_size": "SELECT count(*) AS nodes, true AS consistent FROM embeddings",
+    "hnsw_pq_full_beam": FLAT,
+    "hnsw_pq_rerank": exact(dist("vec", "q")),
+    "hnsw_stored": exact(dist("vec", "q")),
+    "stored_topk": searched(BY_PROBES),
+    "compacted_topk": searched(BY_PROBES),
+    "streamed_topk": searched(BY_PROBES),
+    "collection_stats": f"SELECT 'items' AS name, count(*) AS total_vectors, CAST({4 * LISTS * 65 + 4 * 64 * CODES + 16 * LISTS} AS BIGINT) AS resident_memory_bytes, {LISTS} AS nlist, 64 AS dim, true AS trained, false AS compacted, true AS store_full_vectors, 'arrow' AS routing_backend, 'residual' AS pq_mode, 'accumulated' AS coarse_training, count(*) * {16 + SUBSPACES} AS posting_bytes, count(*) * 256 AS raw_vector_bytes FROM embeddings",
+    "collection_list": "SELECT 'items' AS name, count(*) AS total_vectors FROM embeddings UNION ALL SELECT 'empty', 0",
+    "collection_topk": exact(dist("vec", "q")),
+    "uniform_vectors": "SELECT CAST(8000 AS BIGINT) AS n, true AS in_range, true AS centred",
+    "dataset_check": f"SELECT count(*) AS base, count(*) FILTER (WHERE vec_id < {QUERIES_BELOW}) AS queries, 64 AS dim FROM embeddings",
 }
