@@ -9,10 +9,14 @@ union); a banded alignment decides that exactly, as a similar pair can't drift f
 the band. Classes are the components of these links.
 
 Plan. Texts with the same k-mers are one. Of each group of texts that share a sketch, the
-first is compared with the others; pairs are verified once wherever they meet. A group whose members
-are then in one component is done. In the others, members of different components are
-compared if at least ``AGREE`` sketches are equal, in blocks of ``BLOCK`` texts, so that a
-task's memory does not grow with the group; a pair is emitted in its first common sketch only.
+first is compared with the others; pairs are verified once wherever they meet. A group whose other members
+are then in one component is done. In the rest, members of different components that meet here first
+are candidates unless their binned signatures (the least k-mer of each of ``BINS`` hash ranges)
+show that they are not similar. Each text's ``FIRST`` likeliest candidates are verified; groups
+where a text has more are then finished exactly: their remaining candidates are
+aligned where they meet, likeliest first, but for pairs that links so far have joined. So a large
+group of near copies costs few pairs, and no link between components is lost. Groups are dealt
+out in pairs of blocks of ``BLOCK`` texts: a task's memory does not grow with the group.
 
 Defined cases: a null text is empty; a text of under five words is one k-mer; one without any
 word is one k-mer of its characters, so empty texts are copies of each other; repeated rows are
@@ -27,7 +31,6 @@ from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +39,16 @@ from nearfield.llm.components import components
 from nearfield.llm.shared import settled
 
 WORDS, SIMILAR = 5, 0.8
-SKETCHES, LEAST = 32, 2
-#: Equal sketches that two texts need to be compared beyond their group's first text; similar
-#: ones (0.8) have about 20 of 32, and less than 12 about once in a thousand pairs.
-AGREE = 12
+SKETCHES, LEAST = 16, 2
+#: Hash ranges of a signature, and the standard deviations by which a pair's share of equal
+#: bins may be short of the similarity (a similar pair is missed once in two thousand).
+BINS, SLACK = 128, 3.3
+#: Candidates of a text that are verified before its group is finished.
+FIRST = 2
 #: Texts of a group that a task compares with as many others.
 BLOCK = 1024
 #: k-mers that are hashed at a time, and words that a worker remembers.
-STEP, REMEMBERED = 1 << 15, 1_000_000
+STEP, REMEMBERED = 1 << 15, 250_000
 #: Bits of the table that tells which texts' k-mers are needed (a fixed megabyte).
 BITS = 1 << 23
 
@@ -118,6 +123,24 @@ def sketch(labelled: np.ndarray) -> np.ndarray:
     return out
 
 
+def signature(labelled: np.ndarray) -> np.ndarray:
+    """15 bits of the least k-mer in each hash range; 0 for an empty range."""
+    ranked = np.sort(labelled)
+    shift = np.uint64(64 - BINS.bit_length() + 1)
+    first = np.searchsorted(ranked, np.arange(BINS, dtype=np.uint64) << shift)
+    found = ranked[np.minimum(first, len(ranked) - 1)]
+    there = (first < len(ranked)) & (found >> shift == np.arange(BINS, dtype=np.uint64))
+    return np.where(there, (found & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
+def likely(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which signatures are near enough to one, nearest first."""
+    used = np.maximum(((others != 0) | (mine != 0)).sum(1), 1)
+    equal = ((others == mine) & (mine != 0)).sum(1)
+    near = np.flatnonzero(equal >= used * SIMILAR - SLACK * np.sqrt(used * SIMILAR * (1 - SIMILAR)))
+    return near[np.argsort(-equal[near] / used[near], kind="stable")]
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     """Most k-mers that match in order, if that makes the texts similar; else 0 or a smaller count.
 
@@ -153,37 +176,42 @@ def alignment(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     return head + tail + len(ends)
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    matches = alignment(a, b)
+    return matches * (1 + SIMILAR) >= (len(a) + len(b)) * SIMILAR - 1e-6
+
+
 def _sketches(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in texts:
-        rows: tuple[list, ...] = ([], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [])
         taken, size = 0, 0
         for text in batch.column(1):
             own = kmers(text.as_py())
-            for column, value in zip(rows, (blake2b(own.tobytes(), digest_size=16).digest(), len(own), sketch(own).view(np.int64), (own >> np.uint64(32)).astype(np.uint32).tobytes())):
+            for column, value in zip(rows, (blake2b(own.tobytes(), digest_size=16).digest(), len(own), sketch(own).view(np.int64), signature(own).tobytes(), (own >> np.uint64(32)).astype(np.uint32).tobytes())):
                 column.append(value)
             size += len(own)
             if size > 1 << 21:
                 yield _batch(batch.column(0).slice(taken, len(rows[0])), *rows)
-                taken, size, rows = taken + len(rows[0]), 0, ([], [], [], [])
+                taken, size, rows = taken + len(rows[0]), 0, ([], [], [], [], [])
         if rows[0]:
             yield _batch(batch.column(0).slice(taken, len(rows[0])), *rows)
 
 
-def _batch(ids: pa.Array, marks: list, sizes: list, keys: list, arrays: list) -> pa.RecordBatch:
+def _batch(ids: pa.Array, marks: list, sizes: list, keys: list, bins: list, arrays: list) -> pa.RecordBatch:
     flat = pa.array(np.concatenate(keys), pa.int64())
     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * SKETCHES, pa.int32()), flat)
-    return pa.RecordBatch.from_arrays([ids, pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), listed, pa.array(arrays, pa.binary())], names=["id", "mark", "size", "keys", "kmers"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), listed, pa.array(bins, pa.binary()), pa.array(arrays, pa.binary())], names=["id", "mark", "size", "keys", "bins", "kmers"])
 
 
 def sketched(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Row number, id, digest and number of k-mers, sketches, and the k-mers' 32-bit hashes."""
+    """Row number, id, digest and number of k-mers, sketches, signature, and the k-mers' 32-bit hashes."""
     rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_sketches, f"id {kind}, mark binary, size bigint, keys array<bigint>, kmers binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(_sketches, f"id {kind}, mark binary, size bigint, keys array<bigint>, bins binary, kmers binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def _matches(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([alignment(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(a, b)], pa.int64())
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(a, b)], pa.bool_())
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,24 +225,105 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = texts.select("row", "kmers", place.alias("p")).withColumn("word", F.floor(F.col("p") / 32))
     own = own.join(F.broadcast(bits), "word").filter(F.expr("shiftright(bits, cast(pmod(p, 32) as int)) & 1 = 1")).select("row", "kmers")
     met = pairs.join(own.select(F.col("row").alias("u"), F.col("kmers").alias("a")), "u").join(own.select(F.col("row").alias("v"), F.col("kmers").alias("b")), "v")
-    sized = met.select("u", "v", F.arrow_udf(_matches, "bigint")("a", "b").alias("n"), ((F.length("a") + F.length("b")) / 4).alias("total"))
-    return sized.filter(F.col("n") * (1 + SIMILAR) >= F.col("total") * SIMILAR - 1e-6).select("u", "v")
-
-
-def _crossing(own: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one group's two blocks that are in different components, agree enough, and meet here first."""
-    own = own.sort_values("row", kind="stable")
-    first, second = (own[own["part"] == p] for p in (0, 1))
-    pairs = []
-    if len(first) and len(second):
-        ours, keys = np.stack(first["keys"].to_list()), np.stack(second["keys"].to_list())
-        rows, labels = second["row"].to_numpy(), second["label"].to_numpy()
-        which, within = int(first["which"].iloc[0]), int(first["a"].iloc[0]) == int(first["b"].iloc[0])
-        for mine, row, label in zip(ours, first["row"].to_numpy(), first["label"].to_numpy()):
-            equal = keys == mine
-            use = (labels != label) & ((rows > row) if within else True) & (equal.sum(1) >= AGREE) & (equal.argmax(1) == which)
-            pairs.extend((min(row, v), max(row, v)) for v in rows[use])
-    return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+    return met.select("u", "v", F.arrow_udf(_similar, "boolean")("a", "b").alias("similar")).filter("similar").select("u", "v")
+
+
+#: A cell is a group's block, or two of them; its rows have these columns.
+CELL = ["which", "key", "a", "b"]
+ROWS = [*CELL, "part", "row", "label", "keys", "bins"]
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One batch for each cell, of rows that come sorted by cell."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch.column(i).to_numpy() for i in range(len(CELL))]
+        if held and any(held[-1].column(i)[0].as_py() != names[i][0] for i in range(len(CELL))):
+            yield whole()
+            held = []
+        edges = np.flatnonzero(np.any([np.diff(n) != 0 for n in names], axis=0)) + 1
+        bounds = [0, *edges.tolist(), batch.num_rows]
+        for start, stop in zip(bounds, bounds[1:]):
+            held.append(batch.slice(start, stop - start))
+            if stop < batch.num_rows:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
+
+
+def _candidates(cell: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a cell those that it meets here first, in another component, and may be similar to, likeliest first."""
+    which, _, a, b = (cell.column(i)[0].as_py() for i in range(len(CELL)))
+    part, labels = cell.column(4).to_numpy(), cell.column(6).to_numpy()
+    if (labels == labels[0]).all():
+        return
+    keys = cell.column(7).flatten().to_numpy().reshape(len(labels), SKETCHES)
+    bins = np.frombuffer(b"".join(cell.column(8).to_pylist()), np.uint16).reshape(len(labels), BINS)
+    second = np.arange(len(labels)) if a == b else np.flatnonzero(part == 1)
+    for i in range(len(labels)) if a == b else np.flatnonzero(part == 0):
+        other = second[second > i] if a == b else second
+        other = other[labels[other] != labels[i]]
+        if which:
+            other = other[~(keys[other, :which] == keys[i, :which]).any(1)]
+        other = other[likely(bins[i], bins[other])] if len(other) else other
+        if len(other):
+            yield int(i), other
+
+
+def _likeliest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's first candidates (u, v); a cell where a row has more is told by a row without u."""
+    names, out = ["u", "v", *CELL], []
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    for cell in _cells(batches):
+        rows, more = cell.column(5).to_numpy(), False
+        for i, others in _candidates(cell):
+            more |= len(others) > FIRST
+            out.extend((int(min(rows[i], v)), int(max(rows[i], v)), None, None, None, None) for v in rows[others[:FIRST]])
+        if more:
+            out.append((None, None, *(cell.column(i)[0].as_py() for i in range(len(CELL)))))
+        if len(out) > 1 << 14:
+            yield batch()
+            out = []
+    if out:
+        yield batch()
+
+
+def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) that join a cell's components: all candidates are aligned, but for those that links already join."""
+    for cell in _cells(batches):
+        rows, labels, joined, links = cell.column(5).to_numpy(), cell.column(6).to_numpy(), {}, []
+
+        def root(label: int) -> int:
+            while label in joined:
+                label = joined[label]
+            return label
+
+        arrays: dict[int, np.ndarray] = {}
+
+        def kmers_of(i: int) -> np.ndarray:
+            if i not in arrays:
+                arrays[i] = np.frombuffer(cell.column(9)[i].as_py(), np.uint32)
+            return arrays[i]
+
+        for i, others in _candidates(cell):
+            for j in others.tolist():
+                mine, other = root(labels[i]), root(labels[j])
+                if mine != other and similar(kmers_of(i), kmers_of(j)):
+                    joined[max(mine, other)] = min(mine, other)
+                    links.append((int(min(rows[i], rows[j])), int(max(rows[i], rows[j]))))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["u", "v"])
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,19 +337,29 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     groups = settled(groups.join(shared, ["which", "key"]))
     links = settled(verified(groups.filter("row <> leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct(), texts))
     stars = components(links)
-    label = F.coalesce("v", "row").alias("label")
-    labelled = groups.join(stars.withColumnRenamed("u", "row"), "row", "left").select("which", "key", "row", "n", label)
-    open_groups = labelled.groupBy("which", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("which", "key")
-    left = settled(labelled.join(open_groups, ["which", "key"]))
+    label = F.coalesce("v", "row")
+    labelled = groups.join(stars.withColumnRenamed("u", "row"), "row", "left").select("which", "key", "row", "leader", "n", label.alias("label"))
+    others = F.when(F.col("row") != F.col("leader"), F.col("label"))  # pairs with the leader have been verified
+    open_groups = labelled.groupBy("which", "key").agg(F.min(others).alias("low"), F.max(others).alias("high")).filter("low <> high").select("which", "key")
+    left = settled(labelled.filter("n > 2").join(open_groups, ["which", "key"]).filter("row <> leader").drop("leader"))
     if left.limit(1).count():
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), F.when(own == other, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(own < other, 0).otherwise(1))).alias("parts")))
-        dealt = left.select("which", "key", "row", "label", F.explode(cells).alias("c")).select("which", "key", "row", "label", "c.a", "c.b", F.explode("c.parts").alias("part"))
-        dealt = dealt.join(texts.select("row", "keys"), "row")
-        crossing = dealt.groupBy("which", "key", "a", "b").applyInPandas(_crossing, "u bigint, v bigint")
-        links = links.unionByName(verified(settled(crossing), texts))
+        cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), F.when(own <= other, 0).otherwise(1).alias("part")))
+        dealt = left.select("which", "key", "row", "label", F.explode(cells).alias("c")).select("which", "key", "c.a", "c.b", "c.part", "row", "label")
+        dealt = settled(dealt)
+        sorted_cells = lambda rows: rows.repartition(*CELL).sortWithinPartitions(*CELL, "part", "row")
+        signed = texts.select("row", "keys", "bins")
+        first = settled(sorted_cells(dealt.join(signed, "row").select(*ROWS)).mapInArrow(_likeliest, "u bigint, v bigint, which int, key bigint, a int, b int"))
+        links = settled(links.unionByName(verified(first.filter("u is not null").select("u", "v").distinct(), texts)))
         stars = components(links)
+        unfinished = first.filter("u is null").select(*CELL)
+        if unfinished.limit(1).count():
+            rest = dealt.join(unfinished, CELL).drop("label")
+            rest = rest.join(stars.withColumnRenamed("u", "row"), "row", "left").withColumn("label", label)
+            rest = rest.join(texts.select("row", "keys", "bins", "kmers"), "row").select(*ROWS, "kmers")
+            links = links.unionByName(settled(sorted_cells(rest).mapInArrow(_finished, "u bigint, v bigint")))
+            stars = components(links)
     found = members.join(stars.select(F.col("u").alias("first"), "v"), "first", "left").select("row", "id", F.coalesce("v", "first").alias("label"))
     found = settled(found)
     sizes = found.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "row")).alias("least"))
