@@ -128,10 +128,7 @@ class IvfPq:
         ``nprobe`` nearest lists, or the fewest nearest ones that hold ``max_candidates`` records.
         """
         self._trained()
-        if nprobe is not None and max_candidates is not None:
-            raise ValueError("give nprobe or max_candidates, not both")
-        if (nprobe is not None and nprobe <= 0) or (max_candidates is not None and max_candidates <= 0):
-            raise ValueError("nprobe and max_candidates must be positive")
+        check_routing(nprobe, max_candidates)
         count = min(PROBES if nprobe is None else nprobe, self.config.nlist)
         sent = queries.sparkSession.sparkContext.broadcast((self.centroids, self.sizes))
 
@@ -166,6 +163,7 @@ class IvfPq:
     def shortlist(self, queries: DataFrame, size: int, nprobe: int | None = None, max_candidates: int | None = None, rerank: bool = False) -> DataFrame:
         """[q_id, rank, id, distance, exact] of the ``size`` nearest by codes."""
         self._trained()
+        check_routing(nprobe, max_candidates)
         spark = queries.sparkSession
         if rerank and not self.config.store_full_vectors:
             raise ValueError("reranking needs an index with store_full_vectors")
@@ -215,6 +213,13 @@ class IvfPq:
         return postings.select(*columns).mapInArrow(run, "q_id bigint, id bigint, distance double, exact double")
 
 
+def check_routing(nprobe: int | None, max_candidates: int | None) -> None:
+    if nprobe is not None and max_candidates is not None:
+        raise ValueError("give nprobe or max_candidates, not both")
+    if (nprobe is not None and nprobe <= 0) or (max_candidates is not None and max_candidates <= 0):
+        raise ValueError("nprobe and max_candidates must be positive")
+
+
 def probed(postings: DataFrame, lists: list[int]) -> DataFrame:
     """The postings of some lists, filtered by literals that a stored segment is pruned by."""
     if "bucket" in postings.columns:
