@@ -18,16 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.kernels import matrix, nearest
+from nearfield.operators.knn import with_position_ids
 
 #: Most bytes of centroids (as doubles).
 MOST_BYTES = 1 << 30
+#: Rows that a top-k may gather in one task.
+TOP_K = 20_000
 MODES = ("legacy", "accumulated")
 
 
 def first_rows(vectors: DataFrame, count: int, seed: int | None = None) -> DataFrame:
-    """``count`` rows: those of lowest id or, with a seed, of lowest hash (a sample without replacement)."""
+    """``count`` rows: those of lowest id or, with a seed, of lowest hash (a sample without replacement).
+
+    A few come from a top-k; for more, rows are range-sorted and numbered, so none gathers them.
+    """
     order = ["id"] if seed is None else [F.xxhash64(F.col("id"), F.lit(seed)), "id"]
-    return vectors.orderBy(*order).limit(count)
+    if count <= TOP_K:
+        return vectors.orderBy(*order).limit(count)
+    numbered = with_position_ids(vectors.withColumn("_order", F.lit(0) if seed is None else order[0]), ["_order", "id"], to="_position")
+    return numbered.filter(F.col("_position") < count).drop("_order", "_position")
 
 
 def start_centroids(vectors: DataFrame, count: int, seed: int | None = None) -> np.ndarray:

@@ -127,12 +127,13 @@ def _grid(base: DataFrame, queries: DataFrame, n: int, dim: int, k: int, metric:
     return dealt.mapInArrow(run, RESULT)
 
 
-def with_position_ids(vectors: DataFrame, order: str, offset: int = 0) -> DataFrame:
-    """Ids by position in ``order``, from ``offset``: each partition's ids follow the previous one's.
+def with_position_ids(vectors: DataFrame, order: str | list[str], offset: int = 0, to: str = "id") -> DataFrame:
+    """Numbers by position in ``order``, from ``offset``: each partition's follow the previous one's.
 
     A range shuffle sorts; positions need only the partitions' sizes on the driver.
     """
-    dealt = vectors.repartitionByRange(order).sortWithinPartitions(order)
+    order = [order] if isinstance(order, str) else order
+    dealt = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     sizes = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], offset
@@ -140,4 +141,4 @@ def with_position_ids(vectors: DataFrame, order: str, offset: int = 0) -> DataFr
         starts.append(total)
         total += sizes.get(part, 0)
     at = F.get(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("_part")) if starts else F.lit(offset)
-    return numbered.withColumn("id", at + F.col("_place")).drop("_part", "_place")
+    return numbered.withColumn(to, at + F.col("_place")).drop("_part", "_place")

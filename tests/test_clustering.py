@@ -59,3 +59,12 @@ def test_histogram_has_empty_clusters(table):
 def test_nearest_ties_go_to_the_lowest_number(table):
     rows = clustering.assign(table(np.zeros((4, 2))), np.array([[1.0, 0.0], [-1.0, 0.0], [0.0, 1.0]])).collect()
     assert {r.cluster_id for r in rows} == {0}
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+def test_large_samples_are_the_small_ones(table, monkeypatch, seed):
+    rows = table(uniform(200, 2, 7), partitions=5)
+    small = sorted(r.id for r in clustering.first_rows(rows, 60, seed).collect())
+    monkeypatch.setattr(clustering, "TOP_K", 10)
+    large = clustering.first_rows(rows, 60, seed)
+    assert large.columns == ["id", "vec"] and sorted(r.id for r in large.collect()) == small
