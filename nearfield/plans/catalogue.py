@@ -221,6 +221,40 @@ def replicated_candidates(spark, d):
     return inverted.candidates(lists, index.probes(asked(spark, d), max_candidates=BUDGET))
 
 
+# ---- more rows: four-component vectors of order lines, standardised by fixed constants
+
+
+def lines(spark, d) -> DataFrame:
+    standard = [("l_quantity", 25.0, 15.0), ("l_extendedprice", 38000.0, 23000.0), ("l_discount", 0.05, 0.03), ("l_tax", 0.04, 0.025)]
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(*((F.col(c) - mean) / by for c, mean, by in standard)).alias("vec"))
+
+
+def corners() -> np.ndarray:
+    """The sixteen vectors of -1 and 1: component p of number i is bit p."""
+    return np.array([[2.0 * (i >> p & 1) - 1 for p in range(4)] for i in range(16)])
+
+
+def line_queries(spark, factor=0.5) -> DataFrame:
+    return spark.createDataFrame([(i, [float(factor * x) for x in v]) for i, v in enumerate(corners())], "q_id bigint, q array<double>")
+
+
+def lines_knn(spark, d):
+    return searched(knn.knn(lines(spark, d), line_queries(spark), K, "l2"))
+
+
+def lines_histogram(spark, d):
+    rows = lines(spark, d)
+    return clustering.histogram(clustering.assign(rows, clustering.kmeans(rows, LISTS, 2, None, 0.0, start=corners())), LISTS)
+
+
+def lines_scanned(spark, d):
+    """How many lists and records a budget reads."""
+    rows = lines(spark, d)
+    index = inverted.IvfPq(inverted.IvfConfig(4, LISTS, 2, CODES, None), clustering.kmeans(rows, LISTS, 1, None, 0.0, start=corners()), quantize.ProductQuantizer(4, 2, CODES, None).train(rows, 0), None, np.zeros(LISTS, np.int64))
+    return index.add(rows).scanned(line_queries(spark), max_candidates=6000)
+
+
 # ---- evaluation
 
 
@@ -468,6 +502,9 @@ QUERIES = {
     "ivf_full_probe_equals_exact": ivf_search(nprobe=LISTS, rerank=100_000),
     "base_plus_delta_topk": base_plus_delta_topk,
     "replicated_candidates": replicated_candidates,
+    "lines_knn": lines_knn,
+    "lines_histogram": lines_histogram,
+    "lines_scanned": lines_scanned,
     "recall_at_1": recall(1),
     "recall_at_10": recall(10),
     "three_recalls": three_recalls,

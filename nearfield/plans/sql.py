@@ -119,6 +119,12 @@ def ranked(sql: str, name: str) -> str:
     return f"{name} AS MATERIALIZED ({sql})"
 
 
+CORNERS = "SELECT CAST(i AS INTEGER) AS i, list_transform(range(4), lambda p: 2.0::DOUBLE * ((i >> p) & 1) - 1) AS c FROM (SELECT unnest(range(16)) AS i)"
+LINES = f"rows AS (SELECT l_orderkey * 8 + l_linenumber AS id, row_number() OVER () AS n, [(l_quantity - 25.0::DOUBLE) / 15.0::DOUBLE, (l_extendedprice - 38000.0::DOUBLE) / 23000.0::DOUBLE, (l_discount - 0.05::DOUBLE) / 0.03::DOUBLE, (l_tax - 0.04::DOUBLE) / 0.025::DOUBLE] AS vec FROM lineitem), q AS (SELECT CAST(i AS BIGINT) AS q_id, list_transform(c, lambda x: 0.5 * x) AS q FROM ({CORNERS}))"
+#: Ids repeat, so what groups by row takes the row's number.
+NUMBERED = f"{LINES}, v AS (SELECT n AS id, vec FROM rows)"
+LINE_START = f"SELECT i AS cluster_id, c FROM ({CORNERS})"
+
 FOUND, TRUTH = searched(BY_BUDGET, rerank=20), exact(dist("vec", "q"))
 
 
@@ -174,6 +180,9 @@ SQL = {
     "ivf_full_probe_equals_exact": exact(dist("vec", "q")),
     "base_plus_delta_topk": searched(BY_PROBES),
     "replicated_candidates": f"WITH {BASE}, {CENTROIDS}, {MARGIN.format(c='c1')}, post AS (SELECT id, first AS cluster_id FROM mg UNION ALL SELECT id, second FROM (SELECT * FROM mg ORDER BY margin, id LIMIT (SELECT count(*) // 4 FROM v))), sizes AS (SELECT c1.cluster_id, count(post.id) AS n FROM c1 LEFT JOIN post USING (cluster_id) GROUP BY 1), {ROUTED} SELECT DISTINCT q_id, id FROM rk JOIN post USING (cluster_id) WHERE {BY_BUDGET}",
+    "lines_knn": f"WITH {LINES}, d AS (SELECT q_id, id, {dist('vec', 'q')} AS distance FROM rows, q) {top('d')}",
+    "lines_histogram": f"WITH {NUMBERED}, {rounds(2, LINE_START)}, post AS ({assigned('c2')}) SELECT c2.cluster_id, count(post.id) AS n FROM c2 LEFT JOIN post USING (cluster_id) GROUP BY 1",
+    "lines_scanned": f"WITH {NUMBERED}, {rounds(1, LINE_START)}, {LISTED}, {ROUTED} SELECT q_id, count(*) AS lists, CAST(sum(n) AS BIGINT) AS scanned FROM rk WHERE cum - n < 6000 GROUP BY q_id",
     "recall_at_1": recall(1),
     "recall_at_10": recall(10),
     "three_recalls": f"WITH {ranked(FOUND, 'f')}, {ranked(TRUTH, 't')}, {ranked(_SHORT, 'sh')}, {ranked(f'{IVF} SELECT q_id, id FROM rk JOIN post USING (cluster_id) WHERE {BY_BUDGET}', 'ro')} SELECT round(avg(CAST(EXISTS (SELECT 1 FROM ro WHERE ro.q_id = t.q_id AND ro.id = t.id) AS INTEGER)), 6) AS routing_recall, round(avg(CAST(EXISTS (SELECT 1 FROM sh WHERE sh.q_id = t.q_id AND sh.id = t.id) AS INTEGER)), 6) AS shortlist_recall, round(avg(CAST(EXISTS (SELECT 1 FROM f WHERE f.q_id = t.q_id AND f.id = t.id) AS INTEGER)), 6) AS final_recall FROM t",

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from nearfield.plans import catalogue, evaluate
 
 FOLDER = "/root/testdata/sf0.01"
-TABLES = "embeddings events"
+TABLES = "embeddings events lineitem"
 
 
 @pytest.fixture(scope="module")
