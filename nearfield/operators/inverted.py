@@ -27,6 +27,8 @@ from nearfield.operators.quantize import ProductQuantizer, checked_queries, look
 PQ_MODES, BACKENDS, PROBES = ("standard", "residual"), ("arrow", "numpy", "mlx"), 8
 #: Directories of a stored segment; a list is in bucket ``cluster_id % BUCKETS``.
 BUCKETS = 16
+#: Distance tables of all queries that a task keeps, where they don't depend on the list.
+TABLE_BYTES = 128 << 20
 #: Lists beyond which a probe filter is not written as a literal.
 LITERALS = 2000
 
@@ -186,6 +188,7 @@ class IvfPq:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, rows, asked, pq, centroids = sent.value
             state = Best(len(rows), size, np.float64)
+            whole = pq.tables(rows) if centroids is None and len(rows) * pq.m * pq.k * 8 <= TABLE_BYTES else None
             for batch in batches:
                 lists = batch.column(0).to_numpy()
                 order = np.argsort(lists, kind="stable")
@@ -201,7 +204,7 @@ class IvfPq:
                     raw = matrix(part.column(3), rows.shape[1]) if rerank else None
                     for at in range(0, len(who), 256):
                         own = who[at : at + 256]
-                        table = pq.tables(rows[own] - centroids[c] if centroids is not None else rows[own])
+                        table = whole[own] if whole is not None else pq.tables(rows[own] - centroids[c] if centroids is not None else rows[own])
                         found = looked_up(table, codes)
                         which, record = np.nonzero(found <= state.distances[own, -1:])
                         more = exact(rows[own[which]], raw[record], "l2") if rerank else np.zeros(len(which))
