@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import exact, language, near, packing
 from nearfield.llm.registry import held_out, vocabulary
-from nearfield.llm.shared import settled
+from nearfield.llm.shared import settled, without
 
 ROW = "_stage_row"
 
@@ -32,7 +32,7 @@ def _kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFr
     numbered = settled(docs.withColumn(ROW, F.monotonically_increasing_id()))
     judged = operator(numbered.select(F.struct("doc_id", ROW).alias("doc_id"), "text"))
     gone = judged.filter(~F.col("kept")).select(F.col(f"doc_id.{ROW}").alias(ROW))
-    return numbered.join(gone, ROW, "left_anti").drop(ROW)
+    return without(numbered, settled(gone), ROW).drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

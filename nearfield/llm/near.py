@@ -26,8 +26,10 @@ columns other than the two named are not read.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.components import components
-from nearfield.llm.shared import settled
+from nearfield.llm.shared import may_be_among, release, settled
 
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, LEAST = 16, 2
@@ -47,10 +49,9 @@ BINS, SLACK = 128, 3.3
 FIRST = 2
 #: Texts of a group that a task compares with as many others.
 BLOCK = 1024
-#: k-mers that are hashed at a time, and words that a worker remembers.
-STEP, REMEMBERED = 1 << 15, 250_000
-#: Bits of the table that tells which texts' k-mers are needed (a fixed megabyte).
-BITS = 1 << 23
+#: k-mers that are hashed at a time, and characters whose words are.
+STEP, SLICE = 1 << 15, 1 << 20
+_GAP = re.compile(r"\s")
 
 _draw = np.random.default_rng(20190705)
 _FACTORS = _draw.integers(0, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -64,31 +65,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _digest(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
-class _WordHashes(dict):
-    """Hash of each word as it stands between white space; 0 for one without letter or digit."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        plain = word if word.isalnum() else "".join(filter(str.isalnum, word))
-        found = self[word] = (_digest(plain) or 1) if plain else 0
-        return found
-
-
-_hashes = _WordHashes()
+@lru_cache(maxsize=1)
+def _characters() -> np.ndarray:
+    """For each code point: 1 if white space, 2 if letter or digit, else 0."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    for point in range(0x110000):
+        char = chr(point)
+        kinds[point] = 2 if char.isalnum() else char.isspace()
+    return kinds
+
+
+def _hashed(points: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of runs of code points: the first at ``starts``, the last ends at ``length``."""
+    sizes = np.diff(np.append(starts, length))
+    powers = np.full(int(sizes.max(initial=1)), _FACTORS[0])
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    place = np.arange(length) - np.repeat(starts, sizes)
+    return _mixed(np.add.reduceat(_mixed(points.astype(np.uint64) + np.uint64(1)) * powers[place], starts) + sizes.astype(np.uint64))
+
+
+def words(text: str) -> np.ndarray:
+    """Hashes of a text's words: what is between white space, case-folded, less all but letters and digits."""
+    kinds, out, start = _characters(), [], 0
+    while start < len(text):
+        gap = _GAP.search(text, start + SLICE) if len(text) - start > SLICE else None
+        stop = gap.end() if gap else len(text)
+        points = np.frombuffer(text[start:stop].casefold().encode("utf-32-le", "replace"), dtype=np.uint32)
+        kind = kinds[points]
+        number = np.cumsum(kind == 1)[kind == 2]  # of the white space before each letter or digit
+        if len(number):
+            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            out.append(_hashed(points[kind == 2], starts, len(number)))
+        start = stop
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def kmers(text: str | None) -> np.ndarray:
     """64-bit hashes of the occurrence-labelled k-mers of a text, in text order."""
-    words = (text or "").casefold().split()
-    hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    hashed = hashed[hashed != 0]
+    hashed = words(text or "")
     if not len(hashed):
-        return np.array([_digest("\x00" + " ".join(words))], dtype=np.uint64)
+        points = np.frombuffer(("\x00" + " ".join((text or "").split())).encode("utf-32-le", "replace"), dtype=np.uint32)
+        return _hashed(points, np.zeros(1, dtype=np.int64), len(points))
     count = max(1, len(hashed) - WORDS + 1)
     joined = np.zeros(count, dtype=np.uint64)
     for i in range(min(WORDS, len(hashed))):
@@ -195,6 +213,7 @@ def _sketches(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 taken, size, rows = taken + len(rows[0]), 0, ([], [], [], [], [])
         if rows[0]:
             yield _batch(batch.column(0).slice(taken, len(rows[0])), *rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _batch(ids: pa.Array, marks: list, sizes: list, keys: list, bins: list, arrays: list) -> pa.RecordBatch:
@@ -219,11 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The k-mers of texts that take part are picked by a bit table of fixed size first.
     """
-    place = F.pmod(F.xxhash64("row"), F.lit(BITS))
-    needed = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).select(place.alias("p"))
-    bits = needed.groupBy(F.floor(F.col("p") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 32) as int))")).alias("bits"))
-    own = texts.select("row", "kmers", place.alias("p")).withColumn("word", F.floor(F.col("p") / 32))
-    own = own.join(F.broadcast(bits), "word").filter(F.expr("shiftright(bits, cast(pmod(p, 32) as int)) & 1 = 1")).select("row", "kmers")
+    needed = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row")))
+    own = may_be_among(texts.select("row", "kmers"), needed, "row", "needed").filter("needed").select("row", "kmers")
     met = pairs.join(own.select(F.col("row").alias("u"), F.col("kmers").alias("a")), "u").join(own.select(F.col("row").alias("v"), F.col("kmers").alias("b")), "v")
     return met.select("u", "v", F.arrow_udf(_similar, "boolean")("a", "b").alias("similar")).filter("similar").select("u", "v")
 
@@ -349,18 +365,24 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         dealt = left.select("which", "key", "row", "label", F.explode(cells).alias("c")).select("which", "key", "c.a", "c.b", "c.part", "row", "label")
         dealt = settled(dealt)
         sorted_cells = lambda rows: rows.repartition(*CELL).sortWithinPartitions(*CELL, "part", "row")
-        signed = texts.select("row", "keys", "bins")
-        first = settled(sorted_cells(dealt.join(signed, "row").select(*ROWS)).mapInArrow(_likeliest, "u bigint, v bigint, which int, key bigint, a int, b int"))
+
+        def joined(rows: DataFrame, *columns: str) -> DataFrame:
+            """Rows with columns of their texts; of the texts only those are shuffled that take part."""
+            own = may_be_among(texts.select("row", *columns), rows.select("row"), "row", "needed").filter("needed").drop("needed")
+            return rows.join(own, "row").select(*ROWS, *columns[2:])
+
+        first = settled(sorted_cells(joined(dealt, "keys", "bins")).mapInArrow(_likeliest, "u bigint, v bigint, which int, key bigint, a int, b int"))
         links = settled(links.unionByName(verified(first.filter("u is not null").select("u", "v").distinct(), texts)))
         stars = components(links)
         unfinished = first.filter("u is null").select(*CELL)
         if unfinished.limit(1).count():
             rest = dealt.join(unfinished, CELL).drop("label")
             rest = rest.join(stars.withColumnRenamed("u", "row"), "row", "left").withColumn("label", label)
-            rest = rest.join(texts.select("row", "keys", "bins", "kmers"), "row").select(*ROWS, "kmers")
-            links = links.unionByName(settled(sorted_cells(rest).mapInArrow(_finished, "u bigint, v bigint")))
+            rest = settled(rest.select(*CELL, "part", "row", "label"))
+            links = links.unionByName(settled(sorted_cells(joined(rest, "keys", "bins", "kmers")).mapInArrow(_finished, "u bigint, v bigint")))
             stars = components(links)
     found = members.join(stars.select(F.col("u").alias("first"), "v"), "first", "left").select("row", "id", F.coalesce("v", "first").alias("label"))
     found = settled(found)
+    release(texts, members, groups, left)  # what follows reads ``found`` alone
     sizes = found.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "row")).alias("least"))
     return found.join(sizes, "label").select(F.col("id").alias(key), "class_id", "class_size", (F.col("row") == F.col("least.row")).alias("kept"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a table that tells which keys may be among some others (at most a few megabytes, whatever the input).
+BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,4 +33,34 @@ def settled(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table._settled_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._settled_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def may_be_among(frame: DataFrame, keys: DataFrame, key: str, to: str) -> DataFrame:
+    """``frame`` with a column that is false only where its ``key`` is not in ``keys``.
+
+    The keys' hashes set bits in a table of fixed size, which is broadcast. So what surely
+    needs no join can be told apart from the rest before anything is shuffled.
+    """
+    place = lambda: F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
+    bits = keys.select(place().alias("_p")).groupBy(F.floor(F.col("_p") / 32).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(_p, 32) as int))")).alias("_bits"))
+    marked = frame.withColumn("_p", place()).withColumn("_word", F.floor(F.col("_p") / 32)).join(F.broadcast(bits), "_word", "left")
+    found: Column = F.expr("coalesce(shiftright(_bits, cast(pmod(_p, 32) as int)) & 1, 0) = 1")
+    return marked.withColumn(to, found).drop("_p", "_word", "_bits")
+
+
+def without(frame: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``frame`` whose ``key`` is not in ``keys``; only those that may be are shuffled."""
+    marked = may_be_among(frame, keys, key, "_maybe")
+    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
+    return sure.unionByName(marked.filter("_maybe").drop("_maybe").join(keys.select(key), key, "left_anti").select(*sure.columns))

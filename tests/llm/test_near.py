@@ -121,6 +121,15 @@ def test_kmers_are_labelled_by_occurrence():
     assert (near.kmers(None) == near.kmers("")).all() and (near.kmers("!!!") != near.kmers("")).all()
 
 
+def test_words_in_slices(monkeypatch):
+    text = "One two, (three) --- ß É\u2028four\tfive " * 40 + "x" * 500 + " end"
+    whole = near.words(text)
+    assert len(whole) == 7 * 40 + 2 and len(set(whole.tolist())) == 9
+    monkeypatch.setattr(near, "SLICE", 16)
+    assert (near.words(text) == whole).all()
+    assert len(near.words(" ,; ")) == len(near.words("")) == 0
+
+
 def test_sketches_in_steps(monkeypatch):
     own = near.kmers(" ".join(f"w{i}" for i in range(700)))
     whole = near.sketch(own)
