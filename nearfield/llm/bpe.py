@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers (some 50 bytes each); then the latest texts' words stay.
-RECENT = 1_000_000
+RECENT = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -223,7 +223,7 @@ class MergeList:
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _GAP = regex.compile(r"\s")
 #: Characters of texts that are encoded together.
-SLICE = 1 << 23
+SLICE = 1 << 21
 
 
 class BpeCodec:

@@ -13,6 +13,7 @@ rows with null text or language are not learned from; columns not named are not
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most labelled documents of a language that are learned from, and of all together.
-PER_LANGUAGE, IN_ALL = 400, 20_000
+PER_LANGUAGE, IN_ALL = 250, 20_000
 FEATURES = 1 << 12
+#: So many times the documents needed of a language are expected in the range of hashes that is looked at.
+AMPLE = 8
 #: Bytes of a text whose grams are counted at a time.
 STEP = 1 << 20
 #: How fast confidence grows with the margin.
@@ -68,19 +71,20 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / total).astype(np.float32) if total else counts.astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """Weights and bias of a linear machine (squared hinge), by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    weights, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    diagonal = (x * x).sum(1) + 0.5 / cost
+def svm(x: np.ndarray, use: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
+    """Weights and bias of a linear machine (squared hinge) for the rows ``use`` of ``x``, by dual coordinate descent."""
+    weights, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(use))
+    diagonal = [float(x[row] @ x[row]) + 1 + 0.5 / cost for row in use]
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (weights @ x[i]) - 1 + 0.5 * alpha[i] / cost) / diagonal[i], 0.0) - alpha[i]
+        for i in order.permutation(len(use)).tolist():
+            own = x[use[i]]
+            step = max(alpha[i] - (y[i] * (float(weights @ own) + bias) - 1 + 0.5 * alpha[i] / cost) / diagonal[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                weights += step * y[i] * x[i]
-    return weights.astype(np.float32)
+                weights += (step * y[i]) * own
+                bias += step * y[i]
+    return np.append(weights, bias).astype(np.float32)
 
 
 @dataclass
@@ -104,13 +108,14 @@ class Choice:
         return self.names[best], float(1 / (1 + np.exp(-SLOPE * least[best])))
 
     @staticmethod
-    def learn(x: np.ndarray, labels: np.ndarray) -> Choice:
-        names = sorted(set(labels))
+    def learn(x: np.ndarray, labels: np.ndarray, among: np.ndarray) -> Choice:
+        """Machines over the labels of the rows ``among``."""
+        names = sorted(set(labels[among]))
         pairs = list(combinations(range(len(names)), 2))
         weights = []
         for a, b in pairs:
-            use = (labels == names[a]) | (labels == names[b])
-            weights.append(svm(x[use], np.where(labels[use] == names[a], 1.0, -1.0)))
+            use = among[(labels[among] == names[a]) | (labels[among] == names[b])]
+            weights.append(svm(x, use, np.where(labels[use] == names[a], 1.0, -1.0)))
         return Choice(names, pairs, np.stack(weights) if weights else None)
 
 
@@ -132,18 +137,34 @@ def _feature_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
+def _sample(rows: DataFrame, shares: dict[str, float]) -> pa.Table:
+    """Language, place and features of each language's first documents by hash, from a share of its hashes."""
+    least = F.lit(-(2**63))
+    for share in sorted(set(shares.values())):
+        codes = [code for code, own in shares.items() if own == share]
+        least = F.when(F.col("lang").isin(codes), F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(least)
+    first = Window.partitionBy("lang").orderBy("order", "key", "text")
+    rows = rows.filter(F.col("order") <= least).filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE)
+    return rows.select("lang", "n", F.arrow_udf(_feature_bytes, "binary")("text").alias("x")).orderBy("n", "lang").limit(IN_ALL).toArrow()
+
+
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from the labelled rows' text and language (the key only orders the sample)."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("order"), F.col(key).alias("key")).filter("text is not null and lang is not null")
-    first = Window.partitionBy("lang").orderBy("order", "key", "text")
-    rows = rows.filter(rows.text.rlike(r"\p{L}")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE)
-    found = rows.select("lang", "n", F.arrow_udf(_feature_bytes, "binary")("text").alias("x")).orderBy("n", "lang").limit(IN_ALL).collect()
-    if not found:
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(IN_ALL).collect()}
+    # hashes are uniform: this share of a language surely holds its documents of least hash
+    shares = {code: min(1.0, AMPLE * PER_LANGUAGE / n) for code, n in sizes.items()}
+    found = _sample(rows, shares)
+    taken = Counter(found["lang"].to_pylist())
+    if any(share < 1 and taken[code] < PER_LANGUAGE for code, share in shares.items()):  # ids that repeat
+        found = _sample(rows, dict.fromkeys(shares, 1.0))
+    if not len(found):
         return LanguageModel(None, {})
-    x = np.stack([np.frombuffer(r.x, dtype=np.float32) for r in found])
-    labels = np.array([r.lang for r in found], dtype=object)
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+    labels = np.array(found["lang"].to_pylist(), dtype=object)
     families = np.array([FAMILY_OF.get(code, code) for code in labels], dtype=object)
-    return LanguageModel(Choice.learn(x, families), {f: Choice.learn(x[families == f], labels[families == f]) for f in sorted(set(families))})
+    return LanguageModel(Choice.learn(x, families, np.arange(len(x))), {f: Choice.learn(x, labels, np.flatnonzero(families == f)) for f in sorted(set(families))})
 
 
 def predict(documents: DataFrame, model: LanguageModel, text: str = "text", to: str = "language") -> DataFrame:

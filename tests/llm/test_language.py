@@ -57,7 +57,12 @@ def test_family_first(documents):
 
 
 def test_sample_is_bounded(documents, monkeypatch):
+    rows = documents.filter("lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("order"), F.col("doc_id").alias("key"))
     monkeypatch.setattr(language, "PER_LANGUAGE", 5)
+    whole, part = (language._sample(rows, dict.fromkeys(SYLLABLES, share)) for share in (1.0, 0.5))
+    assert len(whole) == 25 and whole.to_pylist() == part.to_pylist()
+    same_id = language.learn(documents.withColumn("doc_id", F.lit(3)))
+    assert set(same_id.within["romance"].names) == {"es", "fr"}
     assert language.learn(documents)("der und ein sch ung keit")[0] == "de"
 
 
