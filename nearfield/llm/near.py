@@ -5,8 +5,8 @@ labelled with its occurrence number. A sketch keeps, for each of ``SKETCHES`` ha
 the ``LEAST`` minimum labelled k-mers in their text order, so that equal sketches need the
 same k-mers in the same order. Texts meet where a sketch is equal. Two texts are near copies
 if an order-keeping alignment of their k-mers matches at least 0.8 of all (matches over the
-union); a banded alignment decides that exactly, as a similar pair can't drift further than
-the band. Classes are the components of these links.
+union); a banded alignment of the k-mers without labels decides that exactly, as a similar pair
+can't drift further than the band. Classes are the components of these links.
 
 Plan. Texts with the same k-mers are one. Of each group of texts that share a sketch, the
 first is compared with the others; pairs are verified once wherever they meet. A group whose other members
@@ -51,6 +51,8 @@ FIRST = 2
 BLOCK = 1024
 #: k-mers that are hashed at a time, and characters whose words are.
 STEP, SLICE = 1 << 15, 1 << 20
+#: Rows of an alignment that share a window of columns.
+ROWS_AT_ONCE = 1024
 _GAP = re.compile(r"\s")
 
 _draw = np.random.default_rng(20190705)
@@ -101,8 +103,8 @@ def words(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def kmers(text: str | None) -> np.ndarray:
-    """64-bit hashes of the occurrence-labelled k-mers of a text, in text order."""
+def plain(text: str | None) -> np.ndarray:
+    """64-bit hashes of the k-mers of a text, in text order."""
     hashed = words(text or "")
     if not len(hashed):
         points = np.frombuffer(("\x00" + " ".join((text or "").split())).encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -111,7 +113,12 @@ def kmers(text: str | None) -> np.ndarray:
     joined = np.zeros(count, dtype=np.uint64)
     for i in range(min(WORDS, len(hashed))):
         joined += _mixed(hashed[i : i + count] + np.uint64(i)) * _FACTORS[i]
-    joined = _mixed(joined)
+    return _mixed(joined)
+
+
+def labelled(joined: np.ndarray) -> np.ndarray:
+    """The same with each k-mer's occurrence number in its hash."""
+    count = len(joined)
     order = np.argsort(joined, kind="stable")
     ranked = joined[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -123,6 +130,11 @@ def kmers(text: str | None) -> np.ndarray:
     return np.where(label > 0, _mixed(joined + label * _FACTORS[0]), joined)
 
 
+def kmers(text: str | None) -> np.ndarray:
+    """64-bit hashes of the occurrence-labelled k-mers of a text, in text order."""
+    return labelled(plain(text))
+
+
 def sketch(labelled: np.ndarray) -> np.ndarray:
     """For each hash function the hash of the least labelled k-mers in text order."""
     best = np.full((SKETCHES, LEAST), np.uint64(2**64 - 1))
@@ -163,6 +175,7 @@ def alignment(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     """Most k-mers that match in order, if that makes the texts similar; else 0 or a smaller count.
 
     Similar texts leave at most ``drift`` k-mers unmatched, so matches lie in a band that wide.
+    K-mers come without labels: an occurrence may match any equal one in the band.
     """
     total = len(a) + len(b)
     needed = int(np.ceil(total * similar / (1 + similar) - 1e-9))
@@ -178,6 +191,10 @@ def alignment(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     if not len(x) or not len(y):
         return head + tail
     order = np.argsort(y, kind="stable")
+    if _repeats(y[order]):
+        if _repeats(np.sort(x)):
+            return head + tail + _aligned(x, y, drift, needed - head - tail)
+        x, y, order = y, x, np.argsort(x, kind="stable")
     at = np.searchsorted(y, x, sorter=order)
     at[at == len(y)] = 0
     there = order[at]
@@ -194,6 +211,54 @@ def alignment(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> int:
     return head + tail + len(ends)
 
 
+def _repeats(ranked: np.ndarray) -> bool:
+    return bool((ranked[1:] == ranked[:-1]).any())
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, drift: int, needed: int) -> int:
+    """``alignment`` where both repeat k-mers: rows of the table of common subsequences, as bits of integers.
+
+    A zero bit says that the row grows at that column; ``ROWS_AT_ONCE`` rows share a window of columns.
+    """
+    own, of_x, n_x = np.unique(x, return_inverse=True, return_counts=True)
+    other, of_y, n_y = np.unique(y, return_inverse=True, return_counts=True)
+    common, in_x, in_y = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    if np.minimum(n_x[in_x], n_y[in_y]).sum() < needed:
+        return 0
+    number = np.full(len(own), -1), np.full(len(other), -1)
+    number[0][in_x] = number[1][in_y] = np.arange(len(common))
+    rows, columns = number[0][of_x], number[1][of_y]
+    at, to = np.flatnonzero(rows >= 0), np.flatnonzero(columns >= 0)
+    rows, columns = rows[at], columns[to]
+    low, width, bits, done = 0, 0, 0, 0
+    for start in range(0, len(rows), ROWS_AT_ONCE):
+        part = rows[start : start + ROWS_AT_ONCE]
+        left = int(np.searchsorted(to, at[start] - drift))
+        right = int(np.searchsorted(to, at[start + len(part) - 1] + drift, side="right"))
+        if left > low:  # columns that no later row can match
+            gone = min(left - low, width)
+            done += gone - (bits & ((1 << gone) - 1)).bit_count()
+            bits, width, low = bits >> gone, width - gone, left
+        if right - low > width:
+            bits |= ((1 << (right - low - width)) - 1) << width
+            width = right - low
+        full = (1 << width) - 1
+        window, equal = columns[low : low + width], {}
+        order = np.argsort(window, kind="stable")
+        ranked, kinds = window[order], np.unique(part)
+        for kind, a, b in zip(kinds.tolist(), np.searchsorted(ranked, kinds).tolist(), np.searchsorted(ranked, kinds, side="right").tolist()):
+            places = np.zeros(width, dtype=np.uint8)
+            places[order[a:b]] = 1
+            equal[kind] = int.from_bytes(np.packbits(places, bitorder="little").tobytes(), "little")
+        for kind in part.tolist():
+            met = bits & equal[kind]
+            bits = ((bits + met) | (bits - met)) & full
+        found = done + width - bits.bit_count()
+        if found + len(rows) - start - len(part) < needed:
+            return 0
+    return done + width - bits.bit_count()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     matches = alignment(a, b)
     return matches * (1 + SIMILAR) >= (len(a) + len(b)) * SIMILAR - 1e-6
@@ -204,8 +269,9 @@ def _sketches(texts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: tuple[list, ...] = ([], [], [], [], [])
         taken, size = 0, 0
         for text in batch.column(1):
-            own = kmers(text.as_py())
-            for column, value in zip(rows, (blake2b(own.tobytes(), digest_size=16).digest(), len(own), sketch(own).view(np.int64), signature(own).tobytes(), (own >> np.uint64(32)).astype(np.uint32).tobytes())):
+            bare = plain(text.as_py())
+            own = labelled(bare)
+            for column, value in zip(rows, (blake2b(own.tobytes(), digest_size=16).digest(), len(own), sketch(own).view(np.int64), signature(own).tobytes(), (bare >> np.uint64(32)).astype(np.uint32).tobytes())):
                 column.append(value)
             size += len(own)
             if size > 1 << 21:
@@ -223,7 +289,7 @@ def _batch(ids: pa.Array, marks: list, sizes: list, keys: list, bins: list, arra
 
 
 def sketched(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Row number, id, digest and number of k-mers, sketches, signature, and the k-mers' 32-bit hashes."""
+    """Row number, id, digest and number of k-mers, sketches, signature, and the 32-bit hashes of the k-mers without labels."""
     rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_sketches, f"id {kind}, mark binary, size bigint, keys array<bigint>, bins binary, kmers binary").withColumn("row", F.monotonically_increasing_id())

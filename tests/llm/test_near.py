@@ -157,3 +157,38 @@ def test_signatures(n):
     own = near.kmers(" ".join(f"w{i}" for i in range(300)))
     assert near.likely(near.signature(own), np.stack([near.signature(own), near.signature(near.kmers("other text here"))])).tolist() == [0]
     assert (near.signature(own)[n] == 0) == (not (own >> np.uint64(57) == n).any())
+
+
+def lines_between(draw, paragraphs, line, size):
+    """Paragraphs each after the same line, and the same text without the first such line."""
+    common = " ".join(f"l{i}" for i in range(line))
+    own = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(size)) for _ in range(paragraphs)]
+    return " ".join(f"{common} {p}" for p in own), " ".join([own[0], *(f"{common} {p}" for p in own[1:])])
+
+
+@pytest.mark.parametrize(("line", "size"), [(12, 40), (20, 60), (20, 40), (30, 50)])
+def test_a_repeated_line_that_one_text_lacks(spark, line, size):
+    a, b = lines_between(random.Random(14), 30, line, size)
+    x, y = ((near.plain(t) >> np.uint64(32)).astype(np.uint32) for t in (a, b))
+    assert near.alignment(x, y) == lcs(x.tolist(), y.tolist()) and near.similar(x, y)
+    assert len({r.class_id for r in near.classes(spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string")).collect()}) == 1
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1024])
+def test_alignment_of_interleaved_repeats(monkeypatch, at_once):
+    monkeypatch.setattr(near, "ROWS_AT_ONCE", at_once)
+    draw, alike = random.Random(15), 0
+    for _ in range(400):
+        kinds = draw.choice([2, 5, 20, 60])
+        a = [draw.randrange(kinds) for _ in range(draw.randint(1, 90))]
+        b = [x for x in a if draw.random() > 0.06]
+        for _ in range(draw.randint(0, 6)):
+            b.insert(draw.randint(0, len(b)), draw.randrange(kinds + 3))
+        b = b or [1]
+        true = lcs(a, b)
+        got = near.alignment(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32))
+        is_alike = 9 * true >= 4 * (len(a) + len(b))
+        alike += is_alike
+        assert got == true if is_alike else got <= true
+        assert near.similar(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)) == is_alike
+    assert 50 < alike < 390
