@@ -1,11 +1,12 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Executors parse each page into text blocks and hash the subtree of every container element.
+Executors parse each page into text blocks and hash the subtree of every container element, menus,
+footers and what stands outside the article included.
 Spark counts, for each host, the different articles in whose pages a subtree occurs (copies of one page
 count once); a subtree in ``TEMPLATE_PAGES`` or more is the site's template, and its blocks
-are deleted. Elements whose tag, role or class says menu, header, footer, sidebar, notice,
-advert, form, comments and so on are not read, nor is what stands outside the article where
-the page marks one. Paragraphs and headings are never counted: prose may repeat.
+are deleted. Of what is left, elements whose tag, role or class says menu, header, footer, sidebar, notice,
+advert, form, comments and so on go, and then what stands outside the article where
+the page still has one. Paragraphs and headings are never counted: prose may repeat.
 
 Defined cases: null html is empty and gives an empty text; a null or odd url has an empty host;
 repeated rows are extracted each (and count once); broken markup is closed as browsers do;
@@ -74,6 +75,7 @@ class Parser:
     digests: list[int] = field(default_factory=list)
     open: list[Element] = field(default_factory=list)
     run: list[str] = field(default_factory=list)
+    named: list[str] = field(default_factory=list)  # text of dropped elements: it is hashed only
 
     def parse(self, page: str) -> None:
         at, size = 0, len(page)
@@ -102,10 +104,16 @@ class Parser:
         self.flush()
 
     def text(self, text: str) -> None:
-        if not (self.open and self.open[-1].dropped):
-            self.run.append(text)
+        (self.named if self.open and self.open[-1].dropped else self.run).append(text)
 
     def flush(self) -> None:
+        if self.named:
+            text = " ".join(entities.unescape("".join(self.named)).split())
+            self.named.clear()
+            if text:
+                for element in self.open:
+                    if element.dropped and element.digest is not None:
+                        element.digest.update(b"\x01" + text.encode("utf-8", "replace"))
         if self.run:
             text = " ".join(entities.unescape("".join(self.run)).split())
             self.run.clear()
@@ -119,8 +127,8 @@ class Parser:
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag in ("br", "wbr") or tag not in BLOCK:
-                if tag == "br" and not (self.open and self.open[-1].dropped):
-                    self.run.append(" ")
+                if tag == "br":
+                    self.text(" ")
             else:
                 self.flush()
             return
@@ -148,7 +156,7 @@ class Parser:
             element.article = 2
         elif tag == "main" or role == "main":
             element.article = max(element.article, 1)
-        if tag in CONTAINER and not element.dropped:
+        if tag in CONTAINER:
             element.number, element.digest = len(self.digests), blake2b(f"<{tag} {' '.join(words)}>".encode("utf-8", "replace"), digest_size=8)
             self.digests.append(0)
         self.mark(b"\x02" + tag.encode("utf-8", "replace"))
@@ -210,26 +218,49 @@ class Parser:
                 self.digests[element.number] = int.from_bytes(element.digest.digest(), "little", signed=True)
 
 
-def blocks(page: str | None) -> list[tuple[str, list[int]]]:
-    """The text blocks of a page's article (of the whole page, if it marks none), in order, each with the hashes of the container subtrees around it."""
+def read(page: str | None) -> Parser:
     parser = Parser()
     parser.parse(page or "")
+    return parser
+
+
+def blocks(page: str | None) -> list[tuple[str, list[int]]]:
+    """The text blocks of a page's article (of the whole page, if it marks none), in order, each with the hashes of the container subtrees around it."""
+    parser = read(page)
     level = max((article for _, article, _ in parser.blocks), default=0)
     return [(text, [parser.digests[i] for i in inside]) for text, article, inside in parser.blocks if article == level]
 
 
-PARSED = "key {key}, url string, host string, body bigint, blocks array<struct<text:string,inside:array<bigint>>>"
+def candidates(parser: Parser) -> list[tuple[str, int, tuple[int, ...]]]:
+    """The blocks that may be the page's text: those of a lower article level only if templates can take all above."""
+    least = 3
+    for level in (2, 1, 0):
+        least = level
+        if any(article == level and not inside for _, article, inside in parser.blocks):
+            break
+    return [b for b in parser.blocks if b[1] >= least]
+
+
+def body(parser: Parser) -> int:
+    """Digest by which copies of an article are told: of the text of the article level that has most."""
+    texts = {level: "\n".join(t for t, article, _ in parser.blocks if article == level) for level in (2, 1, 0)}
+    most = max(texts.values(), key=len)
+    return int.from_bytes(blake2b(most.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+PARSED = "key {key}, url string, host string, body bigint, subtrees array<bigint>, blocks array<struct<text:string,level:int,inside:array<bigint>>>"
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("level", pa.int32()), ("inside", pa.list_(pa.int64()))]))
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            found = [blocks(page.as_py()) for page in part.column(3)]
-            body = [int.from_bytes(blake2b("\n".join(t for t, _ in own).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for own in found]
-            listed = pa.array([[{"text": t, "inside": i} for t, i in own] for own in found], kind)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(body, pa.int64()), listed], names=["key", "url", "host", "body", "blocks"])
+            found = [read(page.as_py()) for page in part.column(3)]
+            bodies = pa.array([body(own) for own in found], pa.int64())
+            subtrees = pa.array([sorted(set(own.digests)) for own in found], pa.list_(pa.int64()))
+            listed = pa.array([[{"text": t, "level": level, "inside": [own.digests[i] for i in inside]} for t, level, inside in candidates(own)] for own in found], kind)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), bodies, subtrees, listed], names=["key", "url", "host", "body", "subtrees", "blocks"])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
@@ -239,12 +270,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     kind = rows.schema["key"].dataType.simpleString()
     parsed = settled(rows.mapInArrow(_parse, PARSED.format(key=kind)).withColumn("row", F.monotonically_increasing_id()))
     around = F.array_distinct(F.flatten(F.col("blocks.inside")))
-    wrapped = parsed.select("row", "host", "body", F.explode(around).alias("subtree"))
-    counts = wrapped.select("host", "subtree", "body").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
+    counted = parsed.select("host", F.explode("subtrees").alias("subtree"), "body")
+    counts = counted.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
     templates = counts.filter(F.col("articles") >= template_pages).select("host", "subtree")
+    wrapped = parsed.select("row", "host", F.explode(around).alias("subtree"))
     struck = wrapped.join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("templates"))
     plain = parsed.filter(F.size(around) == 0).withColumn("templates", F.array().cast("array<bigint>"))
     mixed = parsed.filter(F.size(around) > 0).join(struck, "row", "left")
     whole = plain.unionByName(mixed)
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["inside"], F.col("templates")), F.lit(False)))
-    return whole.select(F.col("key").alias(key), F.col("url").alias(url), F.array_join(F.transform(kept, lambda b: b.text), " ").alias("text"))
+    whole = whole.select("key", "url", kept.alias("kept"))
+    level = F.array_max(F.transform("kept", lambda b: b.level))
+    text = F.transform(F.filter("kept", lambda b: b.level == level), lambda b: b.text)
+    return whole.select(F.col("key").alias(key), F.col("url").alias(url), F.array_join(text, " ").alias("text"))

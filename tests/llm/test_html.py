@@ -55,3 +55,17 @@ def test_query(spark, pages, tables):
     rows = registry.op8_html(spark, tables(pages=pages)).collect()
     assert len(rows) == 50 and all(r.n_chars == len(r.text) for r in rows) and set(rows[0].asDict()) == {"page_id", "url", "text", "n_chars"}
     assert registry.op8_html(spark, tables(pages=pages.limit(0))).count() == 0
+
+
+def test_templates_are_counted_before_the_rules(spark):
+    """A site's recurring article is its template: what is left of the page is its text."""
+    teaser = "<article><div>Read our best stories</div></article>"
+    rows = [(n, f"https://t.example.com/{n}", f"<nav><ul><li>Home</ul></nav>{teaser}<main><p>The story number {n} is told here.</p></main>") for n in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {n: f"The story number {n} is told here." for n in range(12)}
+
+
+def test_all_containers_are_hashed():
+    own = lambda menu, text: set(html.read(f"<nav><ul><li>{menu}</ul></nav><div class='ad'>Buy<br>now</div><article><p>{text}</article><footer>{menu}</footer>").digests)
+    assert len(own("Home", "a")) == 4 and own("Home", "a") == own("Home", "b")
+    assert len(own("Home", "a") & own("Shop", "a")) == 1  # the advert's
