@@ -3,7 +3,8 @@
 Executors parse each page into text blocks and hash the subtree of every container element, menus,
 footers and what stands outside the article included.
 Spark counts, for each host, the different articles in whose pages a subtree occurs (copies of one page
-count once); a subtree in ``TEMPLATE_PAGES`` or more is the site's template, and its blocks
+count once); a subtree in a share of the host's different articles (``SHARE``; ``MARKED_SHARE`` within
+a marked article or main element), and in ``LEAST_PAGES`` at least, is the site's template, and its blocks
 are deleted. Of what is left, elements whose tag, role or class says menu, header, footer, sidebar, notice,
 advert, form, comments and so on go, and then what stands outside the article where
 the page still has one. Paragraphs and headings are never counted: prose may repeat.
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from nearfield.llm.shared import settled
 from nearfield.llm.urls import host_and_path
 
-#: Different articles of a host with the same subtree that make it a template.
-TEMPLATE_PAGES = 10
+#: The share of a host's different articles with the same subtree that makes it a template, the
+#: same within a marked article, and the fewest articles by which that can be told.
+SHARE, MARKED_SHARE, LEAST_PAGES = 0.1, 0.5, 4
 
 # HTML element names by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,7 +217,8 @@ class Parser:
             element = self.open.pop()
             self.mark(b"\x03")
             if element.digest is not None:
-                self.digests[element.number] = int.from_bytes(element.digest.digest(), "little", signed=True)
+                digest = int.from_bytes(element.digest.digest(), "little", signed=True)
+                self.digests[element.number] = digest | 1 if element.article else digest & ~1  # odd within a marked article
 
 
 def read(page: str | None) -> Parser:
@@ -263,7 +266,7 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), bodies, subtrees, listed], names=["key", "url", "host", "body", "subtrees", "blocks"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: key, url, text."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.select("key", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
@@ -272,7 +275,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     around = F.array_distinct(F.flatten(F.col("blocks.inside")))
     counted = parsed.select("host", F.explode("subtrees").alias("subtree"), "body")
     counts = counted.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
-    templates = counts.filter(F.col("articles") >= template_pages).select("host", "subtree")
+    articles = parsed.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_articles"))
+    share = F.when(F.pmod("subtree", F.lit(2)) == 1, MARKED_SHARE).otherwise(SHARE)
+    recurring = counts.filter(F.col("articles") >= LEAST_PAGES).join(articles, "host")
+    templates = recurring.filter(F.col("articles") >= share * F.col("all_articles")).select("host", "subtree")
     wrapped = parsed.select("row", "host", F.explode(around).alias("subtree"))
     struck = wrapped.join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("templates"))
     plain = parsed.filter(F.size(around) == 0).withColumn("templates", F.array().cast("array<bigint>"))

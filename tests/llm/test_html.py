@@ -69,3 +69,16 @@ def test_all_containers_are_hashed():
     own = lambda menu, text: set(html.read(f"<nav><ul><li>{menu}</ul></nav><div class='ad'>Buy<br>now</div><article><p>{text}</article><footer>{menu}</footer>").digests)
     assert len(own("Home", "a")) == 4 and own("Home", "a") == own("Home", "b")
     assert len(own("Home", "a") & own("Shop", "a")) == 1  # the advert's
+
+
+@pytest.mark.parametrize("scale", [1, 10])
+def test_templates_are_a_share_of_the_host(spark, scale):
+    """The same parts go and stay whatever the host's size; a passage within articles stays unless most have it."""
+    n = 8 * scale
+    rows = []
+    for i in range(n):
+        inner = ("<div>Follow us</div>" if i < n * 3 // 4 else "") + ("<div>A shared passage</div>" if i < n // 4 else "")
+        rows.append((i, f"https://in.example.com/{i}", f"<article>{inner}<p>Story {i}</p></article>"))
+        rows.append((n + i, f"https://out.example.com/{i}", ("<div>Archive</div>" if i < n // 2 else "") + f"<p>Story {i}</p>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: ("A shared passage " if i < n // 4 else "") + f"Story {i}" for i in range(n)} | {n + i: f"Story {i}" for i in range(n)}
