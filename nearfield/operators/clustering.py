@@ -1,8 +1,8 @@
 """k-means: deterministic start, Lloyd rounds, mini-batches with or without accumulated sums.
 
 Centroids are a small matrix on the driver (its size is checked) that each round sends to the
-executors; a round is one pass in which every task sums its vectors by nearest centroid. Sums
-are integers on a binary grid chosen from the data's range and count, so they don't depend
+executors; a round is one pass in which every task sums its vectors by nearest centroid, and
+the tasks' sums are added list by list. Sums are integers on a binary grid chosen from the data's range and count, so they don't depend
 on the order in which tasks finish: a fit is the same on any cluster.
 """
 
@@ -12,12 +12,11 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.kernels import matrix, nearest
+from nearfield.operators.kernels import lists, matrix, nearest
 from nearfield.operators.knn import with_position_ids
 
 #: Most bytes of centroids (as doubles).
@@ -27,16 +26,47 @@ TOP_K = 20_000
 MODES = ("legacy", "accumulated")
 
 
+def hashed(seed: int | None) -> Column:
+    """What rows are sampled by: their id or, with a seed, its hash."""
+    return F.col("id").cast("long") if seed is None else F.xxhash64(F.col("id"), F.lit(seed))
+
+
 def first_rows(vectors: DataFrame, count: int, seed: int | None = None) -> DataFrame:
     """``count`` rows: those of lowest id or, with a seed, of lowest hash (a sample without replacement).
 
-    A few come from a top-k; for more, rows are range-sorted and numbered, so none gathers them.
+    A few come from a top-k. For more, histograms of the key's bits, two bytes a pass over the ids
+    alone, narrow down where the last row lies; all rows before that range belong to the
+    sample, and what is missing is taken from the range itself.
     """
-    order = ["id"] if seed is None else [F.xxhash64(F.col("id"), F.lit(seed)), "id"]
     if count <= TOP_K:
-        return vectors.orderBy(*order).limit(count)
-    numbered = with_position_ids(vectors.withColumn("_order", F.lit(0) if seed is None else order[0]), ["_order", "id"], to="_position")
-    return numbered.filter(F.col("_position") < count).drop("_order", "_position")
+        return vectors.orderBy(hashed(seed), "id").limit(count)
+    rows = vectors.withColumn("_key", hashed(seed))
+    unsigned = F.col("_key").bitwiseXOR(F.lit(-(1 << 63)))
+    prefix, missing = 0, count
+    for shift in (48, 32, 16, 0):
+        inside = F.lit(True) if shift == 48 else F.shiftrightunsigned(unsigned, shift + 16) == prefix
+        part = F.shiftrightunsigned(unsigned, shift).bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+        sizes = rows.filter(inside).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # 65,536 rows at most
+        if shift == 48 and sum(r.n for r in sizes) <= count:
+            return vectors
+        for r in sizes:
+            if r.n > missing:
+                break
+            missing -= r.n
+        prefix, last = prefix << 16 | r.part, r.n
+        if last <= 16 * TOP_K or missing <= TOP_K:
+            break
+    low = (prefix << shift) - (1 << 63)
+    high = low + (1 << shift) - 1
+    found = rows.filter(F.col("_key") < low)
+    if missing:
+        rest = rows.filter((F.col("_key") >= low) & (F.col("_key") <= high))
+        if missing <= TOP_K:
+            rest = rest.orderBy("_key", "id").limit(missing)
+        else:  # rows are numbered instead of gathered
+            rest = with_position_ids(rest, ["_key", "id"], to="_position").filter(F.col("_position") < missing).drop("_position")
+        found = found.unionByName(rest)
+    return found.drop("_key")
 
 
 def start_centroids(vectors: DataFrame, count: int, seed: int | None = None) -> np.ndarray:
@@ -78,6 +108,29 @@ def grid(count: int, most: float) -> float:
     return 2.0 ** (61 - math.ceil(math.log2(max(count, 2))) - max(0, math.ceil(math.log2(max(most, 1e-9)))))
 
 
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of counts ``n`` and of the arrays ``sums`` by some integer ``keys``: each task adds the arrays of all keys dealt to it at once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                own = np.stack([batch.column(i).to_numpy() for i in range(len(keys) + 1)], axis=1).astype(np.int64)
+                sums = batch.column(len(keys) + 1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                if held is not None:
+                    own, sums = np.concatenate([held[0], own]), np.concatenate([held[1], sums])
+                order = np.lexsort(own[:, :-1].T[::-1])
+                own = own[order]
+                edges = np.flatnonzero(np.concatenate([[True], (own[1:, :-1] != own[:-1, :-1]).any(1)]))
+                added = np.add.reduceat(own[:, -1], edges)
+                held = np.column_stack([own[edges, :-1], added]), np.add.reduceat(sums[order], edges, axis=0)
+        if held is not None:
+            own, sums = held
+            yield pa.RecordBatch.from_arrays([*(pa.array(own[:, i], pa.int32()) for i in range(len(keys))), pa.array(own[:, -1]), lists(sums, pa.int64())], names=[*keys, "n", "sums"])
+
+    return rows.repartition(*keys).mapInArrow(run, rows.schema)
+
+
 def cluster_sums(vectors: DataFrame, centroids: np.ndarray, scale: float) -> DataFrame:
     """For each centroid that is nearest to some vector: cluster_id, n, and sums on the grid."""
     sent = vectors.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
@@ -95,13 +148,9 @@ def cluster_sums(vectors: DataFrame, centroids: np.ndarray, scale: float) -> Dat
                 sums[which] += np.add.reduceat(np.floor(rows[order] * scale).astype(np.int64), edges, axis=0)
                 counts += np.bincount(own, minlength=len(centroids))
         which = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(counts[which]), pa.array(list(sums[which]), pa.list_(pa.int64()))], names=["cluster_id", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(counts[which]), lists(sums[which], pa.int64())], names=["cluster_id", "n", "sums"])
 
-    def joined(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cluster_id": own["cluster_id"].iloc[:1], "n": [own["n"].sum()], "sums": [np.sum(own["sums"].to_list(), axis=0)]})
-
-    schema = "cluster_id int, n bigint, sums array<bigint>"
-    return vectors.select("vec").mapInArrow(run, schema).groupBy("cluster_id").applyInPandas(joined, schema)
+    return summed(vectors.select("vec").mapInArrow(run, "cluster_id int, n bigint, sums array<bigint>"), ["cluster_id"])
 
 
 def histogram(assigned: DataFrame, clusters: int) -> DataFrame:
@@ -110,10 +159,22 @@ def histogram(assigned: DataFrame, clusters: int) -> DataFrame:
     return every.join(assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def batches_of(vectors: DataFrame, size: int, rounds: int, seed: int | None) -> list[DataFrame]:
+    """Each round's mini-batch: consecutive windows of ``size`` rows in the order of ids (with a seed, of their hashes), from the start again after the last row.
+
+    Only rows of some window are sorted and written, once for all rounds.
+    """
+    total = vectors.count()
+    used = min(total, size * rounds)
+    rows = vectors if used == total else first_rows(vectors, used, seed)
+    numbered = with_position_ids(rows.withColumn("_key", hashed(seed)), ["_key", "id"], to="_position").drop("_key")
+    return [numbered.filter(F.pmod(F.col("_position") - F.lit(n * size), F.lit(total)) < size).drop("_position") for n in range(rounds)]
+
+
 def kmeans(vectors: DataFrame, count: int, rounds: int = 20, seed: int | None = 0, tol: float = 1e-4, minibatch: int | None = None, mode: str = "legacy", start: np.ndarray | None = None) -> np.ndarray:
     """Centroids after at most ``rounds`` rounds; an empty cluster keeps its old centroid.
 
-    ``minibatch`` rounds see that many rows each (of lowest hash for the round). In the mode
+    ``minibatch`` rounds see that many rows each (see ``batches_of``). In the mode
     "accumulated" the sums of all such rounds count; with full rounds the modes are the same.
     """
     if mode not in MODES:
@@ -122,9 +183,9 @@ def kmeans(vectors: DataFrame, count: int, rounds: int = 20, seed: int | None =
     centroids = start_centroids(vectors, count, seed) if start is None else np.asarray(start, dtype=np.float64)
     scale = grid_of(vectors)
     full = minibatch is None or minibatch >= vectors.count()
+    batches = [vectors] * rounds if full else batches_of(vectors, minibatch, rounds, seed)
     all_sums, all_counts = [[0] * centroids.shape[1] for _ in range(len(centroids))], [0] * len(centroids)
-    for n in range(rounds):
-        seen = vectors if full else first_rows(vectors, minibatch, (seed or 0) + 1 + n)
+    for seen in batches:
         new = centroids.copy()
         for row in cluster_sums(seen, centroids, scale).collect():  # one row for each centroid
             sums, size = row.sums, row.n

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.operators.kernels import METRICS, Nearest, matrix
+from nearfield.sources.work import work_dir
 
 #: Most bytes of queries (as doubles) that are sent to every executor.
 BROADCAST_BYTES = 64 << 20
@@ -130,15 +131,20 @@ def _grid(base: DataFrame, queries: DataFrame, n: int, dim: int, k: int, metric:
 def with_position_ids(vectors: DataFrame, order: str | list[str], offset: int = 0, to: str = "id") -> DataFrame:
     """Numbers by position in ``order``, from ``offset``: each partition's follow the previous one's.
 
-    A range shuffle sorts; positions need only the partitions' sizes on the driver.
+    The rows are range-sorted and written once, with their partition and place in it: sizes and
+    numbers come from the same files, so neither another sampling of the ranges nor another
+    coalescing of partitions can part them. Only the partitions' starts pass through the driver.
     """
     order = [order] if isinstance(order, str) else order
+    spark, path = vectors.sparkSession, work_dir(vectors.sparkSession, "positions")
     dealt = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    dealt.write.parquet(path)
+    written = spark.read.schema(dealt.schema).parquet(path)
     starts, total = [], offset
-    for part in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(part, 0)
-    at = F.get(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.col("_part")) if starts else F.lit(offset)
-    return numbered.withColumn(to, at + F.col("_place")).drop("_part", "_place")
+    for row in written.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():  # one row for each partition
+        starts.append((row["_part"], total))
+        total += row["n"]
+    at = spark.createDataFrame(starts, "_part int, _start bigint")
+    numbered = written.join(F.broadcast(at), "_part").withColumn(to, F.col("_start") + F.col("_place"))
+    return numbered.select(*(c for c in vectors.columns if c != to), to)

@@ -10,16 +10,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators.clustering import first_rows, grid_of, start_centroids
+from nearfield.operators.clustering import first_rows, grid_of, start_centroids, summed
 from nearfield.operators.kernels import Best, lists, matrix, nearest, running_sum
 from nearfield.operators.knn import BROADCAST_BYTES, best, check_k
 
 MOST_CODES = 256
+#: Distance tables that a task holds at a time, and records that they are looked up for.
+TABLE_BYTES, RECORDS = 128 << 20, 1 << 16
 
 
 @dataclass
@@ -90,11 +91,7 @@ class ProductQuantizer:
             s, c = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(counts[s, c]), lists(sums[s, c], pa.int64())], names=["subspace", "code", "n", "sums"])
 
-        def joined(own: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"subspace": own["subspace"].iloc[:1], "code": own["code"].iloc[:1], "n": [own["n"].sum()], "sums": [np.sum(own["sums"].to_list(), axis=0)]})
-
-        schema = "subspace int, code int, n bigint, sums array<bigint>"
-        return vectors.select("vec").mapInArrow(run, schema).groupBy("subspace", "code").applyInPandas(joined, schema)
+        return summed(vectors.select("vec").mapInArrow(run, "subspace int, code int, n bigint, sums array<bigint>"), ["subspace", "code"])
 
     def codes_of(self, vectors: np.ndarray) -> np.ndarray:
         books = self._trained()
@@ -170,14 +167,27 @@ def flat_search(encoded: DataFrame, queries: DataFrame, pq: ProductQuantizer, k:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, rows, own = sent.value
-        state, tables = Best(len(rows), k), own.tables(rows)
+        state, group = Best(len(rows), k), max(1, TABLE_BYTES // (own.m * own.k * 8))
+        tables = own.tables(rows) if len(rows) <= group else None
+
+        def look(ids: np.ndarray, codes: np.ndarray) -> None:
+            for at in range(0, len(rows), group):
+                part = tables if tables is not None else own.tables(rows[at : at + group])
+                for start in range(0, len(ids), 4096):
+                    found = looked_up(part, codes[start : start + 4096])
+                    which, record = np.nonzero(found <= state.distances[at : at + len(part), -1:])
+                    state.keep(which + at, ids[start + record], ids[start + record], found[which, record])
+
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                found = looked_up(tables, matrix(part.column(1), own.m).astype(np.int64))
-                ids = part.column(0).to_numpy()
-                which, at = np.nonzero(found <= state.distances[:, -1:])
-                state.keep(which, ids[at], ids[at], found[which, at])
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), matrix(batch.column(1), own.m).astype(np.int16)))
+                size += batch.num_rows
+            if size >= RECORDS:
+                look(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            look(*map(np.concatenate, zip(*held)))
         q, ids, _, distances = state.table(query_ids)
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(distances)], names=["q_id", "id", "distance"])
 

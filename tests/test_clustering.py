@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.operators import clustering
 from tests.conftest import clustered, uniform
@@ -68,3 +69,31 @@ def test_large_samples_are_the_small_ones(table, monkeypatch, seed):
     monkeypatch.setattr(clustering, "TOP_K", 10)
     large = clustering.first_rows(rows, 60, seed)
     assert large.columns == ["id", "vec"] and sorted(r.id for r in large.collect()) == small
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+def test_samples_of_wide_rows_have_the_size_asked_for(spark, seed):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(60_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(1).cast("float")).alias("vec"))
+        sample = clustering.first_rows(rows, 30_000, seed).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = sorted(r.id for r in sample)
+    assert len(set(ids)) == 30_000 and all(len(r.vec) == 64 for r in sample)
+    assert ids == list(range(30_000)) or seed is not None
+
+
+def test_one_id_may_hold_most_rows(table, monkeypatch):
+    monkeypatch.setattr(clustering, "TOP_K", 10)
+    rows = table(uniform(80, 2, 8), partitions=4).withColumn("id", F.when(F.col("id") < 60, F.lit(-5)).otherwise(F.col("id")))
+    got = [r.id for r in clustering.first_rows(rows, 65).collect()]
+    assert sorted(got) == [-5] * 60 + list(range(60, 65)) and clustering.first_rows(rows, 30).filter("id = -5").count() == 30
+    assert clustering.first_rows(rows, 500).count() == 80
+
+
+def test_batches_are_windows(table):
+    rows = table(uniform(50, 2, 9), partitions=4)
+    got = [sorted(r.id for r in b.collect()) for b in clustering.batches_of(rows, 20, 4, None)]
+    assert got == [list(range(20)), list(range(20, 40)), [*range(10), *range(40, 50)], list(range(10, 30))]
+    assert [b.count() for b in clustering.batches_of(rows, 20, 2, 7)] == [20, 20]
