@@ -1,10 +1,12 @@
 """Navigable small-world graphs, one per shard, with exact or table distances.
 
-A shard's graph is built in one task (``applyInPandas``), in id order, so it is the same on any
-cluster; shards make building and searching parallel and bound a task's memory. A search
-asks every shard and merges the shards' results. Nodes are rows
-``[shard, node, id, level, entry, neighbours (per layer), payload]``, so a stored graph
-is a Parquet table, and edges are an explode of it.
+A shard's graph is built in one task, in id order, so it is the same on any cluster; shards hold
+some ``SHARD_ROWS`` vectors, whatever the table's size, which bounds a task's memory and time. A
+built index is a table with one row a shard, its arrays packed as bytes (``SHARDS``). A search is a
+scan of that table: each shard is asked where it is read, nothing but shortlists is shuffled,
+and raw vectors are a column that is read only for reranking. ``nodes`` and ``edges`` are
+explodes of it. Adding vectors inserts them into the shards they belong to; other
+shards stay as they are.
 
 Layers, degrees and searches: a node's top layer is ``floor(-ln(u) / ln(m))`` with ``u`` from a
 hash of its id; it is linked on each of its layers to the ``m`` nearest of the ``ef_construction``
@@ -16,18 +18,22 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.kernels import exact, prepared
+from nearfield.operators.kernels import exact, matrix, prepared
 from nearfield.operators.knn import best, check_k
 from nearfield.operators.quantize import ProductQuantizer, checked_queries
 
+#: Vectors of a shard, and the fewest for which one more shard is worth a task of its own.
+SHARD_ROWS, LEAST_ROWS = 1 << 14, 1 << 11
+#: A shard: node numbers follow the order of insertion; ``links`` holds each node's neighbours layer by layer, ``counts`` how many.
+SHARDS = "shard int, size int, entry int, ids binary, levels binary, counts binary, links binary, payload binary, vecs binary"
 #: Distances from the point a table was made for to some nodes.
 Distances = Callable[[np.ndarray], np.ndarray]
 
@@ -122,65 +128,85 @@ class Shard:
         found, n = self.beam(near, [node], ef, 0)
         return found[:count], looked + n
 
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Levels, counts and links as little-endian 32-bit numbers."""
+        layers = [layer for node in self.links for layer in node]
+        flat = np.concatenate(layers) if layers else np.zeros(0)
+        return tuple(np.asarray(x, dtype="<i4").tobytes() for x in (self.levels, list(map(len, layers)), flat))
+
+    @staticmethod
+    def unpacked(m: int, entry: int, levels: bytes, counts: bytes, links: bytes) -> Shard:
+        own, ends = np.frombuffer(levels, "<i4").tolist(), np.cumsum(np.frombuffer(counts, "<i4"))
+        layers = iter(np.split(np.frombuffer(links, "<i4").astype(np.int64), ends[:-1]) if len(ends) else [])
+        return Shard(m, own, [[next(layers) for _ in range(level + 1)] for level in own], entry)
+
 
 @dataclass
 class GraphIndex:
-    """Sharded graph over vectors (cosine) or, with a quantiser, over codes (squared distance)."""
+    """Sharded graph over vectors (cosine) or, with a quantiser, over codes (squared distance).
+
+    Without a number of ``shards`` the first build takes as many as the table's size asks for.
+    """
 
     dim: int
     m: int = 16
     ef_construction: int = 200
     seed: int = 42
-    shards: int = 8
+    shards: int | None = None
     pq: ProductQuantizer | None = None
     store_full_vectors: bool = True
 
     def __post_init__(self) -> None:
-        if min(self.dim, self.m, self.ef_construction, self.shards) <= 0 or self.m < 2:
+        if min(self.dim, self.m, self.ef_construction, self.shards or 1) <= 0 or self.m < 2:
             raise ValueError("dim, ef_construction and shards must be positive and m at least 2")
         if self.pq is not None and self.pq.dim != self.dim:
             raise ValueError("the quantiser has another dimension")
 
-    def _schema(self) -> str:
-        return "shard int, node int, id bigint, level int, entry boolean, neighbours array<array<int>>, payload array<double>, vec array<float>"
-
     def build(self, vectors: DataFrame) -> DataFrame:
-        """The nodes of ``vectors`` [id, vec]; in each shard the ids decide the order of insertion."""
-        rows = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), level(F.col("id"), self.m, self.seed).alias("level"), F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int").alias("shard"))
-        return rows.groupBy("shard").applyInPandas(self._builder(), self._schema())
-
-    def extend(self, nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-        """Nodes after adding rows: graphs are rebuilt over old and new rows of their shards, old ones first."""
-        rows = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), level(F.col("id"), self.m, self.seed).alias("level"), F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int").alias("shard"))
-        old = nodes.select("id", F.col("vec"), "level", "shard", F.col("node").alias("order"))
-        return old.unionByName(rows.withColumn("order", F.lit(2**31 - 1))).groupBy("shard").applyInPandas(self._builder(), self._schema())
-
-    def _builder(self) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        """The shards of ``vectors`` [id, vec]; in each the ids decide the order of insertion."""
+        if self.shards is None:
+            count, tasks = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+            self.shards = max(1, -(-count // SHARD_ROWS), min(tasks, count // LEAST_ROWS))
         index = self
+        return self._dealt(vectors).groupBy("shard").applyInArrow(lambda rows: index._inserted(None, rows), SHARDS)
 
-        def run(own: pd.DataFrame) -> pd.DataFrame:
-            own = own.sort_values([*(["order"] if "order" in own else []), "id"], kind="stable")
-            raw = np.stack(own["vec"].to_list()).astype(np.float64)
-            if raw.shape[1] != index.dim:
-                raise ValueError(f"expected {index.dim} components, found {raw.shape[1]}")
-            payload = prepared(raw, "cosine") if index.pq is None else index.pq.codes_of(raw).astype(np.float64)
-            graph = Shard(index.m, own["level"].tolist(), [])
-            for node in range(len(own)):
-                graph.insert(node, index.distances(payload, raw[node]), lambda n: index.distances(payload, raw[n], payload[n]), index.ef_construction)
-            return pd.DataFrame(
-                {
-                    "shard": own["shard"].to_numpy(),
-                    "node": np.arange(len(own), dtype=np.int32),
-                    "id": own["id"].to_numpy(),
-                    "level": own["level"].to_numpy(),
-                    "entry": np.arange(len(own)) == graph.entry,
-                    "neighbours": [[layer.astype(np.int32) for layer in layers] for layers in graph.links],
-                    "payload": list(payload),
-                    "vec": list(raw.astype(np.float32)) if index.store_full_vectors else [None] * len(own),
-                }
-            )
-
-        return run
+    def extend(self, shards: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Shards after inserting more rows: those without new rows stay as they are."""
+        index = self
+        both = shards.groupBy("shard").cogroup(self._dealt(vectors).groupBy("shard"))
+        return both.applyInArrow(lambda old, rows: index._inserted(old, rows) if rows.num_rows else old, SHARDS)
+
+    def _dealt(self, vectors: DataFrame) -> DataFrame:
+        shard = F.pmod(F.xxhash64("id"), F.lit(self.shards)).cast("int")
+        return vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), level(F.col("id"), self.m, self.seed).alias("level"), shard.alias("shard"))
+
+    def _inserted(self, old: pa.Table | None, rows: pa.Table) -> pa.Table:
+        """One shard's row after inserting ``rows`` into ``old``."""
+        rows = rows.sort_by("id")
+        raw = matrix(rows["vec"], self.dim)
+        ids, levels = rows["id"].to_numpy().astype("<i8"), rows["level"].to_numpy().tolist()
+        payload = prepared(raw, "cosine") if self.pq is None else self.pq.codes_of(raw).astype(np.float64)
+        graph, first = Shard(self.m, levels, []), 0
+        if old is not None and old.num_rows:
+            was = {c: old[c][0].as_py() for c in old.column_names}
+            graph, first = Shard.unpacked(self.m, was["entry"], was["levels"], was["counts"], was["links"]), was["size"]
+            graph.levels = graph.levels + levels
+            payload = np.concatenate([self._payload(was["payload"]), payload])
+            ids = np.concatenate([np.frombuffer(was["ids"], "<i8"), ids])
+            if was["vecs"] is None and self.pq is not None:
+                raise ValueError("adding to a graph over codes needs stored vectors")
+            old_raw = payload[:first] if was["vecs"] is None else np.frombuffer(was["vecs"], "<f4").reshape(first, -1).astype(np.float64)
+            raw = np.concatenate([old_raw, raw])
+        for node in range(first, len(ids)):
+            graph.insert(node, self.distances(payload, raw[node]), lambda n: self.distances(payload, raw[n], payload[n]), self.ef_construction)
+        levels, counts, links = graph.packed()
+        values = [rows["shard"][0].as_py(), len(ids), graph.entry, ids.tobytes(), levels, counts, links, payload.astype("<f8" if self.pq is None else np.uint8).tobytes(), raw.astype("<f4").tobytes() if self.store_full_vectors else None]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in SHARDS.split(", ")])
+
+    def _payload(self, data: bytes) -> np.ndarray:
+        """Unit vectors or codes, a row for each node."""
+        return np.frombuffer(data, "<f8").reshape(-1, self.dim) if self.pq is None else np.frombuffer(data, np.uint8).reshape(-1, self.pq.m).astype(np.float64)
 
     def distances(self, payload: np.ndarray, point: np.ndarray, codes: np.ndarray | None = None) -> Distances:
         """Distances from a vector (from a node's own codes, if given) to nodes."""
@@ -193,11 +219,11 @@ class GraphIndex:
         subspaces = np.arange(self.pq.m)
         return lambda nodes: table[subspaces, payload[nodes].astype(np.int64)].sum(1)
 
-    def search(self, nodes: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, rerank: int = 0) -> DataFrame:
+    def search(self, shards: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, rerank: int = 0) -> DataFrame:
         """[q_id, rank, id, distance] of the nearest that the shards' walks find."""
-        return self.visited(nodes, queries, k, ef, rerank).select("q_id", "rank", "id", "distance")
+        return self.visited(shards, queries, k, ef, rerank).select("q_id", "rank", "id", "distance")
 
-    def visited(self, nodes: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, rerank: int = 0) -> DataFrame:
+    def visited(self, shards: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, rerank: int = 0) -> DataFrame:
         """The same with the nodes that all shards looked at for the query, and the beam width."""
         check_k(k, rerank=rerank)
         if ef is not None and ef <= 0:
@@ -206,53 +232,78 @@ class GraphIndex:
             raise ValueError("reranking needs codes and stored vectors")
         query_ids, rows = checked_queries(queries, self.dim)
         sent, index, short = queries.sparkSession.sparkContext.broadcast((query_ids, rows)), self, max(k, rerank)
+        columns = ["size", "entry", "ids", "levels", "counts", "links", "payload", *["vecs"] * bool(rerank)]
 
-        def run(own: pd.DataFrame) -> pd.DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, rows = sent.value
-            own = own.sort_values("node", kind="stable")
-            payload = np.stack(own["payload"].to_list())
-            graph = Shard(index.m, own["level"].tolist(), [[np.asarray(n, dtype=np.int64) for n in layers] for layers in own["neighbours"]], int(np.flatnonzero(own["entry"].to_numpy())[0]))
-            width = min(len(own), max(ef or default_ef(len(own), index.m), short))
-            ids, out = own["id"].to_numpy(), []
-            raw = np.stack(own["vec"].to_list()).astype(np.float64) if rerank else None
-            for q, row in zip(query_ids.tolist(), rows):
-                found, looked = graph.search(index.distances(payload, row), short, width)
-                at = np.array([n for _, n in found])
-                near = [d for d, _ in found]
-                if index.pq is None:  # products only led the walk
-                    near = exact(prepared(np.tile(row, (len(at), 1)), "cosine"), payload[at], "cosine").tolist()
-                real = exact(np.tile(row, (len(at), 1)), raw[at], "l2").tolist() if rerank else [0.0] * len(at)
-                out.extend((q, int(i), d, e, looked, width) for i, d, e in zip(ids[at], near, real))
-            return pd.DataFrame(out, columns=["q_id", "id", "distance", "exact", "looked", "ef"])
-
-        found = nodes.groupBy("shard").applyInPandas(lambda own: run(own).assign(shard=own["shard"].iloc[0] if len(own) else 0), "q_id bigint, id bigint, distance double, exact double, looked bigint, ef int, shard int")
-        each = found.select("q_id", "shard", "looked", "ef").distinct().groupBy("q_id").agg(F.sum("looked").alias("nodes_visited"), F.max("ef").alias("ef"))
-        top = best(found.select("q_id", "id", "distance", "exact"), short)
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    yield index._asked({c: batch.column(i)[at].as_py() for i, c in enumerate(columns)}, query_ids, rows, short, ef)
+
+        found = shards.select(*columns).mapInArrow(run, "q_id bigint, id bigint, distance double, exact double, looked bigint, ef int")
+        # a shard tells the nodes it looked at once for each query, in the row of its nearest node
+        each = Window.partitionBy("q_id")
+        found = found.withColumns({"nodes_visited": F.sum("looked").over(each), "ef": F.max("ef").over(each)}).drop("looked")
+        top = best(found, short)
         if rerank:
             top = best(top.withColumn("distance", F.col("exact")), k)
-        return top.filter(F.col("rank") <= k).join(each, "q_id").select("q_id", "rank", "id", "distance", "nodes_visited", "ef")
-
-
-def edges(nodes: DataFrame) -> DataFrame:
+        return top.filter(F.col("rank") <= k).select("q_id", "rank", "id", "distance", "nodes_visited", "ef")
+
+    def _asked(self, shard: dict, query_ids: np.ndarray, rows: np.ndarray, short: int, ef: int | None) -> pa.RecordBatch:
+        """The rows that one shard finds for all queries."""
+        payload, ids, size = self._payload(shard["payload"]), np.frombuffer(shard["ids"], "<i8"), shard["size"]
+        graph = Shard.unpacked(self.m, shard["entry"], shard["levels"], shard["counts"], shard["links"])
+        width = min(size, max(ef or default_ef(size, self.m), short))
+        raw = np.frombuffer(shard["vecs"], "<f4").reshape(size, -1).astype(np.float64) if "vecs" in shard else None
+        parts = []
+        for q, row in zip(query_ids, rows):
+            found, looked = graph.search(self.distances(payload, row), short, width)
+            at = np.array([n for _, n in found])
+            near = np.array([d for d, _ in found])
+            if self.pq is None:  # products only led the walk
+                near = exact(prepared(np.tile(row, (len(at), 1)), "cosine"), payload[at], "cosine")
+            real = exact(np.tile(row, (len(at), 1)), raw[at], "l2") if raw is not None else np.zeros(len(at))
+            parts.append((np.full(len(at), q), ids[at], near, real, np.where(np.arange(len(at)) == 0, looked, 0), np.full(len(at), width)))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["q_id", "id", "distance", "exact", "looked", "ef"])
+
+
+def nodes(shards: DataFrame, m: int) -> DataFrame:
+    """[shard, node, id, level, entry, neighbours (an array for each layer)]."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard, entry, ids, levels, counts, links = (batch.column(i)[at].as_py() for i in range(6))
+                graph = Shard.unpacked(m, entry, levels, counts, links)
+                every = np.arange(len(graph.levels))
+                columns = [pa.array(np.full(len(every), shard), pa.int32()), pa.array(every, pa.int32()), pa.array(np.frombuffer(ids, "<i8")), pa.array(graph.levels, pa.int32()), pa.array(every == entry)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(graph.links, pa.list_(pa.list_(pa.int32())))], names=["shard", "node", "id", "level", "entry", "neighbours"])
+
+    return shards.select("shard", "entry", "ids", "levels", "counts", "links").mapInArrow(run, "shard int, node int, id bigint, level int, entry boolean, neighbours array<array<int>>")
+
+
+def edges(shards: DataFrame, m: int = 16) -> DataFrame:
     """[shard, layer, node, neighbour]."""
-    layers = nodes.select("shard", "node", F.posexplode("neighbours").alias("layer", "linked"))
+    layers = nodes(shards, m).select("shard", "node", F.posexplode("neighbours").alias("layer", "linked"))
     return layers.select("shard", "layer", "node", F.explode("linked").alias("neighbour"))
 
 
-def one_way(nodes: DataFrame) -> DataFrame:
+def one_way(shards: DataFrame) -> DataFrame:
     """Edges without their reverse: none in a sound graph."""
-    found = edges(nodes)
+    found = edges(shards)
     back = found.select("shard", "layer", F.col("neighbour").alias("node"), F.col("node").alias("neighbour"))
     return found.join(back, ["shard", "layer", "node", "neighbour"], "left_anti")
 
 
-def over_degree(nodes: DataFrame, m: int) -> DataFrame:
+def over_degree(shards: DataFrame, m: int) -> DataFrame:
     """Nodes with more neighbours on a layer than allowed: none in a sound graph."""
-    counts = nodes.select("shard", "node", F.posexplode("neighbours").alias("layer", "linked")).withColumn("degree", F.size("linked"))
+    counts = nodes(shards, m).select("shard", "node", F.posexplode("neighbours").alias("layer", "linked")).withColumn("degree", F.size("linked"))
     return counts.filter(F.col("degree") > F.when(F.col("layer") == 0, 2 * m).otherwise(m)).select("shard", "layer", "node", "degree")
 
 
-def graph_bytes(nodes: DataFrame) -> DataFrame:
-    """[nodes, edges, bytes]: four bytes for each edge and, for each node, its level."""
-    sizes = nodes.select(F.aggregate(F.transform("neighbours", lambda n: F.size(n).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("edges"))
-    return sizes.agg(F.count(F.lit(1)).alias("nodes"), F.sum("edges").alias("edges"), (F.sum("edges") * 4 + F.count(F.lit(1)) * 4).alias("bytes"))
+def graph_bytes(shards: DataFrame) -> DataFrame:
+    """[nodes, edges, bytes] of the graph as it is stored: levels, counts and links."""
+    size = lambda c: F.octet_length(c).cast("long")
+    return shards.agg(F.sum("size").cast("long").alias("nodes"), F.sum((size("links") / 4).cast("long")).alias("edges"), F.sum(size("links") + size("levels") + size("counts")).alias("bytes"))

@@ -2,15 +2,15 @@
 
 A posting is ``[cluster_id, id, codes, vec?]``. Centroids and codebooks are small and go to every
 executor; postings stay where they are: a search routes the queries, reads only the
-lists that some query probes (a literal list filter, which Parquet's statistics and the
-bucket partitions can prune by), scores them where they are read, and shuffles just each
-task's shortlist. Queries beyond the broadcast bound are asked in sets.
+lists that some query probes (of a stored index only the files of their ranges), scores them where they are read, and shuffles just each
+task's shortlist. Routing is distributed and its pairs of a query and a list are counted before
+any are gathered: a search is asked in sets of queries whose vectors stay under
+``BROADCAST_BYTES`` and whose pairs under ``MOST_PAIRS``, each an array of numbers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.clustering import MODES, assign, first_rows, histogram, kmeans
-from nearfield.operators.kernels import Best, exact, matrix, nearest
+from nearfield.operators.kernels import Best, exact, lists, matrix, nearest
 from nearfield.operators.knn import BROADCAST_BYTES, best, check_k
 from nearfield.operators.quantize import ProductQuantizer, checked_queries, looked_up
 
 PQ_MODES, BACKENDS, PROBES = ("standard", "residual"), ("arrow", "numpy", "mlx"), 8
-#: Directories of a stored segment; a list is in bucket ``cluster_id % BUCKETS``.
-BUCKETS = 16
+#: Pairs of a query and a list, as two 32-bit numbers, that are gathered and sent at a time.
+MOST_PAIRS = 1 << 24
 #: Distance tables of all queries that a task keeps, where they don't depend on the list.
 TABLE_BYTES = 128 << 20
-#: Lists beyond which a probe filter is not written as a literal.
+#: Lists beyond which a probe filter is a broadcast table instead of literals.
 LITERALS = 2000
 
 
@@ -66,6 +66,8 @@ class IvfPq:
     pq: ProductQuantizer | None = None
     postings: DataFrame | None = None
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: The postings of some lists, where a store can read them alone.
+    source: Callable[[np.ndarray], DataFrame] | None = None
 
     @property
     def is_trained(self) -> bool:
@@ -84,7 +86,7 @@ class IvfPq:
             raise ValueError(f"expected {c.dim} components, found {self.centroids.shape[1]}")
         sample = vectors if pq_sample is None else first_rows(vectors, pq_sample, (c.seed or 0) + 10_007)
         self.pq = ProductQuantizer(c.dim, c.pq_m, c.pq_k, c.seed).train(self.residuals(sample) if c.pq_mode == "residual" else sample, pq_rounds)
-        self.postings, self.sizes = None, np.zeros(c.nlist, np.int64)
+        self.postings, self.source, self.sizes = None, None, np.zeros(c.nlist, np.int64)
         return self
 
     def residuals(self, vectors: DataFrame) -> DataFrame:
@@ -109,9 +111,9 @@ class IvfPq:
             centroids, pq, mode, dim = sent.value
             for batch in batches:
                 rows = matrix(batch.column(1), dim)
-                lists = nearest(rows, centroids)[0][:, 0]
-                codes = pq.codes_of(rows - centroids[lists] if mode == "residual" else rows)
-                columns = [pa.array(lists, pa.int32()), batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * pq.m, pa.int32()), pa.array(codes.ravel(), pa.int16()))]
+                own = nearest(rows, centroids)[0][:, 0]
+                codes = pq.codes_of(rows - centroids[own] if mode == "residual" else rows)
+                columns = [pa.array(own, pa.int32()), batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * pq.m, pa.int32()), pa.array(codes.ravel(), pa.int16()))]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column(1)] if keep else columns, names=["cluster_id", "id", "codes", "vec"][: 3 + keep])
 
         schema = "cluster_id int, id bigint, codes array<smallint>" + (f", vec {vectors.schema['vec'].dataType.simpleString()}" if keep else "")
@@ -171,34 +173,38 @@ class IvfPq:
             raise ValueError("reranking needs an index with store_full_vectors")
         if self.postings is None:
             return spark.createDataFrame([], "q_id bigint, rank int, id bigint, distance double, exact double")
-        sets = -(-queries.count() * self.config.dim * 8 // BROADCAST_BYTES)
+        count = queries.count()
+        pairs = count * min(PROBES if nprobe is None else nprobe, self.config.nlist) if max_candidates is None else self.probes(queries, None, max_candidates).count()
+        sets = max(-(-count * self.config.dim * 8 // BROADCAST_BYTES), -(-pairs // MOST_PAIRS))
         parts = [queries] if sets <= 1 else [queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(sets)) == s) for s in range(sets)]
         return best(reduce(DataFrame.unionByName, [self._scan(part, size, nprobe, max_candidates, rerank) for part in parts]), size)
 
     def _scan(self, queries: DataFrame, size: int, nprobe: int | None, max_candidates: int | None, rerank: bool) -> DataFrame:
         query_ids, rows = checked_queries(queries, self.config.dim)
-        numbered = queries.sparkSession.createDataFrame(pa.table({"q_id": np.arange(len(query_ids)), "q": list(rows)})) if len(rows) else queries
-        routed = self.probes(numbered, nprobe, max_candidates).select("q_id", "cluster_id").toArrow()  # numbers of queries and lists
-        asked = defaultdict(list)
-        for q, c in zip(routed["q_id"].to_pylist(), routed["cluster_id"].to_pylist()):
-            asked[c].append(q)
-        sent = queries.sparkSession.sparkContext.broadcast((query_ids, rows, {c: np.array(sorted(q)) for c, q in asked.items()}, self.pq, self.centroids if self.config.pq_mode == "residual" else None))
-        postings = probed(self.postings, sorted(asked))
+        spark = queries.sparkSession
+        numbered = spark.createDataFrame(pa.table({"q_id": np.arange(len(query_ids)), "q": lists(rows, pa.float64())}), "q_id bigint, q array<double>") if len(rows) else queries
+        routed = self.probes(numbered, nprobe, max_candidates).select(F.col("q_id").cast("int"), "cluster_id").toArrow()  # numbers of queries and lists
+        who, of = routed["q_id"].to_numpy(), routed["cluster_id"].to_numpy()
+        order = np.lexsort((who, of))
+        asked, starts = np.unique(of[order], return_index=True)
+        sent = spark.sparkContext.broadcast((query_ids, rows, (asked, np.append(starts, len(who)), who[order]), self.pq, self.centroids if self.config.pq_mode == "residual" else None))
+        postings = self.source(asked) if self.source else probed(self.postings, asked)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, rows, asked, pq, centroids = sent.value
+            query_ids, rows, (asked, starts, every), pq, centroids = sent.value
             state = Best(len(rows), size, np.float64)
             whole = pq.tables(rows) if centroids is None and len(rows) * pq.m * pq.k * 8 <= TABLE_BYTES else None
             for batch in batches:
-                lists = batch.column(0).to_numpy()
-                order = np.argsort(lists, kind="stable")
-                batch, lists = batch.take(pa.array(order)), lists[order]
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(lists) != 0])) if len(lists) else []
-                for start, stop in zip(edges, [*edges[1:], len(lists)]):
-                    c = int(lists[start])
-                    who = asked.get(c)
-                    if who is None:
+                found_lists = batch.column(0).to_numpy()
+                order = np.argsort(found_lists, kind="stable")
+                batch, found_lists = batch.take(pa.array(order)), found_lists[order]
+                edges = np.flatnonzero(np.concatenate([[True], np.diff(found_lists) != 0])) if len(found_lists) else []
+                for start, stop in zip(edges, [*edges[1:], len(found_lists)]):
+                    c = int(found_lists[start])
+                    place = int(np.searchsorted(asked, c))
+                    if place == len(asked) or asked[place] != c:
                         continue
+                    who = every[starts[place] : starts[place + 1]]
                     part = batch.slice(start, stop - start)
                     ids, codes = part.column(1).to_numpy(), matrix(part.column(2), pq.m).astype(np.int64)
                     raw = matrix(part.column(3), rows.shape[1]) if rerank else None
@@ -223,11 +229,12 @@ def check_routing(nprobe: int | None, max_candidates: int | None) -> None:
         raise ValueError("nprobe and max_candidates must be positive")
 
 
-def probed(postings: DataFrame, lists: list[int]) -> DataFrame:
-    """The postings of some lists, filtered by literals that a stored segment is pruned by."""
-    if "bucket" in postings.columns:
-        postings = postings.filter(F.col("bucket").isin(sorted({c % BUCKETS for c in lists})))
-    return postings.filter(F.col("cluster_id").isin(lists)) if len(lists) <= LITERALS else postings
+def probed(postings: DataFrame, asked: np.ndarray) -> DataFrame:
+    """The postings of some lists."""
+    if len(asked) <= LITERALS:
+        return postings.filter(F.col("cluster_id").isin([int(c) for c in asked]))
+    wanted = postings.sparkSession.createDataFrame(pa.table({"cluster_id": pa.array(asked, pa.int32())}), "cluster_id int")
+    return postings.join(F.broadcast(wanted), "cluster_id", "left_semi")  # at most one row for each list
 
 
 def sizes_of(postings: DataFrame, nlist: int) -> np.ndarray:

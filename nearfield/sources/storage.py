@@ -4,10 +4,11 @@ Layout of an index directory::
 
     manifest-<version>.json          configuration, state, list of segments; the largest counts
     model/<version>/                 centroids (and codebooks) as Parquet
-    segments/<name>/bucket=<b>/      postings, sorted by list within each file
+    segments/<name>/bucket=<b>/      postings of a range of lists, sorted by list within each file
 
 A change writes new directories first and then renames a new manifest into place, so a reader
-or a crash sees the old state or the new one. Paths may be on any file system that Spark reads.
+or a crash sees the old state or the new one. The manifest knows each segment's ranges, so a search
+opens the directories of the lists it probes and no others. Paths may be on any file system that Spark reads.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators.inverted import BUCKETS, IvfConfig, IvfPq, sizes_of
+from nearfield.operators.inverted import IvfConfig, IvfPq, probed, sizes_of
 from nearfield.operators.kernels import matrix
 from nearfield.operators.quantize import ProductQuantizer
 
-FORMAT = 1
+FORMAT = 2
+#: Records of a range of lists, on average, and the fewest ranges of a segment.
+RANGE, FEWEST = 1 << 18, 16
 
 
 class Files:
@@ -95,7 +98,7 @@ class IndexStore:
         store = IndexStore(spark, root)
         if store.exists():
             raise FileExistsError(root)
-        store._commit(config=asdict(config), trained=False, segments=[], sizes=[], model=None, batches={})
+        store._commit(config=asdict(config), trained=False, segments=[], ranges={}, sizes=[], model=None, batches={})
         store.index = IvfPq(config)
         return store
 
@@ -136,7 +139,7 @@ class IndexStore:
         """Train and drop every posting."""
         old = self.manifest["segments"], self.manifest["model"]
         self.index.train(vectors, **how)
-        self._commit(trained=True, model=self._write_model(), segments=[], sizes=[0] * self.index.config.nlist, batches={})
+        self._commit(trained=True, model=self._write_model(), segments=[], ranges={}, sizes=[0] * self.index.config.nlist, batches={})
         for name in [f"segments/{s}" for s in old[0]] + [old[1]] * bool(old[1]):
             self.files.delete(name)
 
@@ -146,20 +149,31 @@ class IndexStore:
         return "cluster_id int, id bigint, codes array<smallint>" + (", vec array<float>" if self.index.config.store_full_vectors else "") + ", bucket int"
 
     def _open(self) -> None:
-        """Postings: all segments at once, a scan that list and bucket filters prune."""
+        """Postings: all segments at once for those who read everything, and a reader of some lists."""
         paths = [f"{self.root}/segments/{s}" for s in self.manifest["segments"]]
-        self.index.postings = None
+        self.index.postings, self.index.source = None, self.lists
         for path in paths:
             part = self.spark.read.schema(self._schema()).parquet(path)
             self.index.postings = part if self.index.postings is None else self.index.postings.unionByName(part)
 
-    def _write_segment(self, postings: DataFrame, name: str) -> None:
-        dealt = postings.withColumn("bucket", F.pmod("cluster_id", F.lit(BUCKETS)))
-        dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self._split()))).sortWithinPartitions("bucket", "cluster_id", "id").write.partitionBy("bucket").parquet(f"{self.root}/segments/{name}")
-
-    def _split(self) -> int:
-        """Files of a bucket: so many that one holds some million records."""
-        return max(1, int(self.index.sizes.sum()) // (BUCKETS << 20))
+    def lists(self, asked: np.ndarray) -> DataFrame:
+        """The postings of some lists, from the directories of their ranges alone."""
+        found = None
+        for name in self.manifest["segments"]:
+            path, ranges = f"{self.root}/segments/{name}", self.manifest["ranges"][name]
+            wanted = sorted(set(_range_of(np.asarray(asked), ranges["count"], self.index.config.nlist).tolist()) & set(ranges["present"]))
+            if wanted:
+                part = probed(self.spark.read.schema(self._schema()).option("basePath", path).parquet(*(f"{path}/bucket={b}" for b in wanted)), asked)
+                found = part if found is None else found.unionByName(part)
+        return self.spark.createDataFrame([], self._schema()) if found is None else found
+
+    def _write_segment(self, postings: DataFrame, name: str, records: int) -> dict:
+        """A segment's ranges: their number, and those that hold records. A range that holds very many is split."""
+        nlist = self.index.config.nlist
+        count = min(nlist, max(FEWEST, -(-records // RANGE)))
+        dealt = postings.withColumn("bucket", F.floor(F.col("cluster_id").cast("long") * count / nlist).cast("int"))
+        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "cluster_id", "id").write.partitionBy("bucket").parquet(f"{self.root}/segments/{name}")
+        return {"count": count, "present": sorted(int(n.split("=")[1]) for n in self.files.names(f"segments/{name}") if n.startswith("bucket="))}
 
     def add(self, vectors: DataFrame, batch: tuple[str, int] | None = None) -> bool:
         """Append a delta segment; a stream's batch number up to its last one is skipped."""
@@ -170,10 +184,10 @@ class IndexStore:
                 return False
             batches[batch[0]] = batch[1]
         name = f"delta-{self.manifest['version']:08d}-{uuid.uuid4().hex[:8]}"
-        self._write_segment(self.index.encoded(vectors.select("id", "vec")), name)
+        ranges = self._write_segment(self.index.encoded(vectors.select("id", "vec")), name, vectors.count())
         sizes = sizes_of(self.spark.read.schema(self._schema()).parquet(f"{self.root}/segments/{name}"), self.index.config.nlist)
         total = self.index.sizes + sizes
-        self._commit(segments=[*self.manifest["segments"], name], sizes=total.tolist(), batches=batches)
+        self._commit(segments=[*self.manifest["segments"], name], ranges={**self.manifest["ranges"], name: ranges}, sizes=total.tolist(), batches=batches)
         self.index.sizes = total
         self._open()
         return True
@@ -184,12 +198,12 @@ class IndexStore:
         old = self.manifest["segments"]
         name = f"base-{self.manifest['version']:08d}-{uuid.uuid4().hex[:8]}"
         if self.index.postings is not None:
-            self._write_segment(self.index.postings.drop("bucket"), name)
+            ranges = self._write_segment(self.index.postings.drop("bucket"), name, int(self.index.sizes.sum()))
             written = int(self.spark.read.schema(self._schema()).parquet(f"{self.root}/segments/{name}").count())
             if written != int(self.index.sizes.sum()):
                 self.files.delete(f"segments/{name}")
                 raise RuntimeError("the segments do not hold what the manifest says")
-            self._commit(segments=[name])
+            self._commit(segments=[name], ranges={name: ranges})
             for segment in old:
                 self.files.delete(f"segments/{segment}")
             self._open()
@@ -226,26 +240,30 @@ class IndexStore:
         return self.index.search(queries, k, **how)
 
     def close(self) -> None:
-        self.index.postings = None
+        self.index.postings = self.index.source = None
+
+
+def _range_of(asked: np.ndarray, count: int, nlist: int) -> np.ndarray:
+    return asked.astype(np.int64) * count // nlist
 
 
 class GraphStore:
-    """A graph index on disk: node table first, then the manifest; reload and go on adding."""
+    """A graph index on disk: the shards, a row each, then the manifest; reload and go on adding."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
-    def save(self, index, nodes: DataFrame) -> None:
-        name = f"nodes/{uuid.uuid4().hex}"
-        nodes.write.partitionBy("shard").parquet(f"{self.root}/{name}")
+    def save(self, index, shards: DataFrame) -> None:
+        name = f"shards/{uuid.uuid4().hex}"
+        shards.write.parquet(f"{self.root}/{name}")
         pq = index.pq and {"m": index.pq.m, "k": index.pq.k, "seed": index.pq.seed, "codebooks": index.pq.codebooks.tolist()}
-        manifest = {"format": FORMAT, "nodes": name, "dim": index.dim, "m": index.m, "ef_construction": index.ef_construction, "seed": index.seed, "shards": index.shards, "store_full_vectors": index.store_full_vectors, "pq": pq}
+        manifest = {"format": FORMAT, "stored": name, "dim": index.dim, "m": index.m, "ef_construction": index.ef_construction, "seed": index.seed, "shards": index.shards, "store_full_vectors": index.store_full_vectors, "pq": pq}
         version = max([0, *(int(m[1]) for n in self.files.names() if (m := re.fullmatch(r"graph-(\d+)\.json", n)))]) + 1
         self.files.publish(f"graph-{version:08d}.json", json.dumps(manifest))
 
     def load(self):
-        """(index, nodes)."""
-        from nearfield.operators.graph import GraphIndex
+        """(index, shards)."""
+        from nearfield.operators.graph import SHARDS, GraphIndex
 
         names = [n for n in self.files.names() if re.fullmatch(r"graph-\d+\.json", n)]
         if not names:
@@ -255,5 +273,4 @@ class GraphStore:
             raise ValueError(f"unknown format {m['format']}")
         pq = m["pq"] and ProductQuantizer(m["dim"], m["pq"]["m"], m["pq"]["k"], m["pq"]["seed"], np.array(m["pq"]["codebooks"]))
         index = GraphIndex(m["dim"], m["m"], m["ef_construction"], m["seed"], m["shards"], pq, m["store_full_vectors"])
-        nodes = self.spark.read.schema(index._schema()).parquet(f"{self.root}/{m['nodes']}")
-        return index, nodes
+        return index, self.spark.read.schema(SHARDS).parquet(f"{self.root}/{m['stored']}")

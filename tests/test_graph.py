@@ -56,7 +56,35 @@ def test_codes(table, data, asked, tmp_path, spark):
     again, stored = store.load()
     key = lambda rows: sorted((r.q_id, r["rank"], r.id) for r in rows.collect())
     assert key(again.search(stored, asked, 10, 60)) == key(index.search(nodes, asked, 10, 60))
-    assert again.extend(stored, table(data[:30], first=1000)).count() == 430
+    assert graph.nodes(again.extend(stored, table(data[:30], first=1000)), 8).count() == 430
+
+
+def test_shards_follow_the_size(table, data, spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD_ROWS", 100)
+    index = graph.GraphIndex(16, 8, 20)
+    shards = index.build(table(data))
+    assert index.shards == 4 and shards.count() == 4 and graph.graph_bytes(shards).first().nodes == 400
+
+
+def test_a_stored_graph_is_searched_where_it_is_read(table, data, asked, spark, tmp_path):
+    index = graph.GraphIndex(16, 8, 40, shards=3)
+    store = GraphStore(spark, str(tmp_path / "g"))
+    store.save(index, index.build(table(data[:120])))
+    index, shards = store.load()
+    plan = index.search(shards, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "vecs" not in plan.split("ReadSchema")[1]  # shortlists by query, no raw vectors
+    whole = index.extend(shards, table(data[120:121], first=120))  # one row: the other shards keep every byte
+    same = {r.shard: bytes(r.links) for r in shards.collect()}
+    assert sum(bytes(r.links) == same[r.shard] for r in whole.collect()) == 2
+
+
+def test_default_beam_on_more_vectors(table, found):
+    """Recall against exact search at the default beam on 10,000 vectors."""
+    data = uniform(10_000, 24, 11)
+    index = graph.GraphIndex(24, 16, 60, shards=4)
+    queries = table(uniform(30, 24, 12), ("q_id", "q"))
+    recall = evaluate.recall(index.search(index.build(table(data, partitions=4)), queries, 10), knn.knn(table(data), queries, 10, "cosine"), 10).first().recall
+    assert recall >= 0.9
 
 
 def test_errors(table, data, asked):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators.inverted import BUCKETS, IvfConfig
+from nearfield.operators.inverted import IvfConfig
 from nearfield.plans.collections import Catalog, Conflict, Invalid, NotFound
 from nearfield.sources import datasets
 from nearfield.sources.storage import IndexStore
@@ -46,14 +46,21 @@ def test_training_drops_postings(spark, table, tmp_path):
     assert store.total_vectors() == 0 and store.files.names("segments") == []
 
 
-def test_only_the_probed_buckets_are_scanned(spark, table, tmp_path):
-    from nearfield.operators.inverted import probed
+def test_only_the_probed_ranges_are_opened(spark, table, tmp_path, monkeypatch):
+    """A search of few lists opens few of a segment's files; a delta's too."""
+    from nearfield.sources import storage
 
-    store = made(spark, tmp_path / "i", table, clustered(300, 16, 3))
-    store.add(table(clustered(300, 16, 3)))
-    plan = probed(store.index.postings, [1])._jdf.queryExecution().executedPlan().toString()
-    assert f"bucket" in plan.split("PartitionFilters")[1][:60] and "In(cluster_id" in plan or "EqualTo(cluster_id,1)" in plan
-    assert BUCKETS >= 8
+    monkeypatch.setattr(storage, "RANGE", 100)
+    data = clustered(600, 16, 3)
+    store = IndexStore.create(spark, str(tmp_path / "r"), IvfConfig(16, 64, 4, 16, 0, True))
+    store.train(table(data), **HOW)
+    store.add(table(data))
+    store.add(table(data, first=1000))
+    every, few = store.index.postings.inputFiles(), store.lists(np.array([1, 2, 3])).inputFiles()
+    assert 0 < len(few) <= len(every) // 8
+    rows = lambda frame: sorted((r.cluster_id, r.id) for r in frame.collect())
+    assert rows(store.lists(np.array([1, 2, 3]))) == rows(store.index.postings.filter("cluster_id in (1, 2, 3)"))
+    assert store.lists(np.array([], dtype=int)).count() == 0
 
 
 def test_memory_does_not_grow(spark, table, tmp_path):
