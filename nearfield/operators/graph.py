@@ -45,7 +45,8 @@ def default_ef(size: int, m: int) -> int:
 
 def level(key: Column, m: int, seed: int = 42) -> Column:
     """Top layer of a node: geometric, from a hash of its id."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     return F.floor(-F.ln(u) / math.log(m)).cast("int")
 
 

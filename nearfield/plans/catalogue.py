@@ -21,15 +21,23 @@ from nearfield.sources.storage import GraphStore, IndexStore
 from nearfield.sources.work import work_dir
 from nearfield.streaming.ingest import ingest
 
-QUERIES_BELOW, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 20, 10, 16, 125, 4, 8, 16
+EVERY, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 50, 10, 16, 125, 4, 8, 16
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def asked(spark: SparkSession, sf_dir: str, below: int = QUERIES_BELOW) -> DataFrame:
-    return base(spark, sf_dir).filter(F.col("id") < below).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: every row whose id is divisible by ``EVERY``."""
+    return base(spark, sf_dir).filter(F.col("id") % EVERY == 0).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
+
+
+def checked(queries: DataFrame, numbers: int = 64) -> DataFrame:
+    """Queries that a count allows to be sent to every executor."""
+    if queries.count() * numbers * 8 > knn.BROADCAST_BYTES:
+        raise ValueError("too many queries for a broadcast join")
+    return F.broadcast(queries)
 
 
 def rounded(found: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -61,17 +69,18 @@ def vec_split(spark, d):
 
 
 def range_count(spark, d):
-    met = base(spark, d).crossJoin(F.broadcast(asked(spark, d)))  # twenty queries
+    met = base(spark, d).crossJoin(checked(asked(spark, d)))
     return met.groupBy("q_id").agg(F.count_if(V.squared_l2(F.col("vec"), F.col("q")) <= 1.5).alias("n"))
 
 
 def l2_by_norms(spark, d):
-    met = base(spark, d).crossJoin(F.broadcast(asked(spark, d)))
+    met = base(spark, d).crossJoin(checked(asked(spark, d)))
     return met.select("q_id", "id", F.round(V.squared_l2_by_norms(F.col("vec"), F.col("q")), 9).alias("distance"))
 
 
 def position_ids(spark, d):
-    return knn.with_position_ids(base(spark, d).select(F.col("id").alias("vec_id")), "vec_id", 100).select("vec_id", "id")
+    found = knn.with_position_ids(base(spark, d).withColumnRenamed("id", "vec_id").repartition(7), "vec_id", 100)
+    return found.select("vec_id", "id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 9))
 
 
 # ---- clustering
@@ -100,8 +109,8 @@ def kmeans_empty_retained(spark, d):
     return centroid_rows(spark, clustering.kmeans(base(spark, d), 4, 1, None, 0.0, start=start))
 
 
-def kmeans_minibatch(spark, d):
-    return centroid_rows(spark, clustering.kmeans(base(spark, d), 8, 4, 5, 0.0, minibatch=200, mode="accumulated"))
+def kmeans_minibatch(mode):
+    return lambda spark, d: centroid_rows(spark, clustering.kmeans(base(spark, d), 8, 4, None, 0.0, minibatch=200, mode=mode))
 
 
 def cluster_histogram(spark, d):
@@ -161,15 +170,18 @@ def pq_adc_table(spark, d):
     return rows.select("q_id", "subspace", F.posexplode("t").alias("code", "distance")).select("q_id", "subspace", "code", F.round("distance", 9).alias("distance"))
 
 
-def pq_flat_topk(spark, d):
-    pq, rows = encoded(spark, d)
-    return searched(quantize.flat_search(rows, asked(spark, d), pq, K))
+def pq_flat_topk(rounds=0):
+    def run(spark, d):
+        pq, rows = encoded(spark, d, rounds)
+        return searched(quantize.flat_search(rows, asked(spark, d), pq, K))
+
+    return run
 
 
 def pq_adc_column(spark, d):
     pq, rows = encoded(spark, d)
     tables = asked(spark, d).select("q_id", pq.distance_table(F.col("q")).alias("t"))
-    met = rows.select("id", "codes").crossJoin(F.broadcast(tables))  # twenty queries
+    met = rows.select("id", "codes").crossJoin(checked(tables, SUBSPACES * CODES))
     return searched(knn.best(met.select("q_id", "id", V.table_distance(F.col("codes"), F.col("t")).alias("distance")), K))
 
 
@@ -185,11 +197,11 @@ def pq_compression(spark, d):
 # ---- inverted file
 
 
-def ivf(spark, d, mode="standard", rounds=1, full=True) -> inverted.IvfPq:
+def ivf(spark, d, mode="standard", rounds=1, full=True, pq_rounds=0) -> inverted.IvfPq:
     config = inverted.IvfConfig(64, LISTS, SUBSPACES, CODES, None, full, pq_mode=mode)
     index = inverted.IvfPq(config)
     index.centroids = centroids(spark, d, rounds)
-    index.pq = quantiser(spark, d, 0, index.residuals(base(spark, d)) if mode == "residual" else None)
+    index.pq = quantiser(spark, d, pq_rounds, index.residuals(base(spark, d)) if mode == "residual" else None)
     index.sizes = np.zeros(LISTS, np.int64)
     return index.add(base(spark, d))
 
@@ -202,8 +214,14 @@ def ivf_scanned(spark, d):
     return ivf(spark, d).scanned(asked(spark, d), max_candidates=BUDGET)
 
 
-def ivf_search(mode="standard", **how):
-    return lambda spark, d: searched(ivf(spark, d, mode).search(asked(spark, d), K, **how))
+def ivf_search(mode="standard", pq_rounds=0, **how):
+    return lambda spark, d: searched(ivf(spark, d, mode, pq_rounds=pq_rounds).search(asked(spark, d), K, **how))
+
+
+def ivf_full_probe(spark, d):
+    """Every list, and every record reranked."""
+    index = ivf(spark, d)
+    return searched(index.search(asked(spark, d), K, nprobe=LISTS, rerank=int(index.sizes.sum())))
 
 
 def base_plus_delta_topk(spark, d):
@@ -326,7 +344,7 @@ def frontier(spark, d):
 
 # ---- graphs
 
-GRAPH = {"dim": 64, "m": 16, "ef_construction": 64, "shards": 4}
+GRAPH = {"dim": 64, "m": 16, "ef_construction": 64}
 
 
 def hnsw(spark, d, **more):
@@ -334,36 +352,44 @@ def hnsw(spark, d, **more):
     return index, index.build(base(spark, d))
 
 
-def hnsw_topk(ef=None):
-    def run(spark, d):
-        index, nodes = hnsw(spark, d)
-        return searched(index.search(nodes, asked(spark, d), K, ef))
+def hnsw_topk(spark, d):
+    index, shards = hnsw(spark, d)
+    return searched(index.search(shards, asked(spark, d), K))
 
-    return run
+
+def hnsw_full_beam(spark, d):
+    """A beam as wide as the table: all that is connected is found."""
+    index, shards = hnsw(spark, d)
+    return searched(index.search(shards, asked(spark, d), K, base(spark, d).count()))
+
+
+def hnsw_pq(spark, d):
+    index, shards = hnsw(spark, d, pq=quantiser(spark, d))
+    return searched(index.search(shards, asked(spark, d), K, 100))
 
 
-def hnsw_pq(**how):
+def hnsw_pq_full_beam(rerank):
     def run(spark, d):
-        index, nodes = hnsw(spark, d, pq=quantiser(spark, d))
-        return searched(index.search(nodes, asked(spark, d), K, **how))
+        index, shards = hnsw(spark, d, pq=quantiser(spark, d))
+        every = base(spark, d).count()
+        return searched(index.search(shards, asked(spark, d), K, every, every if rerank else 0))
 
     return run
 
 
 def hnsw_recall(spark, d):
-    """Whether the default beam finds at least 85 % of the true neighbours."""
-    index, nodes = hnsw(spark, d)
-    found = evaluate.recall(index.search(nodes, asked(spark, d), K), knn.knn(base(spark, d), asked(spark, d), K, "cosine"), K)
-    return found.select((F.col("recall") >= 0.85).alias("enough"), "queries")
+    """The share of the true neighbours that the default beam finds."""
+    index, shards = hnsw(spark, d)
+    return evaluate.recall(index.search(shards, asked(spark, d), K), knn.knn(base(spark, d), asked(spark, d), K, "cosine"), K).select(F.round("recall", 6).alias("recall"), "queries")
 
 
 def hnsw_visited(spark, d):
-    index, nodes = hnsw(spark, d)
-    return index.visited(nodes, asked(spark, d), K).groupBy("q_id").agg(F.max("nodes_visited").alias("nodes_visited"), F.max("ef").alias("ef"))
+    index, shards = hnsw(spark, d)
+    return index.visited(shards, asked(spark, d), K).groupBy("q_id").agg(F.max("nodes_visited").alias("nodes_visited"), F.max("ef").alias("ef"))
 
 
 def hnsw_levels(spark, d):
-    return base(spark, d).select("id", graph.level(F.col("id"), 16).alias("level"))
+    return graph.nodes(hnsw(spark, d)[1], GRAPH["m"]).select("id", "level")
 
 
 def hnsw_degree(spark, d):
@@ -375,15 +401,17 @@ def hnsw_reciprocity(spark, d):
 
 
 def hnsw_size(spark, d):
-    return graph.graph_bytes(hnsw(spark, d)[1]).select("nodes", (F.col("bytes") == 4 * (F.col("nodes") + F.col("edges"))).alias("consistent"))
+    """Nodes, and the bytes of a graph less its edges': four for each node and four for each layer of one."""
+    return graph.graph_bytes(hnsw(spark, d)[1]).select("nodes", (F.col("bytes") - 4 * F.col("edges")).alias("frame_bytes"))
 
 
 def hnsw_stored(spark, d):
-    index, nodes = hnsw(spark, d, pq=quantiser(spark, d))
+    index, shards = hnsw(spark, d, pq=quantiser(spark, d))
     store = GraphStore(spark, work_dir(spark, "graph"))
-    store.save(index, nodes)
-    index, nodes = store.load()
-    return searched(index.search(nodes, asked(spark, d), K, 1000, rerank=1000))
+    store.save(index, shards)
+    index, shards = store.load()
+    every = base(spark, d).count()
+    return searched(index.search(shards, asked(spark, d), K, every, every))
 
 
 # ---- storage, collections, streams
@@ -444,7 +472,7 @@ def collection_list(spark, d):
 
 def collection_topk(spark, d):
     """Every list and every record reranked: the exact result."""
-    return searched(catalog(spark, d).search("items", asked(spark, d), K, nprobe=LISTS, rerank=100_000))
+    return searched(catalog(spark, d).search("items", asked(spark, d), K, nprobe=LISTS, rerank=base(spark, d).count()))
 
 
 def uniform_vectors(spark, d):
@@ -477,7 +505,8 @@ QUERIES = {
     "kmeans_step": kmeans_fit(1),
     "kmeans_fit3": kmeans_fit(3),
     "kmeans_empty_retained": kmeans_empty_retained,
-    "kmeans_minibatch": kmeans_minibatch,
+    "kmeans_minibatch": kmeans_minibatch("legacy"),
+    "kmeans_accumulated": kmeans_minibatch("accumulated"),
     "kmeans_shift": kmeans_shift,
     "cluster_histogram": cluster_histogram,
     "two_nearest_margin": two_nearest_margin,
@@ -488,7 +517,8 @@ QUERIES = {
     "pq_recon_error": pq_recon_error,
     "pq_adc_table": pq_adc_table,
     "pq_adc_column": pq_adc_column,
-    "pq_flat_topk": pq_flat_topk,
+    "pq_flat_topk": pq_flat_topk(),
+    "pq_trained_topk": pq_flat_topk(2),
     "pq_symmetric": pq_symmetric,
     "pq_compression": pq_compression,
     "ivf_probe_nprobe": ivf_probe(nprobe=PROBES),
@@ -499,7 +529,8 @@ QUERIES = {
     "ivf_residual_topk": ivf_search("residual", nprobe=PROBES),
     "ivf_rerank_topk": ivf_search(nprobe=PROBES, rerank=20),
     "ivf_residual_rerank_topk": ivf_search("residual", max_candidates=BUDGET, rerank=20),
-    "ivf_full_probe_equals_exact": ivf_search(nprobe=LISTS, rerank=100_000),
+    "ivf_trained_topk": ivf_search(pq_rounds=2, nprobe=PROBES, rerank=20),
+    "ivf_full_probe_equals_exact": ivf_full_probe,
     "base_plus_delta_topk": base_plus_delta_topk,
     "replicated_candidates": replicated_candidates,
     "lines_knn": lines_knn,
@@ -513,17 +544,17 @@ QUERIES = {
     "config_select": config_select,
     "coarse_decision": coarse_decision,
     "frontier": frontier,
-    "hnsw_topk": hnsw_topk(),
-    "hnsw_full_beam": hnsw_topk(1000),
+    "hnsw_topk": hnsw_topk,
+    "hnsw_full_beam": hnsw_full_beam,
     "hnsw_recall": hnsw_recall,
     "hnsw_visited": hnsw_visited,
     "hnsw_levels": hnsw_levels,
     "hnsw_degree": hnsw_degree,
     "hnsw_reciprocity": hnsw_reciprocity,
     "hnsw_size": hnsw_size,
-    "hnsw_pq_topk": hnsw_pq(ef=100),
-    "hnsw_pq_full_beam": hnsw_pq(ef=1000),
-    "hnsw_pq_rerank": hnsw_pq(ef=1000, rerank=1000),
+    "hnsw_pq_topk": hnsw_pq,
+    "hnsw_pq_full_beam": hnsw_pq_full_beam(False),
+    "hnsw_pq_rerank": hnsw_pq_full_beam(True),
     "hnsw_stored": hnsw_stored,
     "stored_topk": stored_topk(False),
     "compacted_topk": stored_topk(True),

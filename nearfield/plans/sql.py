@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES_BELOW, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 20, 10, 16, 125, 4, 8, 16
+EVERY, K, LISTS, BUDGET, PROBES, SUBSPACES, CODES = 50, 10, 16, 125, 4, 8, 16
 WIDTH = 64 // SUBSPACES
 
 
@@ -18,7 +18,7 @@ def unit(v: str, divisor: str) -> str:
     return f"list_transform({v}, lambda x: x / ({divisor}))"
 
 
-BASE = f"v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT id AS q_id, vec AS q FROM v WHERE id < {QUERIES_BELOW})"
+BASE = f"v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), q AS (SELECT id AS q_id, vec AS q FROM v WHERE id % {EVERY} = 0)"
 
 
 def top(source: str, k: int = K) -> str:
@@ -30,7 +30,7 @@ def exact(expression: str, k: int = K) -> str:
 
 
 NORMED = f"n AS (SELECT id, {unit('vec', 'sqrt(' + inner('vec', 'vec') + ') + 1e-10')} AS vec FROM v)"
-COSINE = f"WITH {BASE}, {NORMED}, d AS (SELECT a.id AS q_id, b.id, 1.0::DOUBLE - {inner('b.vec', 'a.vec')} AS distance FROM n b, n a WHERE a.id < {QUERIES_BELOW}) {top('d')}"
+COSINE = f"WITH {BASE}, {NORMED}, d AS (SELECT a.id AS q_id, b.id, 1.0::DOUBLE - {inner('b.vec', 'a.vec')} AS distance FROM n b, n a WHERE a.id % {EVERY} = 0) {top('d')}"
 
 
 def components(divisor: str) -> str:
@@ -60,13 +60,13 @@ def centroid_rows(n: int) -> str:
     return f"SELECT cluster_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS pos, round(unnest(c), 9) AS x FROM c{n}"
 
 
-def books(source: str = "v", count: int = 0) -> str:
+def books(source: str = "v", count: int = 0, scaled: bool = False) -> str:
     """Codebooks b{count} (s, code, b) of sub-vectors of the lowest ids of ``source``, after Lloyd rounds."""
     out = [
         f"parts AS (SELECT id, s, vec[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}] AS p FROM {source}, (SELECT unnest(range({SUBSPACES})) AS s))",
         f"b0 AS (SELECT s, CAST(id AS INTEGER) AS code, p AS b FROM parts WHERE id < {CODES})",
     ]
-    if count:
+    if count and not scaled:
         out.insert(0, SCALE)
     for n in range(count):
         out.append(f"e{n} AS (SELECT id, s, any_value(p) AS p, arg_min(code, {{'d': d, 'c': code}}) AS code FROM (SELECT id, parts.s, p, code, {dist('p', 'b')} AS d FROM parts JOIN b{n} USING (s)) GROUP BY id, s)")
@@ -85,7 +85,11 @@ DECODED = "dec AS (SELECT id, flatten(list(b ORDER BY s)) AS x FROM e GROUP BY i
 PQ = f"WITH {BASE}, {books()}, {codes()}"
 QPARTS = f"qp AS (SELECT q_id, s, q[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}] AS p FROM q, (SELECT unnest(range({SUBSPACES})) AS s))"
 #: Sums over subspaces of the sub-vectors' distances, subspaces in order.
-FLAT = f"{PQ}, {QPARTS}, tab AS (SELECT q_id, qp.s, code, {dist('p', 'b')} AS d FROM qp JOIN b0 USING (s)), d AS (SELECT q_id, id, list_sum(list(d ORDER BY s)) AS distance FROM e JOIN tab USING (s, code) GROUP BY q_id, id) {top('d')}"
+def flat(count: int) -> str:
+    return f"WITH {BASE}, {books(count=count)}, {codes(n=count)}, {QPARTS}, tab AS (SELECT q_id, qp.s, code, {dist('p', 'b')} AS d FROM qp JOIN b{count} USING (s)), d AS (SELECT q_id, id, list_sum(list(d ORDER BY s)) AS distance FROM e JOIN tab USING (s, code) GROUP BY q_id, id) {top('d')}"
+
+
+FLAT = flat(0)
 
 CENTROIDS = rounds(1)
 LISTED = f"post AS ({assigned('c1')}), sizes AS (SELECT c1.cluster_id, count(post.id) AS n FROM c1 LEFT JOIN post USING (cluster_id) GROUP BY 1)"
@@ -98,12 +102,12 @@ def probes(condition: str) -> str:
     return f"{IVF} SELECT q_id, CAST(probe AS INTEGER) AS probe, cluster_id, round(cd, 9) AS centroid_distance, n FROM rk WHERE {condition}"
 
 
-def searched(condition: str, residual: bool = False, rerank: int = 0, sizes: int = K) -> str:
+def searched(condition: str, residual: bool = False, rerank: int = 0, trained: int = 0) -> str:
     """Search over the routed lists by codes; with ``rerank`` the best of that many by exact distance."""
     out = [IVF, f"pr AS (SELECT q_id, cluster_id FROM rk WHERE {condition})"]
     if residual:
         out.append("res AS (SELECT v.id, list_transform(list_zip(vec, c), lambda t: t[1] - t[2]) AS vec FROM v JOIN post USING (id) JOIN c1 USING (cluster_id))")
-    out += [books("res" if residual else "v"), codes()]
+    out += [books("res" if residual else "v", trained, True), codes(n=trained)]
     query = "list_transform(list_zip(q, c), lambda t: t[1] - t[2])" if residual else "q"
     out.append(f"qc AS (SELECT q_id, cluster_id, {query} AS q FROM pr JOIN q USING (q_id) JOIN c1 USING (cluster_id))")
     out.append(f"cand AS (SELECT qc.q_id, e.id, list_sum(list({dist(f'qc.q[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}]', 'e.b')} ORDER BY s)) AS distance FROM qc JOIN post USING (cluster_id) JOIN e USING (id) GROUP BY qc.q_id, e.id)")
@@ -137,6 +141,24 @@ MARGIN = f"n2 AS (SELECT id, cluster_id, d, row_number() OVER (PARTITION BY id O
 # the first twenty of the list by codes, for the share that the shortlist keeps
 _SHORT = searched(BY_BUDGET).replace(f"WHERE rank <= {K}", "WHERE rank <= 20")
 
+#: A node's top layer, from a hash of its id.
+LEVEL = "CAST(floor(-ln((CAST(('0x' || substr(md5(vec_id || ':42'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / ln(16::DOUBLE)) AS INTEGER)"
+
+
+def minibatches(count: int, size: int, rounds: int, accumulated: bool) -> str:
+    """Rounds that see windows of ``size`` rows in id order; sums of all rounds count if ``accumulated``."""
+    out = [SCALE, "p AS (SELECT id, vec, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS total FROM v)", f"c0 AS (SELECT CAST(id AS INTEGER) AS cluster_id, vec AS c FROM v WHERE id < {count})"]
+    for n in range(rounds):
+        out.append(f"w{n} AS (SELECT id, vec FROM p WHERE ((pos - {n * size}) % total + total) % total < {size})")
+        out.append(f"a{n} AS (SELECT id, arg_min(cluster_id, {{'d': d, 'c': cluster_id}}) AS cluster_id FROM (SELECT id, cluster_id, {dist('vec', 'c')} AS d FROM w{n}, c{n}) GROUP BY id)")
+        out.append(f"s{n} AS (SELECT cluster_id, pos, sum(CAST(floor(x * scale) AS HUGEINT)) AS s, count(*) AS n FROM (SELECT cluster_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM a{n} JOIN w{n} USING (id)), g GROUP BY ALL)")
+        seen = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in (range(n + 1) if accumulated else [n]))
+        own = f" WHERE cluster_id IN (SELECT cluster_id FROM s{n})"
+        out.append(f"m{n} AS (SELECT cluster_id, list(CAST(s AS DOUBLE) / scale / n ORDER BY pos) AS c FROM (SELECT cluster_id, pos, sum(s) AS s, CAST(sum(n) AS BIGINT) AS n FROM ({seen}){own} GROUP BY ALL), g GROUP BY cluster_id)")
+        out.append(f"c{n + 1} AS (SELECT c{n}.cluster_id, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster_id))")
+    return f"WITH {BASE}, {', '.join(out)} {centroid_rows(rounds)}"
+
+
 SQL = {
     "knn_l2": exact(dist("vec", "q")),
     "knn_l2_columns": exact(dist("vec", "q")),
@@ -151,11 +173,13 @@ SQL = {
     "vec_split": f"WITH {BASE} SELECT id, CAST(s AS INTEGER) AS subspace, round({inner(f'vec[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}]', f'vec[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}]')}, 9) AS squared FROM v, (SELECT unnest(range({SUBSPACES})) AS s)",
     "range_count": f"WITH {BASE} SELECT q_id, count(*) FILTER (WHERE {dist('vec', 'q')} <= 1.5) AS n FROM v, q GROUP BY q_id",
     "l2_by_norms": f"WITH {BASE} SELECT q_id, id, round({inner('vec', 'vec')} - 2.0::DOUBLE * {inner('vec', 'q')} + {inner('q', 'q')}, 9) AS distance FROM v, q",
-    "position_ids": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 + 100 AS id FROM embeddings",
+    "position_ids": "SELECT vec_id, id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 9) AS x FROM (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 + 100 AS id FROM embeddings)",
     "kmeans_assign": f"WITH {BASE}, {rounds(0)} SELECT id, cluster_id, round(centroid_distance, 9) AS centroid_distance FROM ({assigned('c0')})",
     "kmeans_step": f"WITH {BASE}, {rounds(1)} {centroid_rows(1)}",
     "kmeans_fit3": f"WITH {BASE}, {rounds(3)} {centroid_rows(3)}",
     "kmeans_empty_retained": f"WITH {BASE}, {rounds(1, 'SELECT CAST(id AS INTEGER) AS cluster_id, CASE WHEN id = 3 THEN (SELECT vec FROM v WHERE id = 0) ELSE vec END AS c FROM v WHERE id < 4')} {centroid_rows(1)}",
+    "kmeans_minibatch": minibatches(8, 200, 4, False),
+    "kmeans_accumulated": minibatches(8, 200, 4, True),
     "kmeans_shift": f"WITH {BASE}, {rounds(3)} SELECT round(max(abs(t[1] - t[2])), 9) AS shift FROM (SELECT unnest(list_zip(c2.c, c3.c)) AS t FROM c2 JOIN c3 USING (cluster_id))",
     "cluster_histogram": f"WITH {BASE}, {rounds(3)}, post AS ({assigned('c3')}) SELECT c3.cluster_id, count(post.id) AS n FROM c3 LEFT JOIN post USING (cluster_id) GROUP BY 1",
     "two_nearest_margin": f"WITH {BASE}, {rounds(0)}, {MARGIN.format(c='c0')} SELECT id, first, second, round(margin, 9) AS margin FROM mg",
@@ -167,6 +191,7 @@ SQL = {
     "pq_adc_table": f"WITH {BASE}, {books()}, {QPARTS} SELECT q_id, CAST(qp.s AS INTEGER) AS subspace, code, round({dist('p', 'b')}, 9) AS distance FROM qp JOIN b0 USING (s)",
     "pq_adc_column": FLAT,
     "pq_flat_topk": FLAT,
+    "pq_trained_topk": flat(2),
     "pq_symmetric": f"WITH {BASE}, {books()} SELECT CAST(x.s AS INTEGER) AS subspace, x.code AS first, y.code AS second, round({dist('x.b', 'y.b')}, 9) AS distance FROM b0 x JOIN b0 y ON x.s = y.s",
     "pq_compression": "SELECT m, 256.0::DOUBLE / m AS ratio FROM (VALUES (8), (16), (32)) t(m)",
     "ivf_probe_nprobe": probes(BY_PROBES),
@@ -177,6 +202,7 @@ SQL = {
     "ivf_residual_topk": searched(BY_PROBES, True),
     "ivf_rerank_topk": searched(BY_PROBES, rerank=20),
     "ivf_residual_rerank_topk": searched(BY_BUDGET, True, 20),
+    "ivf_trained_topk": searched(BY_PROBES, rerank=20, trained=2),
     "ivf_full_probe_equals_exact": exact(dist("vec", "q")),
     "base_plus_delta_topk": searched(BY_PROBES),
     "replicated_candidates": f"WITH {BASE}, {CENTROIDS}, {MARGIN.format(c='c1')}, post AS (SELECT id, first AS cluster_id FROM mg UNION ALL SELECT id, second FROM (SELECT * FROM mg ORDER BY margin, id LIMIT (SELECT count(*) // 4 FROM v))), sizes AS (SELECT c1.cluster_id, count(post.id) AS n FROM c1 LEFT JOIN post USING (cluster_id) GROUP BY 1), {ROUTED} SELECT DISTINCT q_id, id FROM rk JOIN post USING (cluster_id) WHERE {BY_BUDGET}",
@@ -195,10 +221,10 @@ SQL = {
     + f", {ranked(TRUTH, 't')} "
     + " UNION ALL ".join(f"SELECT {n} AS nprobe, {r} AS rerank, round(avg(CAST(EXISTS (SELECT 1 FROM f{n}_{r} f WHERE f.q_id = t.q_id AND f.id = t.id) AS INTEGER)), 6) AS recall FROM t" for n in (1, 2, 4, 8) for r in (0, 20)),
     "hnsw_full_beam": COSINE,
-    "hnsw_recall": f"SELECT true AS enough, count(*) AS queries FROM embeddings WHERE vec_id < {QUERIES_BELOW}",
     "hnsw_degree": "SELECT CAST(0 AS BIGINT) AS violations",
     "hnsw_reciprocity": "SELECT CAST(0 AS BIGINT) AS violations",
-    "hnsw_size": "SELECT count(*) AS nodes, true AS consistent FROM embeddings",
+    "hnsw_levels": f"SELECT vec_id AS id, {LEVEL} AS level FROM embeddings",
+    "hnsw_size": f"SELECT count(*) AS nodes, CAST(4 * count(*) + 4 * sum({LEVEL} + 1) AS BIGINT) AS frame_bytes FROM embeddings",
     "hnsw_pq_full_beam": FLAT,
     "hnsw_pq_rerank": exact(dist("vec", "q")),
     "hnsw_stored": exact(dist("vec", "q")),
@@ -209,5 +235,5 @@ SQL = {
     "collection_list": "SELECT 'items' AS name, count(*) AS total_vectors FROM embeddings UNION ALL SELECT 'empty', 0",
     "collection_topk": exact(dist("vec", "q")),
     "uniform_vectors": "SELECT CAST(8000 AS BIGINT) AS n, true AS in_range, true AS centred",
-    "dataset_check": f"SELECT count(*) AS base, count(*) FILTER (WHERE vec_id < {QUERIES_BELOW}) AS queries, 64 AS dim FROM embeddings",
+    "dataset_check": f"SELECT count(*) AS base, count(*) FILTER (WHERE vec_id % {EVERY} = 0) AS queries, 64 AS dim FROM embeddings",
 }
