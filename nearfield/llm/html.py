@@ -1,13 +1,22 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Executors parse each page into text blocks and hash the subtree of every container element, menus,
-footers and what stands outside the article included.
-Spark counts, for each host, the different articles in whose pages a subtree occurs (copies of one page
-count once); a subtree in a share of the host's different articles (``SHARE``; ``MARKED_SHARE`` within
-a marked article or main element), and in ``LEAST_PAGES`` at least, is the site's template, and its blocks
-are deleted. Of what is left, elements whose tag, role or class says menu, header, footer, sidebar, notice,
-advert, form, comments and so on go, and then what stands outside the article where
-the page still has one. Paragraphs and headings are never counted: prose may repeat.
+Each page is parsed, and every element's subtree is hashed bottom-up from its children's digests, in
+time linear in the page. A block element has up to two digests: of its *content* (tags, classes and text)
+and, where it stands beside the page's article or most of its text is links, of its *shape* (tags
+and classes without text, runs of equal children taken as one), since a menu, an advert or a footer is the
+same element with other words on each page. Spark counts, for each host, the different articles in whose
+pages a digest occurs (copies of one article count once). What occurs in a share of the host's
+different articles (``SHARE``; ``WIDE_SHARE`` for shapes and within a marked article), and in
+``LEAST_PAGES`` at least, is the site's template: a second parse deletes those subtrees.
+
+Counts can't tell on hosts with too few articles, and a thing that only one page has is no template. So
+of what is left, elements whose tag, role or class says menu, header, footer, sidebar, notice, advert, form,
+comments and so on go too, and then what stands outside the article, if the article holds half of what
+remains. Paragraphs and headings are never counted: prose may repeat.
+
+Only digests are shuffled (a host is its 64-bit hash); templates go to every executor if they are at most
+``BROADCAST_TEMPLATES`` (16 bytes each), else pages are joined with them by host. A host has at most
+``1 / SHARE`` times as many templates as digests on an average page, whatever its size.
 
 Defined cases: null html is empty and gives an empty text; a null or odd url has an empty host;
 repeated rows are extracted each (and count once); broken markup is closed as browsers do;
@@ -19,7 +28,6 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -30,8 +38,10 @@ from nearfield.llm.shared import settled
 from nearfield.llm.urls import host_and_path
 
 #: The share of a host's different articles with the same subtree that makes it a template, the
-#: same within a marked article, and the fewest articles by which that can be told.
-SHARE, MARKED_SHARE, LEAST_PAGES = 0.1, 0.5, 4
+#: same for shapes and within a marked article, and the fewest articles by which that can be told.
+SHARE, WIDE_SHARE, LEAST_PAGES = 0.1, 0.5, 4
+#: Most templates that are sent to every executor.
+BROADCAST_TEMPLATES = 200_000
 
 # HTML element names by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +51,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
+#: Blocks that are never counted: prose may repeat, and pages consist of these.
+UNCOUNTED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption li dd dt tr td th tbody thead tfoot html body article main".split())
 NOT_TEXT = frozenset("head nav aside footer form button select input dialog menu object canvas svg math audio video map search".split()) | RAW
 NOT_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOT_TEXT_WORDS = frozenset(
@@ -49,6 +60,12 @@ NOT_TEXT_WORDS = frozenset(
     "cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices pager paginate pagination popup "
     "promo promoted promotion related recommended respond share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+#: Words that leave a name's meaning as it is: parts, places and kinds.
+NEUTRAL_WORDS = frozenset(
+    "a and area bar block body bottom box bottombar button buttons center col column container content count default desktop form fixed global group header icon icons id inner item items "
+    "item lang large left level link links list lower main media mobile module nr of page panel part policy posts primary right row secondary section site slot small sticky sub text thread title "
+    "top topbar unit upper wrap wrapper wide x0 x1 1 2 3 4 5 6 7 8 9 0".split()
+)
 NOT_TEXT_CLASSES = frozenset("header site-header page-header top-header".split())
 #: What an element's start closes: of these, up to the nearest of the bounds.
 CLOSES = {"li": (frozenset({"li"}), frozenset("ul ol menu dir".split())), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})), "option": (frozenset({"option"}), frozenset({"select"}))}
@@ -60,24 +77,55 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\
 WORD_EDGE = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+MASK, MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
+CONTENT, WITHIN, SHAPE = 0, 1, 2  # the two lowest bits of a digest
+
+
+def _joined(digest: int, child: int) -> int:
+    digest = ((digest ^ child) * MIX) & MASK
+    return digest ^ (digest >> 29)
+
+
+def _word(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _kind(digest: int, kind: int) -> int:
+    digest = (digest & ~3 | kind) & MASK
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 class Element:
-    tag: str
-    dropped: bool
-    article: int  # 2 in an article, 1 in a main element, 0 in neither
-    number: int = -1  # of a counted container
-    digest: object = None
+    """An open element, and afterwards what is known of its subtree."""
 
+    __slots__ = ("tag", "parent", "named", "article", "content", "shape", "last", "chars", "links", "holds", "words")
 
-@dataclass
-class Parser:
-    """One page's blocks: (text, article level, numbers of the counted containers around it)."""
+    def __init__(self, tag: str, parent: Element | None, words: tuple[str, ...]):
+        self.tag, self.parent, self.words = tag, parent, words
+        self.named, self.article = (parent.named, parent.article) if parent else (False, 0)  # article: 2 in one, 1 in a main element
+        self.content = self.shape = _word(f"<{tag} {' '.join(words)}>")
+        self.last = 0  # the last child's shape
+        self.chars = self.links = 0  # characters of text, and of text in links
+        self.holds = False  # an article or main element
 
-    blocks: list[tuple[str, int, tuple[int, ...]]] = field(default_factory=list)
-    digests: list[int] = field(default_factory=list)
-    open: list[Element] = field(default_factory=list)
-    run: list[str] = field(default_factory=list)
-    named: list[str] = field(default_factory=list)  # text of dropped elements: it is hashed only
+    def add(self, content: int, shape: int) -> None:
+        self.content = _joined(self.content, content)
+        if shape != self.last:
+            self.shape, self.last = _joined(self.shape, shape), shape
+
+
+class Parser:
+    """One page: its blocks as (text, innermost element), and all its elements, parents first."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[str, Element | None]] = []
+        self.elements: list[Element] = []
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}  # of open elements by tag
+        self.block_places: list[int] = []
+        self.run: list[str] = []
+        self.apart: list[tuple[str, Element]] = []  # text in elements that go by their name
+        self.links = 0  # open links
 
     def parse(self, page: str) -> None:
         at, size = 0, len(page)
@@ -96,8 +144,7 @@ class Parser:
             if token[1] or token[4]:
                 self.end(tag)
                 continue
-            attributes = token[3] or token[6] or ""
-            self.start(tag, attributes)
+            self.start(tag, token[3] or token[6] or "")
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 self.pop(len(self.open) - 1)
@@ -106,72 +153,69 @@ class Parser:
         self.flush()
 
     def text(self, text: str) -> None:
-        (self.named if self.open and self.open[-1].dropped else self.run).append(text)
+        own = self.open[-1] if self.open else None
+        if own is not None and own.named:
+            self.apart.append((text, own))
+        else:
+            self.run.append(text)
+        if own is not None and not text.isspace():
+            words = " ".join(entities.unescape(text).split())
+            own.add(_word(words), 1)
+            own.chars += len(words)
+            if self.links:
+                own.links += len(words)
 
     def flush(self) -> None:
-        if self.named:
-            text = " ".join(entities.unescape("".join(self.named)).split())
-            self.named.clear()
-            if text:
-                for element in self.open:
-                    if element.dropped and element.digest is not None:
-                        element.digest.update(b"\x01" + text.encode("utf-8", "replace"))
         if self.run:
             text = " ".join(entities.unescape("".join(self.run)).split())
             self.run.clear()
             if text:
-                inside = tuple(e.number for e in self.open if e.number >= 0)
-                self.blocks.append((text, self.open[-1].article if self.open else 0, inside))
-                for element in self.open:
-                    if element.digest is not None:
-                        element.digest.update(b"\x01" + text.encode("utf-8", "replace"))
+                self.blocks.append((text, self.open[-1] if self.open else None))
+        if self.apart:
+            for text, own in self.apart:
+                self.blocks.append((" ".join(entities.unescape(text).split()), own))
+            self.apart.clear()
+
+    def place(self, tags: Iterable[str]) -> int:
+        """The innermost open element of some tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
-            if tag in ("br", "wbr") or tag not in BLOCK:
-                if tag == "br":
-                    self.text(" ")
-            else:
+            if tag == "br":
+                self.run.append(" ")
+            elif tag in BLOCK:
                 self.flush()
             return
         if tag in BLOCK:
             self.flush()
-            for i in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph
-                if self.open[i].tag == "p":
-                    self.pop(i)
-                    break
-                if self.open[i].tag in PARAGRAPH_BOUNDS:
-                    break
+            paragraph = self.place(("p",))
+            if paragraph > self.place(PARAGRAPH_BOUNDS):  # a block ends an open paragraph
+                self.pop(paragraph)
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag in ends:
-                    self.pop(i)
-                elif self.open[i].tag in bounds:
-                    break
+            bound = self.place(bounds)
+            while (found := self.place(ends)) > bound:
+                self.pop(found)
         above = self.open[-1] if self.open else None
-        element = Element(tag, bool(above and above.dropped), above.article if above else 0)
         words, role = self.described(attributes) if attributes else ((), "")
-        if not element.dropped:
-            element.dropped = self.not_text(tag, element.article, words, role)
-        if tag == "article" or "articlebody" in words:
-            element.article = 2
+        element = Element(tag, above, words)
+        element.named = element.named or self.not_text(tag, element.article, words, role)
+        if tag == "article" or "articlebody" in map(str.lower, words):
+            element.article, element.holds = 2, True
         elif tag == "main" or role == "main":
-            element.article = max(element.article, 1)
-        if tag in CONTAINER:
-            element.number, element.digest = len(self.digests), blake2b(f"<{tag} {' '.join(words)}>".encode("utf-8", "replace"), digest_size=8)
-            self.digests.append(0)
-        self.mark(b"\x02" + tag.encode("utf-8", "replace"))
+            element.article, element.holds = max(element.article, 1), True
+        if tag == "a":
+            self.links += 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.block_places.append(len(self.open))
         self.open.append(element)
-
-    def mark(self, what: bytes) -> None:
-        for element in self.open:
-            if element.digest is not None:
-                element.digest.update(what)
+        self.elements.append(element)
 
     @staticmethod
     def described(attributes: str) -> tuple[tuple[str, ...], str]:
-        """The words of an element's class, id and item property, lower case, and its role."""
+        """The words of an element's class, id and item property, and its role."""
         words, role = [], ""
         for name, *values in ATTRIBUTE.findall(attributes):
             value = next(filter(None, values), "")
@@ -192,7 +236,10 @@ class Parser:
         if tag in ("html", "body", "main"):
             return False
         for word in words:
-            if word == "\x00hidden" or word.lower() in NOT_TEXT_CLASSES or any(part.lower() in NOT_TEXT_WORDS for part in WORD_EDGE.split(word)):
+            if word == "\x00hidden" or word.lower() in NOT_TEXT_CLASSES:
+                return True
+            parts = [p.lower() for p in WORD_EDGE.split(word) if p]
+            if any(p in NOT_TEXT_WORDS for p in parts) and all(p in NOT_TEXT_WORDS or p in NEUTRAL_WORDS for p in parts):
                 return True
         return False
 
@@ -200,25 +247,63 @@ class Parser:
         if tag == "br":
             self.start("br", "")
             return
-        block = tag in BLOCK
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                if block:
-                    self.flush()
-                self.pop(i)
-                return
-            if not block and self.open[i].tag in BLOCK:
-                return
+        found = self.place((tag,))
+        if found < 0 or (tag not in BLOCK and self.block_places and self.block_places[-1] > found):
+            return
+        if tag in BLOCK:
+            self.flush()
+        self.pop(found)
 
     def pop(self, least: int) -> None:
         while len(self.open) > least:
-            if self.open[-1].tag in BLOCK:
+            element = self.open[-1]
+            if element.tag in BLOCK:
                 self.flush()
-            element = self.open.pop()
-            self.mark(b"\x03")
-            if element.digest is not None:
-                digest = int.from_bytes(element.digest.digest(), "little", signed=True)
-                self.digests[element.number] = digest | 1 if element.article else digest & ~1  # odd within a marked article
+                self.block_places.pop()
+            self.open.pop()
+            self.places[element.tag].pop()
+            if element.tag == "a":
+                self.links -= 1
+            if element.parent is not None:
+                above = element.parent
+                above.add(element.content, element.shape)
+                above.chars += element.chars
+                above.links += element.links
+                above.holds |= element.holds
+
+    def counted(self) -> list[tuple[Element, list[int]]]:
+        """The elements that may be a template, each with its digests."""
+        every = sum(len(t) for t, e in self.blocks if e is None or not e.named)
+        inside = sum(len(t) for t, e in self.blocks if e is not None and e.article and not e.named)
+        marked = 2 * inside >= every > 0  # the page marks where its text is
+        found = []
+        for e in self.elements:
+            if e.tag in BLOCK and e.tag not in UNCOUNTED and e.chars:
+                digests = [_kind(e.content, WITHIN if e.article else CONTENT)]
+                if not e.article and not e.holds and (marked or 2 * e.links >= e.chars):
+                    digests.append(_kind(e.shape, SHAPE))
+                found.append((e, digests))
+        return found
+
+    def body(self) -> int:
+        """Digest by which copies of an article are told: of the text of the article level that has most."""
+        texts = {level: "\n".join(t for t, e in self.blocks if (e.article if e else 0) == level and not (e and e.named)) for level in (2, 1, 0)}
+        return _kind(_word(max(texts.values(), key=len)), 0)
+
+    def kept(self, templates: frozenset[int] = frozenset()) -> list[str]:
+        """The blocks of the page's text: what neither the counts nor the names delete, of the article if that holds half of it."""
+        gone = {id(e) for e, digests in self.counted() if not templates.isdisjoint(digests)} if templates else set()
+        if gone:
+            for e in self.elements:  # parents first
+                if id(e.parent) in gone:
+                    gone.add(id(e))
+        left = [(t, e) for t, e in self.blocks if id(e) not in gone]
+        left = [(t, e.article if e else 0) for t, e in left if e is None or not e.named]
+        for level in (2, 1):
+            size = sum(len(t) for t, own in left if own >= level)
+            if size and 2 * size >= sum(len(t) for t, _ in left):
+                return [t for t, own in left if own >= level]
+        return [t for t, _ in left]
 
 
 def read(page: str | None) -> Parser:
@@ -227,65 +312,40 @@ def read(page: str | None) -> Parser:
     return parser
 
 
-def blocks(page: str | None) -> list[tuple[str, list[int]]]:
-    """The text blocks of a page's article (of the whole page, if it marks none), in order, each with the hashes of the container subtrees around it."""
-    parser = read(page)
-    level = max((article for _, article, _ in parser.blocks), default=0)
-    return [(text, [parser.digests[i] for i in inside]) for text, article, inside in parser.blocks if article == level]
-
-
-def candidates(parser: Parser) -> list[tuple[str, int, tuple[int, ...]]]:
-    """The blocks that may be the page's text: those of a lower article level only if templates can take all above."""
-    least = 3
-    for level in (2, 1, 0):
-        least = level
-        if any(article == level and not inside for _, article, inside in parser.blocks):
-            break
-    return [b for b in parser.blocks if b[1] >= least]
-
-
-def body(parser: Parser) -> int:
-    """Digest by which copies of an article are told: of the text of the article level that has most."""
-    texts = {level: "\n".join(t for t, article, _ in parser.blocks if article == level) for level in (2, 1, 0)}
-    most = max(texts.values(), key=len)
-    return int.from_bytes(blake2b(most.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            rows = [(own.body(), sorted({d for _, digests in own.counted() for d in digests})) for own in (read(page.as_py()) for page in part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b for b, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.list_(pa.int64()))], names=["host", "body", "digests"])
 
 
-PARSED = "key {key}, url string, host string, body bigint, subtrees array<bigint>, blocks array<struct<text:string,level:int,inside:array<bigint>>>"
+def _texts(pages: Iterable[str | None], templates: Iterable[frozenset[int]]) -> list[str]:
+    return [" ".join(read(page).kept(own)) for page, own in zip(pages, templates)]
 
 
-def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("level", pa.int32()), ("inside", pa.list_(pa.int64()))]))
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            found = [read(page.as_py()) for page in part.column(3)]
-            bodies = pa.array([body(own) for own in found], pa.int64())
-            subtrees = pa.array([sorted(set(own.digests)) for own in found], pa.list_(pa.int64()))
-            listed = pa.array([[{"text": t, "level": level, "inside": [own.digests[i] for i in inside]} for t, level, inside in candidates(own)] for own in found], kind)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), bodies, subtrees, listed], names=["key", "url", "host", "body", "subtrees", "blocks"])
+def templates_of(hosts: DataFrame) -> DataFrame:
+    """[host, digest] of what recurs, from [host, body, digests] of each page."""
+    counts = hosts.select("host", F.explode("digests").alias("digest"), "body").distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("articles"))
+    articles = hosts.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_articles"))
+    share = F.when(F.col("digest").bitwiseAND(F.lit(3)) == CONTENT, SHARE).otherwise(WIDE_SHARE)
+    recurring = counts.filter(F.col("articles") >= LEAST_PAGES).join(articles, "host")
+    return recurring.filter(F.col("articles") >= share * F.col("all_articles")).select("host", "digest")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """One row per page: key, url, text."""
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    rows = rows.select("key", "url", host_and_path(F.col("url"))[0].alias("host"), "html")
-    kind = rows.schema["key"].dataType.simpleString()
-    parsed = settled(rows.mapInArrow(_parse, PARSED.format(key=kind)).withColumn("row", F.monotonically_increasing_id()))
-    around = F.array_distinct(F.flatten(F.col("blocks.inside")))
-    counted = parsed.select("host", F.explode("subtrees").alias("subtree"), "body")
-    counts = counted.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
-    articles = parsed.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_articles"))
-    share = F.when(F.pmod("subtree", F.lit(2)) == 1, MARKED_SHARE).otherwise(SHARE)
-    recurring = counts.filter(F.col("articles") >= LEAST_PAGES).join(articles, "host")
-    templates = recurring.filter(F.col("articles") >= share * F.col("all_articles")).select("host", "subtree")
-    wrapped = parsed.select("row", "host", F.explode(around).alias("subtree"))
-    struck = wrapped.join(templates, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("templates"))
-    plain = parsed.filter(F.size(around) == 0).withColumn("templates", F.array().cast("array<bigint>"))
-    mixed = parsed.filter(F.size(around) > 0).join(struck, "row", "left")
-    whole = plain.unionByName(mixed)
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["inside"], F.col("templates")), F.lit(False)))
-    whole = whole.select("key", "url", kept.alias("kept"))
-    level = F.array_max(F.transform("kept", lambda b: b.level))
-    text = F.transform(F.filter("kept", lambda b: b.level == level), lambda b: b.text)
-    return whole.select(F.col("key").alias(key), F.col("url").alias(url), F.array_join(text, " ").alias("text"))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.xxhash64(host_and_path(F.col(url))[0]).alias("host"), F.col(html).alias("html"))
+    found = settled(templates_of(rows.select("host", "html").mapInArrow(_count, "host bigint, body bigint, digests array<bigint>")))
+    if found.count() <= broadcast:
+        table = found.toArrow()
+        by_host: dict[int, set[int]] = {}
+        for host, digest in zip(table["host"].to_pylist(), table["digest"].to_pylist()):  # at most ``broadcast`` rows
+            by_host.setdefault(host, set()).add(digest)
+        sent = pages.sparkSession.sparkContext.broadcast({host: frozenset(own) for host, own in by_host.items()})
+        none: frozenset[int] = frozenset()
+        text = F.arrow_udf(lambda hosts, html: pa.array(_texts((h.as_py() for h in html), (sent.value.get(h, none) for h in hosts.to_pylist())), pa.string()), "string")("host", "html")
+    else:
+        rows = rows.join(found.groupBy("host").agg(F.collect_list("digest").alias("templates")), "host", "left")
+        text = F.arrow_udf(lambda html, own: pa.array(_texts((h.as_py() for h in html), (frozenset(t.as_py() or ()) for t in own)), pa.string()), "string")("html", "templates")
+    return rows.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))

@@ -1,3 +1,8 @@
+import random
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +10,7 @@ from nearfield.llm import html, registry
 
 
 def text(page):
-    return " ".join(t for t, _ in html.blocks(page))
+    return " ".join(html.read(page).kept())
 
 
 @pytest.mark.parametrize(
@@ -65,10 +70,111 @@ def test_templates_are_counted_before_the_rules(spark):
     assert got == {n: f"The story number {n} is told here." for n in range(12)}
 
 
-def test_all_containers_are_hashed():
-    own = lambda menu, text: set(html.read(f"<nav><ul><li>{menu}</ul></nav><div class='ad'>Buy<br>now</div><article><p>{text}</article><footer>{menu}</footer>").digests)
-    assert len(own("Home", "a")) == 4 and own("Home", "a") == own("Home", "b")
-    assert len(own("Home", "a") & own("Shop", "a")) == 1  # the advert's
+def digests(page):
+    return {d for _, own in html.read(page).counted() for d in own}
+
+
+def test_all_blocks_are_hashed():
+    own = lambda menu, text: f"<nav><ul><li>{menu}</ul></nav><div class='ad'>Buy<br>now</div><article><p>{text}</article><footer>{menu}</footer>"
+    text = "A story that is longer than what stands around it"
+    first, other, shop = digests(own("Home", text)), digests(own("Home", text + "!")), digests(own("Shop", text))
+    assert len(first) == 8 and first == other  # contents and shapes of nav, ul, div, footer
+    assert len(first & shop) == 5  # the shapes, and the advert's content
+    assert len(digests(own("Home", text).replace("<li>Home", "<li>Home<li>Shop<li>Help")) & first) == 6  # runs of equal children are one
+
+
+def test_lost_text_is_kept():
+    assert text('<div class="social-science"><p>Field notes</p></div>') == "Field notes"
+    assert text("<main><p>main text</p><article>teaser</article></main>") == "main text teaser"
+    assert text('<div class="content has-sidebar"><p>body</p></div>') == "body" and text('<div itemprop="articleBody">in</div><p>o</p>') == "in"
+
+
+def test_deep_markup_is_linear(spark):
+    deep = "<div>x" * 100_000 + "</b>" * 100_000 + "</div>" * 50_000
+    rows = [(n, "https://d.example.com/", deep) for n in range(2)] + [(2, "https://d.example.com/", "<ul><li>" * 50_000), (3, "https://d.example.com/", "<p>" * 100_000 + "end")]
+    start = time.time()
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {0: " ".join("x" * 100_000), 1: " ".join("x" * 100_000), 2: "", 3: "end"} and time.time() - start < 60
+
+
+class Tree(HTMLParser):
+    """Plain trees of well-formed pages."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.at = {"tag": "", "up": None, "in": []}
+        self.feed(page)
+
+    def handle_starttag(self, tag, attributes):
+        self.at["in"].append({"tag": (tag, tuple(attributes)), "up": self.at, "in": []})
+        self.at = self.at["in"][-1]
+
+    def handle_endtag(self, tag):
+        self.at = self.at["up"]
+
+    def handle_data(self, data):
+        self.at["in"].append(data)
+
+
+def named(tree):
+    return (tree["tag"], tuple(t if isinstance(t, str) else named(t) for t in tree["in"]))
+
+
+def subtrees(tree):
+    for t in tree["in"]:
+        if not isinstance(t, str):
+            yield t
+            yield from subtrees(t)
+
+
+def test_counts_equal_brute_force(spark):
+    """Subtrees as nested tuples, counted in plain sets, against digests counted in Spark."""
+    draw = random.Random(5)
+    rows, trees = [], []
+    for n in range(400):
+        host = draw.choice("aaab")
+        parts = [f"<section><div>{draw.choice('uvwxyz')}</div>{draw.choice(['<p>k</p>', '<div><div>m</div></div>', ''])}</section>" for _ in range(draw.randrange(3))]
+        body = f"<div><p>{' '.join(draw.choice(['lorem', 'ipsum', 'dolor', 'sit']) for _ in range(9))} {n // 2}</p></div>"
+        draw.shuffle(parts)
+        page = "".join([*parts[:1], body, *parts[1:]])
+        rows.append((n, f"https://{host}{n // 2 % 2}.example.com/", page))
+        trees.append((f"{host}{n // 2 % 2}", Tree(page).root))
+    bodies = [html.read(page).body() for _, _, page in rows]
+    seen, articles = {}, {}
+    for (host, tree), own in zip(trees, bodies):
+        articles.setdefault(host, set()).add(own)
+        for t in subtrees(tree):
+            if t["tag"][0] in ("div", "section"):
+                seen.setdefault((host, named(t)), set()).add(own)
+    recur = {k for k, v in seen.items() if len(v) >= 4 and len(v) >= 0.1 * len(articles[k[0]])}
+
+    def words(host, tree):
+        for t in tree["in"]:
+            if isinstance(t, str):
+                yield t
+            elif (host, named(t)) not in recur:
+                yield from words(host, t)
+
+    want = {n: " ".join(words(*tree)) for n, tree in enumerate(trees)}
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    for broadcast in (html.BROADCAST_TEMPLATES, 0):
+        got = {r.page_id: r.text for r in html.extract(frame, broadcast=broadcast).collect()}
+        assert got == want and recur
+
+
+def test_counts_delete_the_site_parts_of_the_pages(spark):
+    """On the given pages menus, adverts and footers go by their counts where a host has enough articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.xxhash64(html.host_and_path(F.col("url"))[0]).alias("host"), "url", "html")
+    found = {}
+    for r in html.templates_of(pages.select("host", "html").mapInArrow(html._count, "host bigint, body bigint, digests array<bigint>")).collect():
+        found.setdefault(r.host, set()).add(r.digest)
+    struck = []
+    for r in pages.collect():
+        for e, own in html.read(r.html).counted():
+            if found.get(r.host, set()) & set(own):
+                struck.append(e.tag if not e.words else f"{e.tag}.{e.words[0]}")
+    counts = Counter(struck)
+    assert min(counts["nav"], counts["div.ad"], counts["footer"]) >= 100 and set(counts) <= {"nav", "ul", "div.ad", "footer"}
 
 
 @pytest.mark.parametrize("scale", [1, 10])
