@@ -3,9 +3,11 @@ r"""Chat formatting as a grammar round trip, in DataFrame functions only.
 A conversation is a sequence of turns, each ``<s>[INST]role[/INST]text</s>``. Where a role or
 text holds one of the four control strings, a backslash goes after its first character; one
 that already has backslashes there gets one more, so taking one away restores any text.
-The formatter renders unescaped, reparses the result with the grammar and compares the turns;
-what differs is rendered again with its conflicting content escaped and compared again, and a
-difference that remains would stop the job.
+The formatter renders each turn unescaped and reparses it strictly: control strings may stand
+only where the frame has them, and what is recovered must be the source. A turn of which that
+does not hold is rendered again with its role's and text's control strings escaped, whatever its neighbours
+hold. Then the whole text is reparsed and compared; a difference that remains would stop the job.
+So no control string is ever left raw in a role or text.
 
 Turns are rendered in runs of ``RUN`` turn numbers, so that a conversation of any length is
 spread over tasks, and only its runs' texts meet to be joined.
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 #: Turn numbers that are rendered together.
 RUN = 64
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
+#: Control strings of a turn's frame.
+FRAME = 4
 #: A control string's first character, the backslashes that it has, and its rest.
 CONTROL = r"([<\[])(\\*)(?=(?:/?s>)|(?:/?INST\]))"
 GUARDED = r"([<\[])\\(\\*)(?=(?:/?s>)|(?:/?INST\]))"
@@ -36,13 +40,17 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, GUARDED, "$1$2")
 
 
-def render(turn: Column, guard: Column) -> Column:
-    """The text of one turn (a struct with role and text), escaped where ``guard``."""
-    role = F.when(guard, escape(turn.role)).otherwise(turn.role)
-    text = F.when(guard, escape(turn.text)).otherwise(turn.text)
+def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(MIDDLE), text, F.lit(CLOSE))
 
 
+def guarded(turn: Column, plain: Column) -> Column:
+    """A turn's text: its plain rendering, escaped if a strict reader would not recover the turn from that."""
+    recovered = F.get(parse(plain), F.lit(0))
+    strict = (F.regexp_count(plain, F.lit(CONTROL)) == FRAME) & recovered.eqNullSafe(turn)
+    return F.when(strict, plain).otherwise(render(escape(turn.role), escape(turn.text)))
+
+
 def pieces(formatted: Column) -> Column:
     """Each turn's text as it stands between its opening and its closing string."""
     found = F.split(formatted, CLOSE)
@@ -59,9 +67,8 @@ def format_runs(turns: DataFrame) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     runs = rows.groupBy("conv_id", F.floor(F.col("turn") / RUN).alias("run")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     runs = runs.withColumn("turns", F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))))
-    no, yes = F.lit(False), F.lit(True)
-    runs = runs.withColumn("plain", F.array_join(F.transform("turns", lambda t: render(t, no)), ""))
-    runs = runs.withColumn("formatted", F.when(parse(F.col("plain")) == F.col("turns"), F.col("plain")).otherwise(F.array_join(F.transform("turns", lambda t: render(t, yes)), "")))
+    runs = runs.withColumn("plain", F.transform("turns", lambda t: render(t.role, t.text)))
+    runs = runs.withColumn("formatted", F.array_join(F.zip_with("turns", "plain", guarded), ""))
     runs = runs.withColumn("parsed", parse(F.col("formatted")))
     runs = runs.withColumn("parsed", F.when(F.col("parsed") == F.col("turns"), F.col("parsed")).otherwise(F.raise_error(F.lit("a formatted conversation does not parse to its turns"))))
     sizes = F.transform(pieces(F.col("formatted")), lambda p: F.struct(F.length(p).alias("whole"), F.length(F.substring_index(p, MIDDLE, 1)).alias("role")))

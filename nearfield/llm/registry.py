@@ -45,7 +45,7 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
-  SELECT *, length(regexp_replace(role || text, '([<\[])(\\*)((?:/?s>)|(?:/?INST\]))', '\1\\\2\3', 'g')) AS chars FROM rows
+  SELECT *, length(regexp_replace(role, '([<\[])(\\*)((?:/?s>)|(?:/?INST\]))', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)((?:/?s>)|(?:/?INST\]))', '\1\\\2\3', 'g')) AS chars FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
