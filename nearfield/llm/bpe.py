@@ -1,9 +1,15 @@
 """BPE encoding as a bounded-lookahead transducer, and decoding as a byte-to-text state machine.
 
 A merge list fixes how far to the right a token's boundary can depend on the text: its
-*sufficient lookahead*. The transducer reads a window, tokenises it, emits each token that ends
-at least that far before the window's end, and moves on, so a pre-token of any length needs a
-constant amount of memory. Decoding feeds the tokens' bytes to a machine whose only state is
+*sufficient lookahead*. The transducer reads every text in windows of ``WINDOW`` characters. Tokens are
+emitted once they are stable: those of a word that ends inside the window (nothing to the right
+of a word end can change them), and, of a word that is longer than the window, those that end at least the
+lookahead before the end of what has been read. The rest is carried into the next window. So
+besides the text itself, which Spark hands over whole, a stream needs one window, whatever the
+length of the text or of its words. Streams of many texts run side by side, so that NumPy merges the
+words of all their windows at once; words met lately are remembered (``RECENT`` at most).
+
+Decoding takes ids in chunks of ``IDS`` and feeds their bytes to a machine whose only state is
 the incomplete UTF-8 sequence at the end.
 
 Defined cases: null text encodes as the empty text; null ids decode to null; ids outside the
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers (some 50 bytes each); then the latest texts' words stay.
 RECENT = 400_000
+#: Characters of a text's window, characters of all windows that are merged at once, and ids that are decoded at once.
+WINDOW, TOGETHER, IDS = 1 << 13, 1 << 21, 1 << 12
 
 
 def byte_alphabet() -> list[str]:
@@ -221,9 +229,7 @@ class MergeList:
 
 #: White space to ``str.split`` but not to the splitters' ``\\s``.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
-_GAP = regex.compile(r"\s")
-#: Characters of texts that are encoded together.
-SLICE = 1 << 21
+_LAST_GAP, _GAP = regex.compile(r"(?r)\s"), regex.compile(r"\s")
 
 
 class BpeCodec:
@@ -328,29 +334,41 @@ class BpeCodec:
         order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(different))
         return own.take(order[chunks.indices.to_numpy()]).grouped(lists.value_lengths().to_numpy().astype(np.int64))
 
-    def _pieces(self, text: str) -> Iterator[int | str | list[str]]:
-        """Ids of special tokens; between them, texts to cut at white space or lists of words."""
+    def windows(self, text: str) -> Iterator[int | str | list[str]]:
+        """A text's stable parts, window by window: ids of special tokens, texts that end where a word does, or lists of words."""
         marked = self._special_split and any(map(text.__contains__, self.special))
-        for i, part in enumerate(self._special_split.split(text) if marked else [text]):
+        for i, part in enumerate(self._special_split.splititer(text) if marked else [text]):
             if i % 2:
                 yield self.special[part]
                 continue
-            for step in self._normalise:
-                part = step(part)
-            if self._spaced and part and not part[0].isspace():
-                part = " " + part
             if self._spaced or self._keeps_space or _SEPARATORS.search(part):
+                part = self._normal(part)
+                if self._spaced and part and not part[0].isspace():
+                    part = " " + part
                 found = self._split.finditer(part)
-                while own := [m[0] for m in islice(found, SLICE // 8)]:
+                while own := [m[0] for m in islice(found, WINDOW // 8)]:
                     yield own
                 continue
             start = 0
             while start < len(part):
-                gap = _GAP.search(part, start + SLICE) if len(part) - start > SLICE else None
-                stop = gap.end() if gap else len(part)
-                yield part[start:stop]
+                stop = start + WINDOW
+                if stop < len(part):
+                    # the last word end inside the window or, if a chunk without white space goes beyond it, the chunk's: its words are cut then, and long ones have windows of their own
+                    gap = _LAST_GAP.search(part, start, stop) or _GAP.search(part, stop)
+                    stop = gap.end() if gap else len(part)
+                yield self._normal(part[start:stop])
                 start = stop
 
+    def _normal(self, text: str) -> str:
+        for step in self._normalise:
+            text = step(text)
+        return text
+
+    def stream(self, text: str | None) -> Iterator[np.ndarray]:
+        """The ids of one text as its windows make them stable."""
+        for window in self.windows(text or ""):
+            yield np.frombuffer(self._resolve([window])[0], dtype="<u4")
+
     def _resolve(self, pieces: list) -> list[bytes]:
         """The ids of each piece."""
         out = [p.to_bytes(4, "little") if isinstance(p, int) else b"" for p in pieces]
@@ -366,31 +384,31 @@ class BpeCodec:
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers.
 
-        Texts are taken together up to about ``SLICE`` characters, longer ones in slices.
+        The streams' windows wait until they are ``TOGETHER`` characters; then all that is stable in them is emitted at once.
         """
         done: list[list[bytes]] = []
         waiting: list[tuple[int, int | str | list[str]]] = []
         size = 0
 
-        def resolve() -> None:
-            for (row, _), ids in zip(waiting, self._resolve([p for _, p in waiting])):
+        def emit() -> None:
+            for (row, _), ids in zip(waiting, self._resolve([w for _, w in waiting])):
                 done[row].append(ids)
             waiting.clear()
 
         for text in texts:
             done.append([])
-            for piece in self._pieces(text or ""):
-                waiting.append((len(done) - 1, piece))
-                size += 1 if isinstance(piece, int) else len(piece) * (1 if isinstance(piece, str) else 8)
-                if size > SLICE:
-                    resolve()
+            for window in self.windows(text or ""):
+                waiting.append((len(done) - 1, window))
+                size += 1 if isinstance(window, int) else len(window) * (1 if isinstance(window, str) else 8)
+                if size > TOGETHER:
+                    emit()
                     size = 0
             if not waiting or len(done) > 1 << 14:
-                resolve()
+                emit()
                 size = 0
                 yield from map(b"".join, done)
                 done = []
-        resolve()
+        emit()
         yield from map(b"".join, done)
 
     def encode_bytes(self, text: str | None) -> bytes:
@@ -401,14 +419,16 @@ class BpeCodec:
         ids.frombytes(self.encode_bytes(text))
         return ids
 
-    def decode(self, ids: Iterable[int]) -> str:
-        machine = ByteText()
+    def decoded(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text of some ids, chunk by chunk, as their bytes make characters whole."""
+        machine, ids = ByteText(), iter(ids)
         surface, size = self.surface, len(self.surface)
-        try:
-            found = b"".join(map(surface.__getitem__, ids))
-        except IndexError:
-            found = b"".join(surface[i] for i in ids if 0 <= i < size)
-        text = machine.feed(found) + machine.end()
+        while chunk := list(islice(ids, IDS)):
+            yield machine.feed(b"".join([surface[i] for i in chunk if 0 <= i < size]))
+        yield machine.end()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = "".join(self.decoded(ids))
         return text if self._byte_decoder else text[:-1]
 
 
@@ -447,7 +467,7 @@ def _encode(path: str):
 def _decode(path: str):
     def run(ids: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.decode(row.values.to_numpy().tolist()) if row.is_valid else None for row in ids], pa.string())
+        return pa.array([own.decode(row.values.to_numpy()) if row.is_valid else None for row in ids], pa.string())
 
     return run
 

@@ -57,13 +57,46 @@ def test_many_texts_at_once_and_in_slices(codec, monkeypatch):
     draw = random.Random(2)
     texts = [" ".join("".join(draw.choice("theinaos,.'") for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(0, 80))) for _ in range(200)] + [None]
     want = [ids_of(t or "") for t in texts]
-    for size, kept in ((1 << 23, 10**6), (64, 50)):
-        monkeypatch.setattr(bpe, "SLICE", size)
+    for size, kept, window in ((1 << 23, 10**6, 1 << 13), (64, 50, 16), (1, 1, 1)):
+        monkeypatch.setattr(bpe, "TOGETHER", size)
+        monkeypatch.setattr(bpe, "WINDOW", window)
         monkeypatch.setattr(bpe, "RECENT", kept)
         got = [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in codec.encode_all(texts)]
         assert got == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abehinort' THΣß1é!?.,-\n\t\u0301<|endoftext|>")), max_size=200), st.integers(1, 40))
+def test_windows_of_any_size(text, window):
+    """What windows emit, one after the other, is what the whole text gives; decoding in small chunks too."""
+    codec, own = bpe.codec(PATH), (bpe.WINDOW, bpe.IDS)
+    try:
+        bpe.WINDOW, bpe.IDS = window, 1 + window % 3
+        ids = [i for part in codec.stream(text) for i in part.tolist()]
+        assert ids == ids_of(text) and codec.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+    finally:
+        bpe.WINDOW, bpe.IDS = own
+
+
+def test_a_stream_needs_one_window(codec):
+    """Memory of a stream is that of a window, not of the text; so is what decoding holds."""
+    import tracemalloc
+
+    peaks = []
+    for words in (20_000, 400_000):
+        text = "the rain in spain falls mainly on the plain, " * (words // 9)
+        for part in codec.stream(text[:20_000]):
+            pass
+        tracemalloc.start()
+        for part in codec.stream(text):
+            pass
+        for part in codec.decoded(i % 49_000 for i in range(words)):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + (1 << 20)
+
+
 def test_byte_level_vocabulary_round_trip():
     codec = bpe.BpeCodec(registry.vocabulary("byte_bpe_50k.json"))
     library = Tokenizer.from_file(registry.vocabulary("byte_bpe_50k.json"))
