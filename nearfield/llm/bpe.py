@@ -232,6 +232,40 @@ _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _LAST_GAP, _GAP = regex.compile(r"(?r)\s"), regex.compile(r"\s")
 
 
+# The tokenizers library splits by Unicode 16 and lower-cases by Unicode 17, ``regex`` splits by a later
+# version, and Python lower-cases by 15.1. Ranges of letters and numbers that the splitters do not count as
+# such, and ranges of capital letters with the distance to their small ones.
+NOT_COUNTED = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee "
+    "11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 "
+    "18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
+    "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+LATE_CAPITALS = {"1c89": 1, "a7cb": 0x264 - 0xA7CB, "a7cc": 1, "a7ce": 1, "a7d2": 1, "a7d4": 1, "a7da": 1, "a7dc": 0x19B - 0xA7DC, "10d50-10d65": 0x20, "16ea0-16eb8": 0x1B}
+
+
+def _range(spec: str) -> range:
+    first, _, last = spec.partition("-")
+    return range(int(first, 16), int(last or first, 16) + 1)
+
+
+LATE = {point: point + by for spec, by in LATE_CAPITALS.items() for point in _range(spec)}
+
+
+@lru_cache(maxsize=1)
+def _odd_points() -> np.ndarray:
+    """For each code point whether Unicode versions differ about it."""
+    out = np.zeros(0x110000, dtype=bool)
+    for spec in NOT_COUNTED.split():
+        out[_range(spec)] = True
+    out[list(LATE)] = True
+    return out
+
+
+def is_odd(text: str) -> bool:
+    return not text.isascii() and bool(_odd_points()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)].any())
+
+
 class BpeCodec:
     """Encoder and decoder of a tokenizer file with byte-level BPE."""
 
@@ -248,6 +282,9 @@ class BpeCodec:
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._normalise = self._steps(spec.get("normalizer"))
         self._split, self._spaced = self._splitter(spec["pre_tokenizer"])
+        points = "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in map(_range, NOT_COUNTED.split()))
+        self._strict_split = regex.compile(regex.sub(r"\\p\{([LN])\}", lambda m: f"[\\p{{{m[1]}}}--[{points}]]", self._split.pattern), regex.V1)
+        self._lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
         self._keeps_space = bool(self._split.fullmatch(" ") or self._split.fullmatch(" a"))
         self._byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self._whole_words = not self._spaced and self._split.findall("aßЖ語") == ["aßЖ語"]
@@ -341,11 +378,14 @@ class BpeCodec:
             if i % 2:
                 yield self.special[part]
                 continue
-            if self._spaced or self._keeps_space or _SEPARATORS.search(part):
+            odd = is_odd(part)
+            if odd and self._lowers:
+                part = part.translate(LATE)
+            if self._spaced or self._keeps_space or odd or _SEPARATORS.search(part):
                 part = self._normal(part)
                 if self._spaced and part and not part[0].isspace():
                     part = " " + part
-                found = self._split.finditer(part)
+                found = (self._strict_split if odd else self._split).finditer(part)
                 while own := [m[0] for m in islice(found, WINDOW // 8)]:
                     yield own
                 continue

@@ -36,7 +36,7 @@ def test_equals_the_library(text):
     same(bpe.codec(PATH), text)
 
 
-@pytest.mark.parametrize("text", ["", " ", "<|endoftext|>", "a<|startoftext|><|endoftext|> b<|endoftext", "it's we'll 'sabc", "퟿​", "OSΣ Σ", "ﬁ ½ Ⅷ １"])
+@pytest.mark.parametrize("text", ["", " ", "<|endoftext|>", "a<|startoftext|><|endoftext|> b<|endoftext", "it's we'll 'sabc", "퟿​", "OSΣ Σ", "ﬁ ½ Ⅷ １", "a\u0558b \ua7cba\U000323b0漢1\u1c89!"])
 def test_odd_texts(codec, text):
     same(codec, text)
 
