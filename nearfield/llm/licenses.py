@@ -1,57 +1,46 @@
 """Licence scans by Dice coefficients over word bigrams, in DataFrame functions only.
 
-A text's units are its lines and, if it has several, the whole text. A unit and a template are
-normalised (lower case, letters and digits only) and compared as bags of word bigrams:
-``2 * common / (unit's + template's)``. A coefficient of ``least`` needs sizes within a factor
-of ``(2 - least) / least`` of each other, so a unit's number of bigrams leaves few
-templates, and none of most units, for which no bigram is made.
+A text is normalised (lower case, letters and digits only, so line breaks and comment signs are nothing)
+and read as a list of word bigrams. A *window* of it and a template are compared as bags of bigrams:
+``2 * common / (window's + template's)``. A coefficient of ``least`` needs sizes within a factor
+of ``(2 - least) / least`` of each other, so a template of n bigrams has windows of at most ``high``
+bigrams with ``fewest`` of the template's in them. A window starts and ends with a bigram of the template; of
+those that start at a bigram there are two, the longest of at most n and of at most ``high``. Of a template's windows
+the one with the best share of its bigrams is compared (then the first, then the shorter). A window must also
+hold a bigram that tells the template from each similar one (Dice of ``ALIKE``) of another name, such as a version.
+
+Pruning is exact: a template has fewer than ``fewest`` bigrams without any of some few key words, so a text
+that contains none of those words is not even split; and only starts that ``fewest`` bigrams of the
+template follow within ``high`` are looked at.
 
 All is done within the row, without a shuffle: the templates are literals, and their size is
 checked (at most ``MOST_TEMPLATES`` templates and ``MOST_CHARS`` characters).
 
 Defined cases: a null or empty text, or one without a match, has a null licence, coefficient 0
-and no matches; of equal coefficients the first template by name wins, then the earlier unit;
+and no matches; of equal coefficients the first template by name wins, then the earlier window;
 repeated rows are scanned each; an empty table gives an empty one; columns other than the two
 named are not read.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST = 0.8
-MOST_TEMPLATES, MOST_CHARS = 500, 2_000_000
+from nearfield.llm.notices import TEMPLATES
 
-# Notices by which texts state their licence, and two short licences in full.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
-        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
-        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+LEAST, ALIKE = 0.8, 0.5
+MOST_TEMPLATES, MOST_CHARS = 500, 2_000_000
+#: Letters of a key word, if a template has such words.
+KEY_LETTERS = 6
 
 
 def bigrams(text: str) -> list[str]:
@@ -59,55 +48,119 @@ def bigrams(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-def sizes_that_fit(size: int, least: float) -> tuple[int, int]:
-    """The least and the largest number of bigrams with which ``size`` can give ``least``."""
-    fits = [n for n in range(1, int(size * (2 - least) / least) + 2) if 2 * min(n, size) >= least * (n + size) - 1e-9]
-    return fits[0], fits[-1]
+def dice(a: Counter, b: Counter) -> float:
+    return 2.0 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
 
+@dataclass
+class Template:
+    name: str
+    grams: Counter
+    size: int
+    #: Bigrams of the template that a match needs at least, and bigrams of a window at most.
+    fewest: int
+    high: int
+    #: A window needs one of each of these sets.
+    told_by: list[list[str]]
 
-def _literal(templates: list[tuple[str, str]], least: float) -> tuple[Column, int, int]:
-    """Templates as an array of structs, and the sizes beyond which none fits."""
-    rows = []
+
+def prepared(templates: list[tuple[str, str]], least: float) -> list[Template]:
+    out = []
     for name, text in sorted(templates):
-        grams = bigrams(text)
+        grams = Counter(bigrams(text))
         if not grams:
             raise ValueError(f"the template {name!r} has fewer than two words")
-        low, high = sizes_that_fit(len(grams), least)
-        counts = [F.struct(F.lit(g).alias("gram"), F.lit(n).alias("n")) for g, n in sorted(Counter(grams).items())]
-        rows.append((low, high, F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(len(grams)).alias("size"), F.array(*counts).alias("counts"))))
-    return F.array(*(r[2] for r in rows)), min(r[0] for r in rows), max(r[1] for r in rows)
+        size = sum(grams.values())
+        out.append(Template(name, grams, size, math.ceil(size * least / (2 - least) - 1e-9), math.floor(size * (2 - least) / least + 1e-9), []))
+    for t in out:
+        for u in out:
+            if u.name != t.name and dice(t.grams, u.grams) >= ALIKE and (own := sorted(set(t.grams) - set(u.grams))):
+                t.told_by.append(own)
+    return out
+
+
+def key_words(templates: list[Template]) -> list[str]:
+    """Words of which every match has one: without them fewer of a template's bigrams are left than a match needs."""
+    chosen: list[str] = []
+
+    def left(t: Template) -> Counter:
+        return Counter({g: n for g, n in t.grams.items() if not set(g.split()) & set(chosen)})
+
+    while open_ := [rest for t in templates if sum((rest := left(t)).values()) >= t.fewest]:
+        weights: Counter = Counter()
+        for rest in open_:
+            for gram, n in rest.items():
+                for word in set(gram.split()):
+                    weights[word] += n
+        chosen.append(max(weights, key=lambda w: (len(w) >= KEY_LETTERS, weights[w], len(w), w)))
+    return chosen
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, license, dice, n_matches, and matches (unit, name, dice), best first.
+    """One row per document: key, license, dice, n_matches, and matches (name, dice, start, length), best first, at most one of each template.
 
-    Unit 0 is the whole text, unit n the n-th line.
+    ``start`` and ``length`` count bigrams of the text; a window has one word more.
     """
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MOST_TEMPLATES or sum(len(t) for _, t in templates) > MOST_CHARS:
         raise ValueError("too many templates for literals")
     if not templates:
-        return documents.select(F.col(key), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_matches"), F.array().cast("array<struct<unit:int,name:string,dice:double>>").alias("matches"))
-    table, low, high = _literal(templates, least)
-    rows = documents.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    units = F.concat(
-        F.transform(lines, lambda line, i: F.struct((i + 1).alias("unit"), line.alias("text"))),
-        F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("text")))).otherwise(F.array().cast("array<struct<unit:int,text:string>>")),
-    )
-    # a unit of n bigrams has at least 2n + 1 characters; so long a text is only read for its words if it may fit
-    worded = F.transform(units, lambda u: F.struct(u.unit.alias("unit"), F.when(F.length(u.text) >= 2 * low + 1, F.filter(F.split(F.lower(u.text), r"[^\p{L}\p{N}]+", high + 3), lambda w: w != "")).otherwise(F.array().cast("array<string>")).alias("words")))
-    fitting = F.filter(worded, lambda u: (F.size(u.words) - 1 >= low) & (F.size(u.words) - 1 <= high))
-    grams = F.transform(fitting, lambda u: F.struct(u.unit.alias("unit"), F.zip_with(F.slice(u.words, F.lit(1), F.size(u.words) - 1), F.slice(u.words, F.lit(2), F.size(u.words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)).alias("grams")))
-
-    def compared(u: Column) -> Column:
-        near = F.filter(F.col("templates"), lambda t: (F.size(u.grams) >= t.low) & (F.size(u.grams) <= t.high))
-        common = lambda t: F.aggregate(t.counts, F.lit(0), lambda n, c: n + F.least(c.n, F.size(u.grams) - F.size(F.array_remove(u.grams, c.gram))))
-        return F.transform(near, lambda t: F.struct((-(2.0 * common(t) / (F.size(u.grams) + t.size))).alias("minus"), t["name"].alias("name"), u.unit.alias("unit")))
-
-    rows = rows.withColumn("fitting", grams).withColumn("templates", table)
-    scored = F.filter(F.flatten(F.transform("fitting", compared)), lambda m: m.minus <= -least + 1e-12)
-    rows = rows.select("key", F.sort_array(scored).alias("found"))
+        return documents.select(F.col(key), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_matches"), F.array().cast("array<struct<name:string,dice:double,start:int,length:int>>").alias("matches"))
+    own = prepared(templates, least)
+    none = F.array().cast("array<string>")
+    rows = documents.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    maybe = reduce(Column.__or__, [F.contains("text", F.lit(w)) for w in key_words(own)])
+    rows = rows.select("key", F.when(maybe, F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")).otherwise(none).alias("words"))
+    count = F.size("words") - 1
+    rows = rows.select("key", F.when(count > 0, F.zip_with(F.slice("words", F.lit(1), count), F.slice("words", F.lit(2), count), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(none).alias("grams"))
+    every = {g for t in own for g in t.grams}
+    rows = rows.withColumn("hits", F.expr(f"filter(transform(grams, (g, i) -> struct(i as at, g as gram)), h -> h.gram in ({_listed(every)}))"))
+    rows = rows.select("key", "grams", *(_places(t).alias(f"at_{n}") for n, t in enumerate(own)))
+    rows = rows.select("key", "grams", *(_window(t, f"at_{n}").alias(f"window_{n}") for n, t in enumerate(own)))
+    compared = F.array(*(_compared(t, f"window_{n}", least) for n, t in enumerate(own)))
+    found = F.filter(compared, lambda m: m.isNotNull() & m.told & (m.minus <= -least + 1e-12))
+    rows = rows.select("key", F.sort_array(F.transform(found, lambda m: m.dropFields("told"))).alias("found"))
     first = F.get("found", F.lit(0))
-    matches = F.transform("found", lambda m: F.struct(m.unit.alias("unit"), m["name"].alias("name"), (-m.minus).alias("dice")))
+    matches = F.transform("found", lambda m: F.struct(m["name"].alias("name"), (-m.minus).alias("dice"), m.start.alias("start"), m.length.alias("length")))
     return rows.select(F.col("key").alias(key), first["name"].alias("license"), F.coalesce(-first["minus"], F.lit(0.0)).alias("dice"), F.size("found").cast("long").alias("n_matches"), matches.alias("matches"))
+
+
+def _listed(grams: Iterable[str]) -> str:
+    """Bigrams (letters, digits and a space) as SQL literals, which Spark looks up by hash."""
+    return ", ".join(f"'{g}'" for g in sorted(grams))
+
+
+def _constant(value: object, kind: str) -> str:
+    """A literal of any size that is two nodes of the plan until it is folded."""
+    return f"from_json('{json.dumps(value, ensure_ascii=False)}', '{kind}')"
+
+
+def _let(name: str, value: str, use: str) -> str:
+    """``use`` with a value that is computed once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def _places(t: Template) -> Column:
+    """Where a text has bigrams of the template, in ascending order."""
+    return F.expr(f"transform(filter(hits, h -> h.gram in ({_listed(t.grams)})), h -> h.at)")
+
+
+def _window(t: Template, at: str) -> Column:
+    """Of the places of a template's bigrams in a text the best window: (minus, start, length), or null."""
+    starts = f"filter(transform({at}, (p, i) -> struct(p as p, i as i)), s -> get({at}, s.i + {t.fewest - 1}) - s.p < {t.high})"
+
+    def ending(most: int) -> str:
+        inside, length = f"filter(slice({at}, s.i + 1, {most}), x -> x < s.p + {most})", "(array_max(w) - s.p + 1)"
+        return _let("w", inside, f"struct(-2.0D * size(w) / ({length} + {t.size}) as minus, s.p as start, {length} as length)")
+
+    return F.expr(f"array_min(transform({starts}, s -> least({ending(t.size)}, {ending(t.high)})))")
+
+
+def _compared(t: Template, window: str, least: float) -> Column:
+    """(minus, name, start, length, told) of the bags of bigrams, or null if they can't be near enough."""
+    counts = _constant([{"gram": g, "n": n} for g, n in sorted(t.grams.items())], "array<struct<gram:string,n:int>>")
+    common = f"aggregate({counts}, 0, (n, c) -> n + least(c.n, size(w) - size(array_remove(w, c.gram))))"
+    told = f"forall({_constant(t.told_by, 'array<array<string>>')}, own -> arrays_overlap(w, own))"
+    name = t.name.replace("\\", "\\\\").replace("'", "\\'")
+    match = f"struct(-(2.0D * {common} / ({window}.length + {t.size})) as minus, '{name}' as name, {window}.start as start, {window}.length as length, {told} as told)"
+    return F.expr(f"if({window}.minus <= {1e-12 - least!r}D, {_let('w', f'slice(grams, {window}.start + 1, {window}.length)', match)}, null)")

@@ -110,17 +110,22 @@ OP7_SQL = r"""
 WITH templates(id, name, text) AS (VALUES {templates}),
 tw AS (SELECT id, name, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM templates),
 tg AS (SELECT id, name, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM tw),
+tn AS (SELECT id, name, len(g) AS size, CAST(floor(len(g) * 1.5::DOUBLE + 1e-9) AS BIGINT) AS high, CAST(ceil(len(g) / 1.5::DOUBLE - 1e-9) AS BIGINT) AS fewest FROM tg),
 tc AS (SELECT id, gram, count(*) AS m FROM (SELECT id, unnest(g) AS gram FROM tg) GROUP BY ALL),
+alike AS (SELECT a.id, b.id AS other FROM (SELECT x.id AS a, y.id AS b, sum(least(x.m, y.m)) AS c FROM tc x JOIN tc y USING (gram) GROUP BY ALL) p JOIN tn a ON a.id = p.a JOIN tn b ON b.id = p.b WHERE a.name <> b.name AND 2.0::DOUBLE * c / (a.size + b.size) >= 0.5),
+told AS (SELECT alike.id, other, gram FROM alike JOIN tc USING (id) WHERE NOT EXISTS (SELECT 1 FROM tc o WHERE o.id = other AND o.gram = tc.gram)),
 docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
-units AS (SELECT n, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM docs
-  UNION ALL SELECT n, text, 0 FROM docs WHERE contains(text, chr(10))),
-uw AS (SELECT n, unit, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM units),
-ug AS (SELECT n, unit, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM uw
-  WHERE len(w) > 1 AND len(w) <= 3 * (SELECT max(len(g)) FROM tg)),
-uc AS (SELECT n, unit, gram, count(*) AS k FROM (SELECT n, unit, unnest(g) AS gram FROM ug) GROUP BY ALL),
-common AS (SELECT n, unit, id, sum(least(uc.k, tc.m)) AS c FROM uc JOIN tc USING (gram) GROUP BY ALL),
-scored AS (SELECT n, unit, name, 2.0::DOUBLE * c / (len(ug.g) + len(tg.g)) AS dice FROM common JOIN ug USING (n, unit) JOIN tg USING (id)),
-found AS (SELECT * FROM scored WHERE dice >= 0.8 - 1e-12),
+dw AS (SELECT n, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM docs),
+dg AS (SELECT n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) - 1 AS pos FROM dw),
+hits AS (SELECT n, tc.id, pos, size, high, fewest FROM dg JOIN tc USING (gram) JOIN tn USING (id)),
+runs AS (SELECT a.n, a.id, a.pos, a.size, a.high, a.fewest, count(*) FILTER (WHERE b.pos < a.pos + a.size) AS c1, max(b.pos) FILTER (WHERE b.pos < a.pos + a.size) AS e1, count(*) AS c2, max(b.pos) AS e2
+  FROM hits a JOIN hits b ON a.n = b.n AND a.id = b.id AND b.pos >= a.pos AND b.pos < a.pos + a.high GROUP BY ALL HAVING count(*) >= a.fewest),
+cand AS (SELECT n, id, pos, size, e1 - pos + 1 AS length, c1 AS c FROM runs UNION ALL SELECT n, id, pos, size, e2 - pos + 1, c2 FROM runs),
+win AS (SELECT n, id, min({{'minus': -2.0::DOUBLE * c / (length + size), 'pos': pos, 'length': length}}) AS b FROM cand GROUP BY n, id),
+inside AS (SELECT win.n, id, gram, count(*) AS k FROM win JOIN dg ON dg.n = win.n AND dg.pos >= b.pos AND dg.pos < b.pos + b.length WHERE b.minus <= -0.8 + 1e-12 GROUP BY ALL),
+scored AS (SELECT n, id, 2.0::DOUBLE * sum(least(k, m)) / (any_value(b.length) + any_value(size)) AS dice, any_value(b.pos) AS pos FROM inside JOIN tc USING (id, gram) JOIN win USING (n, id) JOIN tn USING (id) GROUP BY n, id),
+found AS (SELECT n, name, dice, pos FROM scored JOIN tn USING (id) WHERE dice >= 0.8 - 1e-12 AND NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT id, other FROM told) t WHERE t.id = scored.id AND NOT EXISTS (SELECT 1 FROM told JOIN inside USING (gram) WHERE told.id = t.id AND told.other = t.other AND inside.n = scored.n AND inside.id = scored.id))),
 best AS (SELECT n, count(*) AS n_matches, max(dice) AS dice, min({{'d': -dice, 'name': name}}) AS b FROM found GROUP BY n)
 SELECT doc_id, b.name AS license, coalesce(dice, 0.0) AS dice, coalesce(n_matches, 0) AS n_matches FROM docs LEFT JOIN best USING (n)
 """.format(templates=", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES)))

@@ -1,5 +1,7 @@
+import textwrap
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,24 +9,34 @@ from nearfield.llm import licenses, registry
 from tests.llm.conftest import ODD
 
 
-def dice(a, b):
-    x, y = Counter(licenses.bigrams(a)), Counter(licenses.bigrams(b))
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if x and y else 0.0
-
-
 def brute(text, templates=licenses.TEMPLATES, least=licenses.LEAST):
-    lines = (text or "").split("\n")
-    units = [(n, line) for n, line in enumerate(lines, 1)] + ([(0, text)] if len(lines) > 1 else [])
-    found = sorted((-d, name, n) for n, unit in units for name, t in templates if (d := dice(unit, t)) >= least - 1e-12)
-    return [(n, name, -d) for d, name, n in found]
+    """Every window of every start, without any pruning."""
+    grams, found, own = licenses.bigrams(text or ""), [], licenses.prepared(templates, least)
+    for t in own:
+        at = [i for i, g in enumerate(grams) if g in t.grams]
+        windows = []
+        for p in at:
+            for most in (t.size, t.high):
+                inside = [x for x in at if p <= x < p + most]
+                windows.append((-2.0 * len(inside) / (inside[-1] - p + 1 + t.size), p, inside[-1] - p + 1))
+        if windows:
+            _, p, size = min(windows)
+            window = Counter(grams[p : p + size])
+            if licenses.dice(window, t.grams) >= least - 1e-12 and all(any(g in window for g in told) for told in t.told_by):
+                found.append((-licenses.dice(window, t.grams), t.name, p, size))
+    return [(name, -d, p, size) for d, name, p, size in sorted(found)]
 
 
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+APACHE = max((t for n, t in licenses.TEMPLATES if n == "Apache-2.0"), key=len)
+CODE = "\n".join(f"    for i in range({n}): total += values[i] * {n}" for n in range(120))
+WRAPPED = "# " + "\n# ".join(textwrap.wrap("Copyright 2020 The Authors. " + MIT, 78)) + "\n" + CODE
 TEXTS = [
     "Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose about things.", "Licensed under CC BY 4.0.", "released under the mit license", "RELEASED, under the -- MIT License!!",
     "This work is licensed under the GNU General Public License, version 2.\nThis work is licensed under the GNU General Public License, version 3.", MIT, MIT.replace("Software", "Program"),
     "Copyright 2020\n\n" + MIT.replace(". ", ".\n"), "under under under under under the the the the", "Licensed", "", None, "a\nb\n\nc", "released under the mit license " * 2, "word " * 50_000 + "\nReleased under the MIT License.",
+    WRAPPED, "/*\n * " + "\n * ".join(textwrap.wrap(APACHE, 70)) + "\n */\n" + CODE, "A tool for all. Released under the MIT License. Some more prose follows here, with many further words about the tool.", "of the software to the license in the software " * 300,
+    *(t for _, t in licenses.TEMPLATES),
 ]
 
 
@@ -36,16 +48,36 @@ def documents(spark):
 def test_equals_brute_force(documents):
     for row in licenses.scan(documents).collect():
         want = brute(TEXTS[row.doc_id])
-        assert [(m.unit, m.name, m.dice) for m in row.matches] == want
-        assert (row.license, row.dice, row.n_matches) == ((want[0][1], want[0][2], len(want)) if want else (None, 0.0, 0))
-    assert brute(TEXTS[0])[0][1] == "CC-BY-NC-4.0" and brute(MIT)[0] == (1, "MIT", 1.0)
-
-
-def test_size_bounds_lose_nothing():
-    for size in (1, 3, 6, 100):
-        low, high = licenses.sizes_that_fit(size, 0.8)
-        for n in range(1, 3 * size + 3):
-            assert (2 * min(n, size) / (n + size) >= 0.8 - 1e-9) == (low <= n <= high)
+        assert [(m["name"], m.dice, m.start, m.length) for m in row.matches] == want
+        assert (row.license, row.dice, row.n_matches) == ((want[0][0], want[0][1], len(want)) if want else (None, 0.0, 0))
+        if TEXTS[row.doc_id] in (t for _, t in licenses.TEMPLATES):  # each template is its own best match, and no other version's
+            name = next(n for n, t in licenses.TEMPLATES if t == TEXTS[row.doc_id])
+            assert (row.license, row.dice) == (name, 1.0)
+
+
+def test_wrapped_embedded_and_versions(documents):
+    rows = {TEXTS[r.doc_id]: r for r in licenses.scan(documents).collect()}
+    assert rows[WRAPPED].license == "MIT" and rows[WRAPPED].dice > 0.95
+    assert next(r for t, r in rows.items() if t and t.startswith("/*")).license == "Apache-2.0"
+    assert next(r for t, r in rows.items() if t and t.startswith("A tool")).license == "MIT"
+    assert {m["name"] for m in rows["This work is licensed under the GNU General Public License, version 3."].matches} == {"GPL-3.0"}
+
+
+def test_pruning_loses_nothing():
+    own = licenses.prepared(licenses.TEMPLATES, licenses.LEAST)
+    words = licenses.key_words(own)
+    for t in own:
+        assert sum(n for g, n in t.grams.items() if not set(g.split()) & set(words)) < t.fewest
+        sizes = [(len_, c) for len_ in range(1, 2 * t.size) for c in range(1, min(len_, t.size) + 1) if 2 * c >= licenses.LEAST * (len_ + t.size) - 1e-9]
+        assert min(c for _, c in sizes) == t.fewest and max(len_ for len_, _ in sizes) == t.high
+
+
+def test_equals_the_sql(spark, documents, tables):
+    folder = tables(documents=documents)
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = sorted((r.doc_id, r.license, r.dice, r.n_matches) for r in registry.op7_licenses(spark, folder).collect())
+    assert got == sorted(duck.execute(f"select doc_id, license, dice, n_matches from ({registry.OP7_SQL})").fetchall())
 
 
 def test_own_templates(documents):
