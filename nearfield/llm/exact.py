@@ -2,10 +2,12 @@ r"""Exact duplicates by composable polynomial fingerprints, confirmed by streami
 
 A text's bytes are the digits of a number, taken modulo two primes. The value of two joined
 chunks is ``value(a) * base ** len(b) + value(b)``, so chunks are hashed apart (in parallel
-tasks for texts over ``HUGE`` characters) and combined. Texts of equal fingerprint and length
-are compared chunk by chunk. Each task first compares what it holds itself and sends one text
-for each fingerprint, so a text with very many copies is not sent once for each of them. Only a text
-that differs from its fingerprint's first text leads to more than one class for it.
+tasks for texts over ``HUGE`` characters) and combined. Fingerprints that several rows have set bits in a
+table of fixed size; only texts whose bit is set are compared. Each task first compares what it holds
+itself and sends one text for each fingerprint, so a text with very many copies is not sent once for each of
+them. Texts are sent and compared in chunks of ``SENT`` bytes, sorted by place: a task holds one
+chunk, whatever the texts' sizes. Only a text that differs from its fingerprint's first text leads to more than
+one class for it.
 
 Texts are equal when identical after each run of ASCII white space is one space. Defined
 cases: null text is empty; of rows with the same smallest id, the first read stays; a null id is
@@ -33,6 +35,8 @@ HUGE = 1 << 22
 SLICE = 1 << 20
 #: Bytes of texts that a task keeps for comparing what it reads itself.
 KEPT = 16 << 20
+#: Bytes of a text that are sent and compared at a time, and bits of the table of fingerprints (a megabyte).
+SENT, BITS = 1 << 16, 1 << 23
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
 
@@ -82,10 +86,24 @@ def _marks(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("sha", pa.string())]))
 
 
+def _cut(size: int):
+    """Slices of normalised huge texts, a few at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = normal(batch.column(2).cast(pa.binary())[i].as_py())
+                sha = hashlib.sha256(data).hexdigest()
+                for at, start in enumerate(range(0, len(data), size)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([sha]), pa.array([at], pa.int32()), pa.array([data[start : start + size]], pa.binary())], names=["id", "row", "sha", "at", "slice"])
+
+    return run
+
+
 def _slices(texts: pa.Array) -> pa.Array:
     rows = []
-    for text in texts.cast(pa.binary()):
-        data = text.as_py() or b""
+    for text in texts:
+        data = text.as_py()
         (h1, h2), (s1, s2) = fingerprint(data), (pow(b, len(data), p) for b, p in zip(BASES, PRIMES))
         rows.append({"h1": h1, "h2": h2, "s1": s1, "s2": s2, "n": len(data)})
     return pa.array(rows, pa.struct([(c, pa.int64()) for c in ("h1", "h2", "s1", "s2", "n")]))
@@ -95,9 +113,8 @@ def mark(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Each row's id, running number, fingerprint, length in bytes and SHA-256."""
     rows = documents.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     usual = rows.filter(F.length("text") <= HUGE).select("id", "row", F.arrow_udf(_marks, MARKS)("text").alias("m")).select("id", "row", "m.*")
-    huge = rows.filter(F.length("text") > HUGE).withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SLICE).cast("int"))
-    cut = huge.select("id", "row", F.sha2("text", 256).alias("sha"), F.posexplode(F.transform(starts, lambda i: F.substr("text", i * SLICE + 1, F.lit(SLICE)))).alias("at", "slice"))
+    kind = rows.schema["id"].dataType.simpleString()
+    cut = rows.filter(F.length("text") > HUGE).select("id", "row", "text").mapInArrow(_cut(SLICE), f"id {kind}, row bigint, sha string, at int, slice binary")
     hashed = cut.repartition("row", "at").select("id", "row", "sha", "at", F.arrow_udf(_slices, "struct<h1:bigint,h2:bigint,s1:bigint,s2:bigint,n:bigint>")("slice").alias("m"))
     listed = hashed.groupBy("row").agg(F.first("id").alias("id"), F.first("sha").alias("sha"), F.sum("m.n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("parts"))
 
@@ -114,19 +131,36 @@ def same(a: bytes, b: bytes) -> bool:
     return len(a) == len(b) and all(a[i : i + step] == b[i : i + step] for i in range(0, len(a), step))
 
 
-_SENT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("data", pa.large_binary())])
+_SENT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("sha", pa.binary()), ("data", pa.binary())])
+SCHEMA = "h1 bigint, h2 bigint, n bigint, at int, sha binary, data binary"
+
 
+def _bit(h1, h2):
+    return (h1 * 2_654_435_761 + h2) % BITS
 
-def _sent(batches: Iterable[pa.RecordBatch], fingerprint=fingerprint) -> Iterator[pa.RecordBatch]:
-    """One text for each fingerprint that the task meets, and every text that differs from it."""
+
+def repeated(marks: DataFrame) -> np.ndarray:
+    """A table of bits: set for every fingerprint that several rows have (some others share its bits)."""
+    many = marks.groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(_bit(F.col("h1"), F.col("h2")).alias("bit"))
+    words = many.groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toArrow()  # at most BITS / 32 rows
+    table = np.zeros(BITS // 32, dtype="<u4")
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sent(batches: Iterable[pa.RecordBatch], wanted: np.ndarray | None = None, fingerprint=fingerprint) -> Iterator[pa.RecordBatch]:
+    """The chunks of one text for each wanted fingerprint that the task meets, and of every text that differs from it."""
     kept: dict[tuple[int, int, int], bytes] = {}
     size = 0
+    rows: list[tuple] = []
+    pending = 0
     for batch in batches:
-        rows: list[tuple] = []
-        pending = 0
         for text in batch.column(0).cast(pa.binary()):
             data = normal(text.as_py() or b"")
-            key = (*fingerprint(data), len(data))
+            h1, h2 = fingerprint(data)
+            if wanted is not None and not wanted[_bit(h1, h2)]:
+                continue
+            key = (h1, h2, len(data))
             first = kept.get(key)
             if first is not None and same(first, data):
                 continue
@@ -136,44 +170,46 @@ def _sent(batches: Iterable[pa.RecordBatch], fingerprint=fingerprint) -> Iterato
                     size = 0
                 kept[key] = data
                 size += len(data)
-            rows.append((*key, hashlib.sha256(data).digest(), data))
-            pending += len(data)
-            if pending > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
-                rows, pending = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+            sha = hashlib.sha256(data).digest()
+            for at, start in enumerate(range(0, max(len(data), 1), SENT)):
+                chunk = data[start : start + SENT]
+                rows.append((*key, at, sha, chunk))
+                pending += len(chunk)
+                if pending > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+                    rows, pending = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
 def _differing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of texts sorted by fingerprint, those that are not their fingerprint's first text."""
+    """Of chunks sorted by fingerprint, place and SHA-256, those that are not like the first at their place; that is always the same text's."""
     key, first = None, b""
     for batch in batches:
         rows = []
-        h1, h2, n, sha, data = (batch.column(i) for i in range(5))
+        h1, h2, n, at, sha, data = (batch.column(i) for i in range(6))
         for i in range(batch.num_rows):
-            own = (h1[i].as_py(), h2[i].as_py(), n[i].as_py())
-            text = data[i].as_py()
+            own = (h1[i].as_py(), h2[i].as_py(), n[i].as_py(), at[i].as_py())
             if own != key:
-                key, first = own, text
-            elif not same(first, text):
-                rows.append((*own, sha[i].as_py().hex()))
+                key, first = own, data[i].as_py()
+            elif first != data[i].as_py():
+                rows.append((*own[:3], sha[i].as_py().hex()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["h1", "h2", "n", "sha"])
 
 
-def collisions(documents: DataFrame, text: str, sent=_sent) -> DataFrame:
+def collisions(documents: DataFrame, text: str, wanted: np.ndarray | None = None, sent=_sent) -> DataFrame:
     """Fingerprint and SHA-256 of texts that differ from the first text of their fingerprint."""
-    schema = "h1 bigint, h2 bigint, n bigint, sha binary, data binary"
-    texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(sent, schema)
-    dealt = texts.repartition("h1", "h2", "n").sortWithinPartitions("h1", "h2", "n", "sha")
+    told = documents.sparkSession.sparkContext.broadcast(wanted)
+    texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lambda batches: sent(batches, told.value), SCHEMA)
+    dealt = texts.repartition("h1", "h2", "n", "at").sortWithinPartitions("h1", "h2", "n", "at", "sha")
     return dealt.mapInArrow(_differing, "h1 bigint, h2 bigint, n bigint, sha string").distinct()
 
 
 def deduplicate(documents: DataFrame, key: str = "doc_id", text: str = "text", marks: DataFrame | None = None, differing: DataFrame | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     marks = settled(mark(documents, key, text)) if marks is None else marks
-    differing = settled(collisions(documents, text)) if differing is None else differing
+    differing = settled(collisions(documents, text, repeated(marks))) if differing is None else differing
     by = ["h1", "h2", "n", "variant"]
     if differing.limit(1).count():
         marks = marks.join(differing.withColumn("variant", F.col("sha")), ["h1", "h2", "n", "sha"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))

@@ -93,7 +93,7 @@ def key_words(templates: list[Template]) -> list[str]:
                 for word in set(gram.split()):
                     weights[word] += n
         chosen.append(max(weights, key=lambda w: (len(w) >= KEY_LETTERS, weights[w], len(w), w)))
-    return chosen
+    return [w for w in chosen if not any(v in w for v in chosen if v != w)]  # a text with "licensed" has "license" too
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:

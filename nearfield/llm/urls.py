@@ -1,8 +1,10 @@
 """URL filters: host-suffix and path-prefix expressions, matched by hash prefix, then by digest.
 
-Each URL becomes the expressions (every suffix of its host at a label boundary, every prefix of
-its path as long as some rule's path). Expressions and rules meet in an equi-join on the first
-bytes of their SHA-256; full digests confirm a match, and the longest rule that fits decides.
+Each URL becomes the expressions (suffixes of its host at a label boundary, prefixes of its path). Only
+suffixes of as many labels, and prefixes of as many characters, as some rule has are made: others equal
+no rule, and a host of very many labels or a long path would have their square in expressions. Expressions
+and rules meet in an equi-join on the first digits of their SHA-256 alone; full digests then
+confirm or refuse what met, and the longest rule that fits decides.
 
 Rules are broadcast only if a count shows at most ``BROADCAST_RULES`` of them (a rule takes
 under 3 KB); beyond that both sides are shuffled and adaptive execution splits hot prefixes.
@@ -43,20 +45,25 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per page: key, host, path, rule (host and path joined, or null) and verdict."""
     rules = rules.select("host", "path", "verdict").dropna().distinct().withColumn("digest", _digest(F.col("host"), F.col("path")))
-    rules = rules.select(F.substring("digest", 1, SHORT).alias("short"), F.col("digest").alias("rule_digest"), F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.col("verdict"), F.concat("host", "path").alias("rule")).alias("found"))
-    sizes = sorted(r[0] for r in rules.select(F.col("found.size") - F.col("found.host_size")).distinct().collect())  # at most one for each path length
+    rules = rules.select(F.substring("digest", 1, SHORT).alias("short"), F.col("digest").alias("rule_digest"), _labels(F.col("host")).alias("labels"), F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.col("verdict"), F.concat("host", "path").alias("rule")).alias("found"))
+    lengths = rules.select("labels", (F.col("found.size") - F.col("found.host_size")).alias("path")).distinct().collect()  # few: numbers of labels and of characters
+    counts, sizes = sorted({r.labels for r in lengths}), sorted({r.path for r in lengths})
+    rules = rules.drop("labels")
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
     host, path = host_and_path(F.col("url"))
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    suffixes = F.transform(F.filter(F.array(*map(F.lit, counts)).cast("array<int>"), lambda n: n <= F.col("labels")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     urls = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select("key", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    wide = urls.withColumn("labels", parts).withColumn("digest", F.explode_outer(digests)).drop("labels").withColumn("short", F.substring("digest", 1, SHORT))
-    met = wide.join(rules, (wide.short == rules.short) & (wide.digest == F.col("rule_digest")), "left")
+    wide = urls.withColumn("labels", _labels(F.col("host"))).withColumn("digest", F.explode_outer(digests)).drop("labels").withColumn("short", F.substring("digest", 1, SHORT))
+    met = wide.join(rules, "short", "left").withColumn("found", F.when(F.col("digest") == F.col("rule_digest"), F.col("found")))
     best = met.groupBy("row").agg(F.first("key").alias("key"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("found").alias("found"))
     return best.select(F.col("key").alias(key), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))

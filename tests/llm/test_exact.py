@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -67,7 +68,7 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     marks = exact.mark(frame, "doc_id", "text").withColumn("h1", F.lit(1).cast("long")).withColumn("h2", F.lit(2).cast("long"))
     clash = lambda data: (1, 2)
-    differing = exact.collisions(frame, "text", lambda batches: exact._sent(batches, clash))
+    differing = exact.collisions(frame, "text", None, lambda batches, wanted: exact._sent(batches, wanted, clash))
     assert differing.count() == 6
     assert got(exact.deduplicate(frame, marks=marks, differing=differing).collect()) == brute(rows)
 
@@ -79,10 +80,33 @@ def test_comparison_by_chunks():
 
 def test_a_hot_text_is_sent_once_a_task(spark):
     frame = spark.createDataFrame([(i, "the same text") for i in range(1000)], "doc_id long, text string").repartition(3)
-    sent = frame.select("text").mapInArrow(exact._sent, "h1 bigint, h2 bigint, n bigint, sha binary, data binary")
+    sent = frame.select("text").mapInArrow(lambda batches: exact._sent(batches), exact.SCHEMA)
     assert sent.count() <= 3
 
 
+def test_only_repeated_fingerprints_are_sent(spark):
+    rows = [(i, f"text {i}") for i in range(500)] + [(500, "text 7"), (501, "text \t7"), (502, "text 9")]
+    wanted = exact.repeated(exact.mark(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    texts = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    sent = [r for batch in exact._sent([texts], wanted) for r in batch.column("data").to_pylist()]
+    assert sorted(set(sent)) == [b"text 7", b"text 9"] and wanted.sum() == 2
+
+
+def test_texts_that_differ_in_one_chunk(monkeypatch):
+    """Three long texts of one fingerprint, compared chunk by chunk as tasks would see them."""
+    monkeypatch.setattr(exact, "SENT", 10)
+    long = b"x" * 95
+    texts = [long, long[:40] + b"y" + long[41:], long, long[:94] + b"z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = [r for b in exact._sent([batch], None, lambda data: (1, 2)) for r in b.to_pylist()]
+    assert len(rows) == 30 and max(len(r["data"]) for r in rows) == 10
+    rows.sort(key=lambda r: (r["at"], r["sha"]))
+    table = pa.RecordBatch.from_pylist(rows, schema=exact._SENT)
+    found = {r for b in exact._differing([table.slice(0, 13), table.slice(13)]) for r in b.column("sha").to_pylist()}
+    hashes = sorted(hashlib.sha256(t).hexdigest() for t in set(texts))
+    assert found <= set(hashes[1:]) and len(found) == 2
+
+
 @pytest.mark.parametrize("text", ["", "a", "\x00", "\x00\x00", "\x00a"])
 def test_length_tells_leading_zeros_apart(text):
     assert (*exact.fingerprint(text.encode()), len(text)) != (*exact.fingerprint(("\x00" + text).encode()), len(text) + 1)

@@ -53,3 +53,16 @@ def test_short_prefixes_are_confirmed(spark, pages, monkeypatch):
     monkeypatch.setattr(urls, "SHORT", 1)
     for r in urls.judge(pages, spark.createDataFrame(registry.RULES, "host string, path string, verdict string")).collect():
         assert (r.host, r.path, r.rule, r.verdict) == brute(URLS[r.page_id])
+
+
+def test_the_join_is_on_short_prefixes(spark, pages):
+    plan = urls.judge(pages, spark.createDataFrame(registry.RULES, "host string, path string, verdict string"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin [short" in plan and "rule_digest" not in plan.split("HashJoin [short")[1].split("]")[0] and "digest" not in plan.split("HashJoin [short")[1].split("]")[0]
+
+
+def test_very_long_hosts(spark):
+    """A megabyte of labels is no more than its last few."""
+    rows = [(1, "http://" + "a." * 500_000 + "example.com/en/x"), (2, "http://" + "." * 500_000 + "net/fr/")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame, spark.createDataFrame(registry.RULES, "host string, path string, verdict string")).collect()}
+    assert found == {1: ("example.com/en/", "block"), 2: ("net/fr/", "block")}
