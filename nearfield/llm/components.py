@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.shared import settled
+from nearfield.llm.shared import release, settled
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settled(edges.filter("u <> v").select("u", "v").distinct())
     before = None
     while True:
-        edges = settled(_small_star(_large_star(edges)))
+        last, edges = edges, settled(_small_star(_large_star(edges)))
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges

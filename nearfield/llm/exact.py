@@ -91,8 +91,9 @@ def _cut(size: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
             for i in range(batch.num_rows):
-                data = normal(batch.column(2).cast(pa.binary())[i].as_py())
+                data = normal(texts[i].as_py())
                 sha = hashlib.sha256(data).hexdigest()
                 for at, start in enumerate(range(0, len(data), size)):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([sha]), pa.array([at], pa.int32()), pa.array([data[start : start + size]], pa.binary())], names=["id", "row", "sha", "at", "slice"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most labelled documents of a language that are learned from, and of all together.
-PER_LANGUAGE, IN_ALL = 250, 20_000
+PER_LANGUAGE, IN_ALL = 250, 8_000
 FEATURES = 1 << 12
 #: So many times the documents needed of a language are expected in the range of hashes that is looked at.
 AMPLE = 8
@@ -161,7 +161,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         found = _sample(rows, dict.fromkeys(shares, 1.0))
     if not len(found):
         return LanguageModel(None, {})
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+    x = np.frombuffer(found["x"].combine_chunks().buffers()[2], dtype=np.float32, count=len(found) * FEATURES).reshape(-1, FEATURES)  # 131 MB at most
     labels = np.array(found["lang"].to_pylist(), dtype=object)
     families = np.array([FAMILY_OF.get(code, code) for code in labels], dtype=object)
     return LanguageModel(Choice.learn(x, families, np.arange(len(x))), {f: Choice.learn(x, labels, np.flatnonzero(families == f)) for f in sorted(set(families))})

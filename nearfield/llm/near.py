@@ -15,8 +15,11 @@ are candidates unless their binned signatures (the least k-mer of each of ``BINS
 show that they are not similar. Each text's ``FIRST`` likeliest candidates are verified; groups
 where a text has more are then finished exactly: their remaining candidates are
 aligned where they meet, likeliest first, but for pairs that links so far have joined. So a large
-group of near copies costs few pairs, and no link between components is lost. Groups are dealt
-out in pairs of blocks of ``BLOCK`` texts: a task's memory does not grow with the group.
+group of near copies costs few pairs. Groups are dealt out in pairs of blocks of ``BLOCK`` texts: a task's
+memory does not grow with the group. What a group has in common (its first text, its size) is a small
+table of its own, so that a hot group's rows meet it in a join that adaptive execution can split. Only the
+signatures can lose a link: a pair of similarity 0.8 is left out if its share of equal bins is ``SLACK``
+standard deviations short, and nothing else joins the two.
 
 Defined cases: a null text is empty; a text of under five words is one k-mer; one without any
 word is one k-mer of its characters, so empty texts are copies of each other; repeated rows are
@@ -43,8 +46,8 @@ from nearfield.llm.shared import may_be_among, release, settled
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, LEAST = 16, 2
 #: Hash ranges of a signature, and the standard deviations by which a pair's share of equal
-#: bins may be short of the similarity (a similar pair is missed once in two thousand).
-BINS, SLACK = 128, 3.3
+#: bins may be short of the similarity.
+BINS, SLACK = 128, 4.5
 #: Candidates of a text that are verified before its group is finished.
 FIRST = 2
 #: Texts of a group that a task compares with as many others.
@@ -411,18 +414,18 @@ def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, class_id (the least id of its class), class_size, kept."""
     texts = settled(sketched(documents, key, text))
-    firsts = texts.groupBy("mark", "size").agg(F.min("row").alias("first"))
-    members = settled(texts.select("row", "id", "mark", "size").join(firsts, ["mark", "size"]).select("row", "id", "first"))
+    copies = settled(texts.groupBy("mark", "size").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    members = settled(texts.select("row", "id", "mark", "size").join(copies, ["mark", "size"], "left").select("row", "id", F.coalesce("first", "row").alias("first")))
     different = texts.select("row", "keys").join(members.filter("row = first").select("row"), "row")
     groups = different.select("row", F.posexplode("keys").alias("which", "key"))
-    shared = groups.groupBy("which", "key").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settled(groups.groupBy("which", "key").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     groups = settled(groups.join(shared, ["which", "key"]))
-    links = settled(verified(groups.filter("row <> leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct(), texts))
+    links = links_of_leaders = settled(verified(groups.filter("row <> leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct(), texts))
     stars = components(links)
     label = F.coalesce("v", "row")
     labelled = groups.join(stars.withColumnRenamed("u", "row"), "row", "left").select("which", "key", "row", "leader", "n", label.alias("label"))
     others = F.when(F.col("row") != F.col("leader"), F.col("label"))  # pairs with the leader have been verified
-    open_groups = labelled.groupBy("which", "key").agg(F.min(others).alias("low"), F.max(others).alias("high")).filter("low <> high").select("which", "key")
+    open_groups = settled(labelled.groupBy("which", "key").agg(F.min(others).alias("low"), F.max(others).alias("high")).filter("low <> high").select("which", "key"))
     left = settled(labelled.filter("n > 2").join(open_groups, ["which", "key"]).filter("row <> leader").drop("leader"))
     if left.limit(1).count():
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -449,6 +452,9 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             stars = components(links)
     found = members.join(stars.select(F.col("u").alias("first"), "v"), "first", "left").select("row", "id", F.coalesce("v", "first").alias("label"))
     found = settled(found)
-    release(texts, members, groups, left)  # what follows reads ``found`` alone
-    sizes = found.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "row")).alias("least"))
-    return found.join(sizes, "label").select(F.col("id").alias(key), "class_id", "class_size", (F.col("row") == F.col("least.row")).alias("kept"))
+    release(texts, copies, members, shared, groups, links_of_leaders, open_groups, left)  # what follows reads ``found`` alone
+    sizes = settled(found.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "row")).alias("least")).filter("class_size > 1"))
+    alone = F.col("class_size").isNull()
+    return found.join(sizes, "label", "left").select(
+        F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), (alone | (F.col("row") == F.col("least.row"))).alias("kept")
+    )

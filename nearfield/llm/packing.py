@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences: first-fit decreasing in randomised groups.
 
-Documents are cut into pieces of at most the sequence length. Pieces are dealt at random (by
-hash) into groups of about ``GROUP``; in each, the longest piece comes first and goes to the
+Documents are cut into pieces of at most the sequence length. Pieces, not documents, are dealt at random (by
+hash) into groups, as many as there are ``GROUP`` documents: so a group of very long documents is as
+large as any. In each, the longest piece comes first and goes to the
 first sequence with room, which a tournament tree of the sequences' free space finds
 in a logarithmic number of steps. Only lengths and checksums are shuffled, not the tokens.
 

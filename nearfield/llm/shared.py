@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables settled since ``recorded`` began, innermost last.
+_records: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """A list of the tables that are settled meanwhile, for ``release``."""
+    _records.append([])
+    try:
+        yield _records[-1]
+    finally:
+        _records.pop()
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """``frame``, computed once and read from the shared folder, so its lineage ends there.
 
@@ -35,6 +51,8 @@ def settled(frame: DataFrame) -> DataFrame:
     frame.write.parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table._settled_path = path
+    for record in _records:
+        record.append(table)
     return table
 
 
