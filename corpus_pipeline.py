@@ -1,7 +1,8 @@
 """Documents to training sequences: language ID, exact and near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run``
-writes every stage's result as Parquet in the shared folder and reads it again.
+writes every stage's result as Parquet in the shared folder, reads it again, and deletes what no
+later stage needs.
 
 Rows are told apart by their running number in the stage's input, not by their id, so repeated
 rows and ids are handled; a stage whose input is empty gives an empty result.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import exact, language, near, packing
 from nearfield.llm.registry import held_out, vocabulary
-from nearfield.llm.shared import settled, without
+from nearfield.llm.shared import recorded, release, settled, without
 
 ROW = "_stage_row"
 
@@ -56,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = settled(stage(spark, docs, sf_dir))
+        with recorded() as tables:
+            docs = settled(stage(spark, docs, sf_dir))
+        release(*before, *(t for t in tables if t is not docs))  # the stage's own tables, and what it read
+        before = [docs]
     return docs
