@@ -28,9 +28,10 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,12 @@ def _joined(digest: int, child: int) -> int:
 
 
 def _word(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+@lru_cache(maxsize=1 << 14)
+def _opened(tag: str, words: tuple[str, ...]) -> int:
+    return _word(f"<{tag} {' '.join(words)}>")
 
 
 def _kind(digest: int, kind: int) -> int:
@@ -103,7 +109,7 @@ class Element:
     def __init__(self, tag: str, parent: Element | None, words: tuple[str, ...]):
         self.tag, self.parent, self.words = tag, parent, words
         self.named, self.article = (parent.named, parent.article) if parent else (False, 0)  # article: 2 in one, 1 in a main element
-        self.content = self.shape = _word(f"<{tag} {' '.join(words)}>")
+        self.content = self.shape = _opened(tag, words)
         self.last = 0  # the last child's shape
         self.chars = self.links = 0  # characters of text, and of text in links
         self.holds = False  # an article or main element
@@ -124,6 +130,7 @@ class Parser:
         self.places: dict[str, list[int]] = {}  # of open elements by tag
         self.block_places: list[int] = []
         self.run: list[str] = []
+        self.words = ""  # of the run's last text
         self.apart: list[tuple[str, Element]] = []  # text in elements that go by their name
         self.links = 0  # open links
 
@@ -154,12 +161,16 @@ class Parser:
 
     def text(self, text: str) -> None:
         own = self.open[-1] if self.open else None
+        if text.isspace():
+            words = ""
+        else:
+            words = " ".join((entities.unescape(text) if "&" in text else text).split())
         if own is not None and own.named:
-            self.apart.append((text, own))
+            self.apart.append((words, own))
         else:
             self.run.append(text)
-        if own is not None and not text.isspace():
-            words = " ".join(entities.unescape(text).split())
+            self.words = words
+        if own is not None and words:
             own.add(_word(words), 1)
             own.chars += len(words)
             if self.links:
@@ -167,31 +178,36 @@ class Parser:
 
     def flush(self) -> None:
         if self.run:
-            text = " ".join(entities.unescape("".join(self.run)).split())
+            text = self.words if len(self.run) == 1 else " ".join(entities.unescape("".join(self.run)).split())
             self.run.clear()
             if text:
                 self.blocks.append((text, self.open[-1] if self.open else None))
         if self.apart:
             for text, own in self.apart:
-                self.blocks.append((" ".join(entities.unescape(text).split()), own))
+                self.blocks.append((text, own))
             self.apart.clear()
 
     def place(self, tags: Iterable[str]) -> int:
         """The innermost open element of some tags, or -1."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        found = -1
+        for tag in tags:
+            if (own := self.places.get(tag)) and own[-1] > found:
+                found = own[-1]
+        return found
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag == "br":
                 self.run.append(" ")
+                self.words = ""
             elif tag in BLOCK:
                 self.flush()
             return
         if tag in BLOCK:
             self.flush()
-            paragraph = self.place(("p",))
-            if paragraph > self.place(PARAGRAPH_BOUNDS):  # a block ends an open paragraph
-                self.pop(paragraph)
+            paragraphs = self.places.get("p")
+            if paragraphs and paragraphs[-1] > self.place(PARAGRAPH_BOUNDS):  # a block ends an open paragraph
+                self.pop(paragraphs[-1])
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
             bound = self.place(bounds)
