@@ -104,3 +104,27 @@ def test_defaults(spark):
     levels = spark.range(20_000).select(graph.level(F.col("id"), 16).alias("l")).groupBy("l").count().collect()
     share = {r.l: r["count"] / 20_000 for r in levels}
     assert abs(share[0] - 15 / 16) < 0.01 and min(share) == 0
+
+
+def test_a_full_beam_reaches_copies_and_far_groups(table):
+    """More copies than a node has links, and groups far from each other: all rows are found, in the order of exact search."""
+    rows = np.concatenate([np.repeat(uniform(2, 16, 7), 60, 0), uniform(40, 16, 8) + 50, uniform(40, 16, 9) - 50])
+    asked = table(rows[::25], ("q_id", "q"))
+    index = graph.GraphIndex(16, 2, 8, shards=1)
+    shards = index.build(table(rows)).cache()
+    assert graph.one_way(shards).count() == 0 and graph.over_degree(shards, 2).count() == 0
+    key = lambda found: sorted((r.q_id, r["rank"], r.id, r.distance) for r in found.collect())
+    assert key(index.search(shards, asked, 30, len(rows))) == key(knn.knn(table(rows), asked, 30, "cosine"))
+    longer = index.extend(shards, table(rows[:50], first=1000)).cache()
+    assert graph.one_way(longer).count() == 0 and graph.over_degree(longer, 2).count() == 0
+    assert index.search(longer, asked, 500, 500).count() == asked.count() * 250
+
+
+def test_a_part_whose_nodes_are_all_full_is_joined():
+    """Two cliques with every place taken: a link on a circle makes room in each."""
+    near = lambda node: lambda nodes: np.abs(nodes - node).astype(float)
+    links = [[np.array([o for o in range(c, c + 5) if o != n])] for c in (0, 5) for n in range(c, c + 5)]
+    shard = graph.Shard(2, [0] * 10, links, 0)
+    shard.connect(near)
+    assert (shard.parts() == 0).all() and max(len(own[0]) for own in links) <= 4
+    assert all(n in links[o][0] for n, own in enumerate(links) for o in own[0])
