@@ -120,6 +120,18 @@ def test_a_full_beam_reaches_copies_and_far_groups(table):
     assert index.search(longer, asked, 500, 500).count() == asked.count() * 250
 
 
+def test_a_full_beam_over_codes_reaches_copies(table):
+    rows = np.concatenate([np.repeat(uniform(1, 16, 7), 90, 0), uniform(60, 16, 8)])
+    asked = table(rows[::25], ("q_id", "q"))
+    pq = quantize.ProductQuantizer(16, 4, 4).train(table(rows), 2)
+    index = graph.GraphIndex(16, 2, 8, shards=2, pq=pq)
+    shards = index.build(table(rows)).cache()
+    key = lambda found: sorted((r.q_id, r["rank"], r.id, r.distance) for r in found.collect())
+    assert key(index.search(shards, asked, 20, len(rows), len(rows))) == key(knn.knn(table(rows), asked, 20, "l2"))
+    codes = table(rows).withColumn("codes", pq.encode(F.col("vec")))
+    assert key(index.search(shards, asked, 20, len(rows))) == key(quantize.flat_search(codes, asked, pq, 20))
+
+
 def test_a_part_whose_nodes_are_all_full_is_joined():
     """Two cliques with every place taken: a link on a circle makes room in each."""
     near = lambda node: lambda nodes: np.abs(nodes - node).astype(float)
