@@ -140,3 +140,17 @@ def test_a_part_whose_nodes_are_all_full_is_joined():
     shard.connect(near)
     assert (shard.parts() == 0).all() and max(len(own[0]) for own in links) <= 4
     assert all(n in links[o][0] for n, own in enumerate(links) for o in own[0])
+
+
+def test_a_shortlist_of_everything_gives_k_rows_a_shard(table, monkeypatch):
+    """With a shortlist that cuts nothing a shard gives no more than k rows for a query; a shorter one comes in parts of bounded size."""
+    rows = uniform(300, 16, 7)
+    pq = quantize.ProductQuantizer(16, 4, 4).train(table(rows), 1)
+    index = graph.GraphIndex(16, 4, 8, shards=1, pq=pq)
+    shard = index.build(table(rows)).first().asDict()
+    ids = np.arange(20)
+    monkeypatch.setattr(graph, "SHORT_ROWS", 900)
+    assert sum(b.num_rows for b in index._asked(shard, ids, rows[:20], 300, 300, 5)) == 100
+    for width, short in ((300, 290), (250, 250)):
+        parts = [b.num_rows for b in index._asked(shard, ids, rows[:20], short, width, None)]
+        assert max(parts) <= 900 and sum(parts) == 20 * short
