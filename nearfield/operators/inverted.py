@@ -3,7 +3,8 @@
 A posting is ``[cluster_id, id, codes, vec?]``. Centroids and codebooks are small and go to every
 executor; postings stay where they are: a search routes the queries, reads only the
 lists that some query probes (of a stored index only the files of their ranges), scores them where they are read, and shuffles just each
-task's shortlist. Routing is distributed and its pairs of a query and a list are counted before
+task's shortlist. A shortlist that can hold all records of the probed lists cuts nothing: such a search keeps
+the k nearest by exact distance at once. One that a task can't keep is left to Spark to rank. Routing is distributed and its pairs of a query and a list are counted before
 any are gathered: a search is asked in sets of queries whose vectors stay under
 ``BROADCAST_BYTES`` and whose pairs under ``MOST_PAIRS``, each an array of numbers.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.clustering import MODES, assign, first_rows, histogram, kmeans
-from nearfield.operators.kernels import Best, exact, lists, matrix, nearest
+from nearfield.operators.kernels import Best, Nearest, exact, lists, matrix, nearest, running_sum
 from nearfield.operators.knn import BROADCAST_BYTES, best, check_k
 from nearfield.operators.quantize import ProductQuantizer, checked_queries, looked_up
 
@@ -29,6 +30,8 @@ PQ_MODES, BACKENDS, PROBES = ("standard", "residual"), ("arrow", "numpy", "mlx")
 MOST_PAIRS = 1 << 24
 #: Distance tables of all queries that a task keeps, where they don't depend on the list.
 TABLE_BYTES = 128 << 20
+#: Rows of all queries' shortlists that a task keeps, and pairs of a query and a record that it scores at a time.
+SHORT_ROWS, PAIRS = 1 << 21, 1 << 17
 #: Lists beyond which a probe filter is a broadcast table instead of literals.
 LITERALS = 2000
 
@@ -159,6 +162,10 @@ class IvfPq:
     def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None, max_candidates: int | None = None, rerank: int = 0) -> DataFrame:
         """[q_id, rank, id, distance]: the k nearest by codes or, with ``rerank`` = r, the exact k nearest of the max(k, r) nearest by codes."""
         check_k(k, rerank=rerank)
+        self._trained()
+        check_routing(nprobe, max_candidates)
+        if rerank and self.postings is not None and self._most(nprobe) <= max(k, rerank):
+            return self._found(queries, k, nprobe, max_candidates, True, True).select("q_id", "rank", "id", "distance")
         found = self.shortlist(queries, max(k, rerank), nprobe, max_candidates, bool(rerank))
         if rerank:
             found = best(found.withColumn("distance", F.col("exact")), k)
@@ -168,18 +175,32 @@ class IvfPq:
         """[q_id, rank, id, distance, exact] of the ``size`` nearest by codes."""
         self._trained()
         check_routing(nprobe, max_candidates)
-        spark = queries.sparkSession
-        if rerank and not self.config.store_full_vectors:
-            raise ValueError("reranking needs an index with store_full_vectors")
         if self.postings is None:
-            return spark.createDataFrame([], "q_id bigint, rank int, id bigint, distance double, exact double")
+            if rerank:
+                self._reranked()
+            return queries.sparkSession.createDataFrame([], "q_id bigint, rank int, id bigint, distance double, exact double")
+        return self._found(queries, size, nprobe, max_candidates, rerank)
+
+    def _reranked(self) -> None:
+        if not self.config.store_full_vectors:
+            raise ValueError("reranking needs an index with store_full_vectors")
+
+    def _most(self, nprobe: int | None) -> int:
+        """As many records as any query's lists can hold: a shortlist of that size cuts nothing, whatever the codes."""
+        return int(np.sort(self.sizes)[::-1][:nprobe].sum())
+
+    def _found(self, queries: DataFrame, size: int, nprobe: int | None, max_candidates: int | None, rerank: bool, whole: bool = False) -> DataFrame:
+        """[q_id, rank, id, distance, exact] of the ``size`` nearest by codes, or by exact distance if the ``whole`` lists are reranked."""
+        if rerank:
+            self._reranked()
+        size = min(size, max(1, self._most(nprobe)))
         count = queries.count()
         pairs = count * min(PROBES if nprobe is None else nprobe, self.config.nlist) if max_candidates is None else self.probes(queries, None, max_candidates).count()
         sets = max(-(-count * self.config.dim * 8 // BROADCAST_BYTES), -(-pairs // MOST_PAIRS))
         parts = [queries] if sets <= 1 else [queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(sets)) == s) for s in range(sets)]
-        return best(reduce(DataFrame.unionByName, [self._scan(part, size, nprobe, max_candidates, rerank) for part in parts]), size)
+        return best(reduce(DataFrame.unionByName, [self._scan(part, size, nprobe, max_candidates, rerank, whole) for part in parts]), size)
 
-    def _scan(self, queries: DataFrame, size: int, nprobe: int | None, max_candidates: int | None, rerank: bool) -> DataFrame:
+    def _scan(self, queries: DataFrame, size: int, nprobe: int | None, max_candidates: int | None, rerank: bool, whole_lists: bool) -> DataFrame:
         query_ids, rows = checked_queries(queries, self.config.dim)
         spark = queries.sparkSession
         numbered = spark.createDataFrame(pa.table({"q_id": np.arange(len(query_ids)), "q": lists(rows, pa.float64())}), "q_id bigint, q array<double>") if len(rows) else queries
@@ -192,7 +213,8 @@ class IvfPq:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query_ids, rows, (asked, starts, every), pq, centroids = sent.value
-            state = Best(len(rows), size, np.float64)
+            held = len(rows) * size <= SHORT_ROWS
+            state = Nearest(rows, size, "l2") if whole_lists and held else Best(len(rows), size if held else 0, np.float64)
             whole = pq.tables(rows) if centroids is None and len(rows) * pq.m * pq.k * 8 <= TABLE_BYTES else None
             for batch in batches:
                 found_lists = batch.column(0).to_numpy()
@@ -206,17 +228,27 @@ class IvfPq:
                         continue
                     who = every[starts[place] : starts[place + 1]]
                     part = batch.slice(start, stop - start)
-                    ids, codes = part.column(1).to_numpy(), matrix(part.column(2), pq.m).astype(np.int64)
-                    raw = matrix(part.column(3), rows.shape[1]) if rerank else None
-                    for at in range(0, len(who), 256):
-                        own = who[at : at + 256]
+                    ids, raw = part.column(1).to_numpy(), matrix(part.column(3), rows.shape[1]) if rerank else None
+                    if whole_lists and held:
+                        state.add(ids, raw, who=who)
+                        continue
+                    codes = matrix(part.column(2), pq.m).astype(np.int64)
+                    step = max(1, min(256, PAIRS // len(ids)))
+                    for at in range(0, len(who), step):
+                        own = who[at : at + step]
                         table = whole[own] if whole is not None else pq.tables(rows[own] - centroids[c] if centroids is not None else rows[own])
                         found = looked_up(table, codes)
+                        if not held:  # too many to keep: Spark ranks them all
+                            points = rows[own]
+                            more = running_sum((points[:, i, None] - raw[:, i]) ** 2 for i in range(points.shape[1])) if rerank else np.zeros(found.shape)
+                            columns = np.repeat(query_ids[own], len(ids)), np.tile(ids, len(own)), (more if whole_lists else found).ravel(), more.ravel()
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_id", "id", "distance", "exact"])
+                            continue
                         which, record = np.nonzero(found <= state.distances[own, -1:])
                         more = exact(rows[own[which]], raw[record], "l2") if rerank else np.zeros(len(which))
                         state.keep(own[which], ids[record], more, found[which, record])
             q, ids, more, distances = state.table(query_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(distances), pa.array(more)], names=["q_id", "id", "distance", "exact"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(distances), pa.array(distances if whole_lists else more)], names=["q_id", "id", "distance", "exact"])
 
         columns = ["cluster_id", "id", "codes", *["vec"] * rerank]
         return postings.select(*columns).mapInArrow(run, "q_id bigint, id bigint, distance double, exact double")

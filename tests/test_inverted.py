@@ -113,3 +113,24 @@ def test_only_probed_lists_are_read(table, data, asked):
     index = built(table, data)
     plan = inverted.probed(index.postings, [1, 2])._jdf.queryExecution().optimizedPlan().toString()
     assert "cluster_id" in plan and "IN (1,2)" in plan
+
+
+def rows_of(frame, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in frame.collect())
+
+
+def test_a_shortlist_beyond_all_records_needs_no_room_for_it(table, data, asked):
+    """12 billion places were made for 800 records: exact distances decide at once, of the probed lists only."""
+    index, columns = built(table, data), ("q_id", "rank", "id", "distance")
+    everything = rows_of(index.search(asked, 10, nprobe=16, rerank=10**9), *columns)
+    assert everything == rows_of(knn.knn(table(data), asked, 10, "l2"), *columns)
+    assert rows_of(index.search(asked, 10, nprobe=2, rerank=10**9), *columns) == rows_of(index.search(asked, 10, nprobe=2, rerank=600), *columns)
+    lists = inverted.candidates(index.postings, index.probes(asked, nprobe=2))
+    assert {r[::2] for r in rows_of(index.search(asked, 10**9, nprobe=2, rerank=1), "q_id", "rank", "id")} == set(rows_of(lists, "q_id", "id"))
+
+
+def test_shortlists_too_long_to_keep(table, data, asked):
+    """Shortlists that a task can't keep are ranked by Spark: the same rows."""
+    index, columns = built(table, data), ("q_id", "rank", "id", "distance", "exact")
+    assert rows_of(index.shortlist(asked, 10**9, 3, rerank=True), *columns) == rows_of(index.shortlist(asked, 800, 3, rerank=True), *columns)
+    assert rows_of(index.search(asked, 10**9, nprobe=3), *columns[:4]) == rows_of(index.search(asked, 800, nprobe=3), *columns[:4])
