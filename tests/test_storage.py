@@ -174,3 +174,18 @@ def test_data_sets(spark, table, tmp_path):
         datasets.write_results(spark.range(3), str(tmp_path / "x"), "x")
     assert datasets.with_labels(spark.createDataFrame([(1, 1)], "q_id long, id long"), spark.createDataFrame([(1, "a")], "id long, label string")).first().label == "a"
     assert np.isfinite([x for r in rows.select(F.explode("vec").alias("x")).collect() for x in r]).all()
+
+
+def test_a_collection_reranks_everything_in_bounded_room(spark, table, tmp_path):
+    """A shortlist of a billion for each query: the exact result, of two segments."""
+    from nearfield.operators.knn import knn
+
+    data = clustered(500, 16, 1)
+    found = Catalog(spark, str(tmp_path))
+    found.create("a", 16, 8, pq_m=4, pq_k=16, store_full_vectors=True, pq_mode="residual")
+    found.train("a", table(data), **HOW)
+    found.add("a", table(data[:300]))
+    found.add("a", table(data[300:], first=300))
+    asked = table(data[:40], ("q_id", "q"))
+    key = lambda rows: sorted((r.q_id, r["rank"], r.id, r.distance) for r in rows.collect())
+    assert key(found.search("a", asked, 10, nprobe=8, rerank=10**9)) == key(knn(table(data), asked, 10, "l2"))
