@@ -86,3 +86,22 @@ def test_positions_follow_the_order(spark):
     rows = spark.range(100).select((F.col("id") * 7 % 100).alias("key")).repartition(5)
     got = knn.with_position_ids(rows, "key", 1000).collect()
     assert sorted((r.key, r.id) for r in got) == [(i, 1000 + i) for i in range(100)]
+
+
+def test_columns_scale_each_vector_once(table):
+    """Norms belong to rows, not to pairs of them: above the join there is an inner product and no root."""
+    data = uniform(60, 8, 1)
+    data[3] = 0
+    asked = table(data[:5], ("q_id", "q"))
+    found = knn.knn(table(data), asked, 7, "cosine", kernel="columns")
+    above, join, below = found._jdf.queryExecution().executedPlan().toString().partition("BroadcastNestedLoopJoin")
+    assert join and "sqrt" not in above.lower() and "sqrt" in below.lower()
+    key = lambda rows: sorted((r.q_id, r["rank"], r.id, r.distance) for r in rows.collect())
+    assert key(found) == key(knn.knn(table(data), asked, 7, "cosine"))
+
+
+def test_a_norm_is_computed_once_a_vector(spark):
+    """The division, done for each component, holds no sum over all of them."""
+    for function in (V.normalize, V.normalize_rows):
+        plan = spark.range(1).select(function(F.array(F.col("id"), F.lit(2.0))).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.lower().count("sqrt") == 1 and "/ aggregate" not in plan.lower() and "/ (sqrt" not in plan.lower() and "/ greatest" not in plan.lower()
