@@ -352,7 +352,8 @@ def templates_of(hosts: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """One row per page: key, url, text."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.xxhash64(host_and_path(F.col(url))[0]).alias("host"), F.col(html).alias("html"))
-    found = settled(templates_of(rows.select("host", "html").mapInArrow(_count, "host bigint, body bigint, digests array<bigint>")))
+    found = templates_of(rows.select("host", "html").mapInArrow(_count, "host bigint, body bigint, digests array<bigint>"))
+    found = settled(found.coalesce(pages.sparkSession.sparkContext.defaultParallelism))  # a file a core, not a shuffle partition: each costs processes
     if found.count() <= broadcast:
         table = found.toArrow()
         by_host: dict[int, set[int]] = {}

@@ -188,3 +188,23 @@ def test_templates_are_a_share_of_the_host(spark, scale):
         rows.append((n + i, f"https://out.example.com/{i}", ("<div>Archive</div>" if i < n // 2 else "") + f"<p>Story {i}</p>"))
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: ("A shared passage " if i < n // 4 else "") + f"Story {i}" for i in range(n)} | {n + i: f"Story {i}" for i in range(n)}
+
+
+def test_templates_are_written_in_a_file_a_core(spark):
+    """However many partitions a shuffle has: each file costs an executor processes of its own."""
+    from nearfield.llm import shared
+
+    rows = [(h * 10 + n, f"https://host{h}.org/{n}", page(f"{h}-{n}", f"box of host {h}")) for h in range(40) for n in range(5)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        with shared.recorded() as tables:
+            texts = [r.text for r in html.extract(frame).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(tables[0].inputFiles()) <= spark.sparkContext.defaultParallelism and tables[0].count() >= 40
+    assert not any("box of host" in t for t in texts) and len(texts) == 200
