@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
-from nearfield.operators import knn
+from nearfield.operators import kernels, knn
 from tests.conftest import uniform
 
 
@@ -105,3 +105,21 @@ def test_a_norm_is_computed_once_a_vector(spark):
     for function in (V.normalize, V.normalize_rows):
         plan = spark.range(1).select(function(F.array(F.col("id"), F.lit(2.0))).alias("x"))._jdf.queryExecution().analyzed().toString()
         assert plan.lower().count("sqrt") == 1 and "/ aggregate" not in plan.lower() and "/ (sqrt" not in plan.lower() and "/ greatest" not in plan.lower()
+
+
+@pytest.mark.parametrize("alike", ["equal", "scaled"])
+def test_a_very_common_vector_takes_bounded_room(monkeypatch, alike):
+    """Copies, or vectors that products can't tell apart: few pairs get their exact distance at a time, and the result is that of all pairs."""
+    base, queries, k = uniform(3000, 8, 1).astype(np.float64), uniform(300, 8, 2).astype(np.float64), 10
+    base[::2] = base[0] if alike == "equal" else base[0] * np.arange(1000, 2500)[:, None]
+    queries = base[0] + 0.01 * queries
+    ids, rows, real = np.random.default_rng(3).permutation(len(base)), [], kernels.exact
+    monkeypatch.setattr(kernels, "exact", lambda a, b, metric: rows.append(len(a)) or real(a, b, metric))
+    state = kernels.Nearest(queries, k, "cosine")
+    for part in np.split(np.arange(len(base)), 2):
+        state.add(ids[part], base[part])
+    assert max(rows) <= 1 << 16 and (alike != "equal" or sum(rows) < 1 << 16)
+    far = 1.0 - kernels.running_sum(kernels.prepared(queries, "cosine")[:, None, i] * kernels.prepared(base, "cosine")[None, :, i] for i in range(8))
+    for query, own in enumerate(far):
+        order = np.lexsort((ids, own))[:k]
+        assert state.ids[query].tolist() == ids[order].tolist() and (state.distances[query] == own[order]).all()
