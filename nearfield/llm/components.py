@@ -1,12 +1,24 @@
-"""Connected components by alternating stars: every round is a join and an aggregation."""
+"""Connected components by alternating stars: every round is a join and an aggregation.
+
+Before the rounds each task replaces the edges it reads by stars around their least nodes (union by
+least label in NumPy), ``SHARE`` edges at a time. Rounds cost the driver some ten jobs each,
+whatever the size of the table, so the fewer the better; tables of one share need a single one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearfield.llm.shared import release, settled
 
+#: Edges that a task contracts at a time (30 MB at its peak).
+SHARE = 1 << 18
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours get the least of the node and its neighbours."""
@@ -23,17 +35,65 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges that is not its component's least one, and that least one."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label, (a, b) = np.arange(len(nodes)), ends.reshape(2, -1)
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a task's edges; of more than ``SHARE``, of so many at a time and the stars so far."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return stars(*(np.concatenate(c) for c in zip(*held)))
+
+    def batch(edges: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in edges], names=["u", "v"])
+
+    for own in batches:
+        held.append((own.column(0).to_numpy(), own.column(1).to_numpy()))
+        size += own.num_rows
+        if size >= SHARE:
+            held = [joined()]
+            size = len(held[0][0])
+            if size >= SHARE // 2:
+                yield batch(held[0])
+                held, size = [], 0
+    if held:
+        yield batch(joined())
+
+
+def _told(edges: DataFrame) -> Row:
+    """What tells a set of edges from another: their number and the sum of their hashes."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For each node ``u`` of the edges (u, v) that is not its component's least one: (u, v = least).
 
     Rounds end when the edges stay the same: then they are stars around the least nodes.
     """
-    edges = settled(edges.filter("u <> v").select("u", "v").distinct())
-    before = None
-    while True:
+    found = settled(edges.filter("u <> v").select("u", "v"))
+    shares = max(1, -(-found.count() // SHARE))
+    contracted = found.coalesce(shares).mapInArrow(_contracted, "u bigint, v bigint")
+    edges = settled(contracted.distinct() if shares > 1 else contracted)
+    release(found)
+    before = _told(edges)
+    while before[0]:
         last, edges = edges, settled(_small_star(_large_star(edges)))
         release(last)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return edges
+        now = _told(edges)
+        if now == before:
+            break
         before = now
+    return edges

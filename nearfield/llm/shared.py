@@ -44,11 +44,12 @@ def recorded() -> Iterator[list[DataFrame]]:
 def settled(frame: DataFrame) -> DataFrame:
     """``frame``, computed once and read from the shared folder, so its lineage ends there.
 
-    A written Parquet table: unlike a checkpoint it is compressed and read by column.
+    A written Parquet table: unlike a checkpoint it is compressed and read by column. It has no
+    marker of success: on a local file system, writing one forks the driver's JVM twice.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table._settled_path = path
     for record in _records:

@@ -2,8 +2,10 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from nearfield.llm import components as stars
 from nearfield.llm import near, registry
 from nearfield.llm.components import components
 from tests.llm.conftest import ODD
@@ -152,6 +154,56 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def least_of(edges):
+    """For each node of the edges that is not its component's least one, that least one."""
+    label = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(label[a], label[b])
+            changed |= label[a] != least or label[b] != least
+            label[a] = label[b] = least
+    return {n: m for n, m in label.items() if n != m}
+
+
+def drawn_edges(draw, nodes, count):
+    numbers = draw.sample(range(-(10**12), 10**12), nodes)
+    return [(draw.choice(numbers), draw.choice(numbers)) for _ in range(count)]
+
+
+def rounds_of(monkeypatch):
+    taken, plain = [], stars._large_star
+    monkeypatch.setattr(stars, "_large_star", lambda edges: taken.append(1) or plain(edges))
+    return taken
+
+
+def test_components_of_one_share_take_one_round(spark, monkeypatch):
+    """Each round costs the driver ten jobs, at any size of the table."""
+    edges, taken = [*((i + 1, i) for i in range(300)), *drawn_edges(random.Random(3), 200, 150)], rounds_of(monkeypatch)
+    got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()}
+    assert got == least_of(edges) and len(taken) == 1
+
+
+def test_components_of_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(stars, "SHARE", 64)
+    edges, taken = [*((i + 1, i) for i in range(100)), *drawn_edges(random.Random(4), 300, 260)], rounds_of(monkeypatch)
+    rows = components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(4)).collect()
+    assert {r.u: r.v for r in rows} == least_of(edges) and len(rows) == len(least_of(edges)) and len(taken) > 1
+
+
+@pytest.mark.parametrize("share", [4, 16, 1 << 18])
+def test_contracted_edges_join_the_same(monkeypatch, share):
+    monkeypatch.setattr(stars, "SHARE", share)
+    for seed in range(20):
+        draw = random.Random(seed)
+        edges = [(a, b) for a, b in drawn_edges(draw, 30, draw.randint(1, 40)) if a != b]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges[i : i + 3])], names=["u", "v"]) for i in range(0, len(edges), 3)]
+        out = [e for b in stars._contracted(batches) for e in zip(*(c.to_pylist() for c in b.columns))]
+        assert least_of(out) == least_of(edges) and all(u > v for u, v in out)
+        assert share < 1 << 18 or dict(out) == least_of(edges)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127])
 def test_signatures(n):
     own = near.kmers(" ".join(f"w{i}" for i in range(300)))

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from nearfield.llm import exact, language, near, registry
+from nearfield.llm import exact, language, near, registry, shared
 from tests.llm.test_bpe import ids_of
 from tests.llm.test_near import brute, family
 
@@ -71,6 +72,15 @@ def test_clean_documents_stay(spark, folder):
     assert docs.filter(docs.text.rlike(r"\p{L}")).count() == kept.count()
 
 
+def test_settled_tables_have_no_marker(spark):
+    """Each marker would fork the driver's JVM twice."""
+    table = shared.settled(spark.range(5).toDF("id"))
+    names = os.listdir(table._settled_path.removeprefix("file://"))
+    assert table.count() == 5 and any(n.endswith(".parquet") for n in names) and not [n for n in names if "_SUCCESS" in n]
+    shared.release(table)
+    assert not os.path.exists(table._settled_path.removeprefix("file://"))
+
+
 def test_registered(spark):
     names = set(entry.queries())
     assert set(registry.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
