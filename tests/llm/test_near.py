@@ -178,18 +178,23 @@ def rounds_of(monkeypatch):
     return taken
 
 
-def test_components_of_one_share_take_one_round(spark, monkeypatch):
+def test_components_of_one_share_take_no_round(spark, monkeypatch):
     """Each round costs the driver ten jobs, at any size of the table."""
     edges, taken = [*((i + 1, i) for i in range(300)), *drawn_edges(random.Random(3), 200, 150)], rounds_of(monkeypatch)
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()}
-    assert got == least_of(edges) and len(taken) == 1
+    assert got == least_of(edges) and not taken
 
 
 def test_components_of_several_shares(spark, monkeypatch):
     monkeypatch.setattr(stars, "SHARE", 64)
     edges, taken = [*((i + 1, i) for i in range(100)), *drawn_edges(random.Random(4), 300, 260)], rounds_of(monkeypatch)
     rows = components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(4)).collect()
-    assert {r.u: r.v for r in rows} == least_of(edges) and len(rows) == len(least_of(edges)) and len(taken) > 1
+    assert {r.u: r.v for r in rows} == least_of(edges) and len(rows) == len(least_of(edges)) and taken
+
+
+@pytest.mark.parametrize("edges, want", [([(2, 1), (3, 1), (9, 8)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False), ([(2, 1), (2, 1)], True)])
+def test_stars_are_told(spark, edges, want):
+    assert stars._are_stars(spark.createDataFrame(edges, "u bigint, v bigint")) is want
 
 
 @pytest.mark.parametrize("share", [4, 16, 1 << 18])
